@@ -46,14 +46,12 @@ def index_rows(
     ``block`` must not decrease along ``order``. Only block counts meet in one place;
     rows are numbered inside their block and shifted by the rows before it.
     """
-    blocked = df.withColumn("_blk", block)
+    blocked = _placed(df, keys, block)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*keys, "_blk")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
+    offsets = _per_block(
+        blocked, keys, [F.count(F.lit(1)).alias("_n")],
+        {"_off": F.coalesce(F.sum("_n").over(before), F.lit(0))},
+    ).drop("_n")
     inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
     return (
         blocked.join(offsets, [*keys, "_blk"])
@@ -102,19 +100,48 @@ def rolling(
     return out.drop("_at", "_home")
 
 
+def _placed(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Rows with their block number, shuffled once by (key, block)."""
+    staged = df.withColumn("_blk", block)
+    return staged.repartition(*[F.col(k) for k in keys], F.col("_blk"))
+
+
+def _per_block(placed: DataFrame, keys: Sequence[str], partials: list[Column], carries: dict[str, Column]) -> DataFrame:
+    """One row per block over the same shuffle as the rows.
+
+    The row fingerprint makes this branch need every column, so both branches have one
+    identical exchange and Spark runs it once; without it nested scans would recompute
+    their input twice per level.
+    """
+    plain = [f.name for f in placed.schema if not f.dataType.simpleString().startswith("map")]
+    mark = F.max(F.xxhash64(*plain)).alias("_mark")
+    totals = placed.groupBy(*keys, "_blk").agg(mark, *partials)
+    return totals.withColumns(carries).filter(F.col("_mark").isNotNull()).drop("_mark")
+
+
+def _shift(kind: str, carry: Column, local: Column) -> Column:
+    """A block-local running value moved by what earlier blocks contributed."""
+    if kind.startswith("product"):
+        return local * F.coalesce(carry, F.lit(1.0))
+    return local + F.coalesce(carry, F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Running:
-    """One unbounded-preceding column: ``kind`` in sum, max, min, count, product, last, first."""
+    """One unbounded-preceding column.
+
+    ``kind`` is sum, max, min, count, product, last or first; or sum_min, sum_max or
+    product_max, which also give the extreme of the running value so far as
+    ``<name>_ext`` in the same pass (product_max needs positive factors).
+    """
 
     kind: str
     value: Column
     inclusive: bool = True
 
 
-_FOLD = {
-    "sum": F.sum, "max": F.max, "min": F.min, "product": F.product,
-    "count": F.sum,
-}
+_FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "product": F.product}
+_NESTED = {"sum_min": (F.sum, F.min), "sum_max": (F.sum, F.max), "product_max": (F.product, F.max)}
 
 
 def running(
@@ -126,14 +153,17 @@ def running(
 ) -> DataFrame:
     """Add running columns over everything before (and at) each row.
 
-    Block partials are combined map-side, carried across blocks in a window over one row
-    per block, joined back on (key, block) and finished inside the block. The row window
-    and the join use the same partitioning, so rows are shuffled once. ``last``/``first``
+    Block totals are carried across blocks in a window over one row per block, joined
+    back on (key, block) and finished inside the block. Totals, join and row window use
+    the same partitioning, so rows are shuffled once. ``last``/``first``
     skip nulls.
     """
-    staged = df.withColumn("_blk", block)
-    staged = staged.withColumns({f"_v_{n}": c.value for n, c in columns.items()})
+    staged = _placed(df.withColumns({f"_v_{n}": c.value for n, c in columns.items()}), keys, block)
     pos = F.struct(*order)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nested = {f"_l_{n}": _NESTED[c.kind][0](f"_v_{n}").over(inside) for n, c in columns.items() if c.kind in _NESTED}
+    if nested:
+        staged = staged.withColumns(nested)
     partials, carries = [], {}
     ahead = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     for name, c in columns.items():
@@ -144,18 +174,24 @@ def running(
         elif c.kind == "first":
             partials.append(F.min_by(v, F.when(v.isNotNull(), pos)).alias(f"_p_{name}"))
             carries[f"_c_{name}"] = F.first(f"_p_{name}", ignorenulls=True).over(ahead)
+        elif c.kind in _NESTED:
+            fold, extreme = _NESTED[c.kind]
+            partials += [fold(v).alias(f"_p_{name}"), extreme(f"_l_{name}").alias(f"_q_{name}")]
+            carries[f"_c_{name}"] = fold(f"_p_{name}").over(ahead)
         elif c.kind == "count":
             partials.append(F.count(v).alias(f"_p_{name}"))
             carries[f"_c_{name}"] = F.sum(f"_p_{name}").over(ahead)
         else:
             partials.append(_FOLD[c.kind](v).alias(f"_p_{name}"))
             carries[f"_c_{name}"] = _FOLD[c.kind](f"_p_{name}").over(ahead)
-    carried = (
-        staged.groupBy(*keys, "_blk").agg(*partials).withColumns(carries)
-        .drop(*[f"_p_{n}" for n in columns])
-    )
+    carried = _per_block(staged, keys, partials, carries)
+    for name, c in columns.items():
+        if c.kind in _NESTED:
+            shifted = _shift(c.kind, F.col(f"_c_{name}"), F.col(f"_q_{name}"))
+            carried = carried.withColumn(f"_d_{name}", _NESTED[c.kind][1](shifted).over(ahead)).drop(f"_q_{name}")
+    carried = carried.drop(*[f"_p_{n}" for n in columns])
     base = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    upto = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = inside
     below = base.rowsBetween(Window.unboundedPreceding, -1)
     finals: dict[str, Column] = {}
     for name, c in columns.items():
@@ -165,6 +201,11 @@ def running(
             finals[name] = F.coalesce(F.last(v, ignorenulls=True).over(w), carry)
         elif c.kind == "first":
             finals[name] = F.coalesce(carry, F.first(v, ignorenulls=True).over(w))
+        elif c.kind in _NESTED:
+            extreme, pick = _NESTED[c.kind][1], F.greatest if c.kind.endswith("max") else F.least
+            finals[name] = _shift(c.kind, carry, F.col(f"_l_{name}"))
+            local = _shift(c.kind, carry, extreme(f"_l_{name}").over(upto))
+            finals[f"{name}_ext"] = F.coalesce(pick(local, F.col(f"_d_{name}")), local)
         elif c.kind == "count":
             finals[name] = F.coalesce(carry, F.lit(0)) + F.count(v).over(w)
         else:
@@ -178,7 +219,7 @@ def running(
             else:
                 both = F.least(here, carry)
             finals[name] = F.coalesce(both, here, carry)
-    drop = [f"_v_{n}" for n in columns] + [f"_c_{n}" for n in columns]
+    drop = [f"_{k}_{n}" for n in columns for k in "vcld"]
     return staged.join(carried, [*keys, "_blk"]).withColumns(finals).drop("_blk", *drop)
 
 
@@ -201,7 +242,7 @@ def relay(
     k is right after k rounds in any case. Between rounds only one small row per block is
     kept, in the shared checkpoint folder.
     """
-    staged = df.withColumn("_blk", block)
+    staged = cut_lineage(df.withColumn("_blk", block))
     group = [*keys, "_blk"]
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema if f.name in group)
     by_order = list(order)

@@ -300,17 +300,14 @@ def expanding_z(returns: DataFrame, span_ns: int = 7 * blocks.DAY_NS) -> DataFra
 def cusum(z_scores: DataFrame, drift: float = 0.5, threshold: float = 3.0, span_ns: int = 7 * blocks.DAY_NS) -> DataFrame:
     """Two-sided CUSUM without reset in closed form: S = C - min(0, running min C).
 
-    C is the running sum of (±z - drift); both passes are block scans.
+    C is the running sum of (±z - drift); one block scan gives it and its minimum.
     """
-    blk = blocks.time_block("ts_ns", span_ns)
-    up = blocks.running(z_scores, KEY, ["ts_ns"], blk, {
-        "_cp": Running("sum", F.col("z") - drift), "_cn": Running("sum", -F.col("z") - drift)})
-    low = blocks.running(up, KEY, ["ts_ns"], blk, {
-        "_mp": Running("min", F.col("_cp")), "_mn": Running("min", F.col("_cn"))})
+    acc = blocks.running(z_scores, KEY, ["ts_ns"], blocks.time_block("ts_ns", span_ns), {
+        "_p": Running("sum_min", F.col("z") - drift), "_n": Running("sum_min", -F.col("z") - drift)})
     zero = F.lit(0.0)
-    return low.withColumns({
-        "s_pos": F.col("_cp") - F.least(zero, "_mp"), "s_neg": F.col("_cn") - F.least(zero, "_mn"),
-    }).withColumn("is_shock", (F.col("s_pos") >= threshold) | (F.col("s_neg") >= threshold)).drop("_cp", "_cn", "_mp", "_mn")
+    return acc.withColumns({
+        "s_pos": F.col("_p") - F.least(zero, "_p_ext"), "s_neg": F.col("_n") - F.least(zero, "_n_ext"),
+    }).withColumn("is_shock", (F.col("s_pos") >= threshold) | (F.col("s_neg") >= threshold)).drop("_p", "_n", "_p_ext", "_n_ext")
 
 
 def rolling_z(rows: DataFrame, value: str, lookback: int = 60, keys: Sequence[str] = KEY) -> DataFrame:
@@ -343,9 +340,8 @@ def equity_curve(returns: DataFrame, key: str = "symbol", span_ns: int = 30 * bl
     """Equity, running peak, drawdown and bars below the peak, per key in time order."""
     blk = blocks.time_block("ts_ns", span_ns)
     eq = blocks.running(returns, [key], ["ts_ns"], blk, {
-        "equity": Running("product", F.col("ret") + 1.0), "bar": Running("count", F.col("ret"))})
-    pk = blocks.running(eq, [key], ["ts_ns"], blk, {"peak": Running("max", F.col("equity"))})
-    dd = pk.withColumn("drawdown", (F.col("equity") - F.col("peak")) / F.greatest("peak", F.lit(1e-8)))
+        "equity": Running("product_max", F.col("ret") + 1.0), "bar": Running("count", F.col("ret"))})
+    dd = eq.withColumnRenamed("equity_ext", "peak").withColumn("drawdown", (F.col("equity") - F.col("peak")) / F.greatest("peak", F.lit(1e-8)))
     at_peak = F.when(F.col("drawdown") >= -1e-6, F.col("bar"))
     run = blocks.running(dd, [key], ["ts_ns"], blk, {"_last": Running("last", at_peak)})
     return run.withColumn("below_bars", F.col("bar") - F.coalesce("_last", F.lit(0))).drop("_last")

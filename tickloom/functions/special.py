@@ -11,16 +11,17 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NORMAL = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(-v / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda v: None if v is None or math.isnan(v) else _NORMAL.inv_cdf(min(max(v, 1e-15), 1.0 - 1e-15)))
 
@@ -70,7 +71,7 @@ def t_quantile(nu: float, p: float) -> float:
     return 0.5 * (lo + hi)
 
 
-@F.pandas_udf("struct<q: double, pdf: double>")
+@F.pandas_udf(T.StructType([T.StructField("q", T.DoubleType()), T.StructField("pdf", T.DoubleType())]))
 def student_t(nu: pd.Series, p: pd.Series) -> pd.DataFrame:
     """Quantile at p and the density there, for nu degrees of freedom."""
     rows = []

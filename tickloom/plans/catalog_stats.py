@@ -104,10 +104,10 @@ def _(spark, d):
     return rounded(stats.shrunk_correlation(stats.correlation_table(small_returns(spark, d), U)), 6, "rho")
 
 
-FDR = """WITH p AS (SELECT event_id, least(1, value / 400.0) * least(1, value / 400.0) AS p FROM events), m AS (SELECT count(*) AS m FROM p),
-r AS (SELECT *, row_number() OVER (ORDER BY p, event_id) AS rank FROM p), h AS (SELECT {h} AS h FROM r),
-a AS (SELECT event_id, rank, p * m * h / rank AS raw FROM r CROSS JOIN m CROSS JOIN h),
-b AS (SELECT event_id, rank, least(1, greatest(0, min(raw) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS adj FROM a)
+FDR = """WITH p AS (SELECT event_id, least(1.0::DOUBLE, value / 400.0) * least(1.0::DOUBLE, value / 400.0) AS p FROM events),
+r AS (SELECT *, row_number() OVER (ORDER BY p, event_id) AS rank FROM p), k AS (SELECT count(*) * {h} AS scale FROM r),
+a AS (SELECT event_id, rank, p * (SELECT scale FROM k) / rank AS raw FROM r),
+b AS (SELECT event_id, rank, least(1.0::DOUBLE, min(raw) OVER (ORDER BY rank DESC)) AS adj FROM a)
 SELECT event_id, rank, round(adj, 8) AS adjusted_p, adj <= 0.05 AS is_discovery FROM b"""
 
 
@@ -163,7 +163,7 @@ def _(spark, d):
     t = stats.tear_sheet(small_returns(spark, d), "symbol", risk_free=0.02)
     return t.select("symbol", F.round(F.log(F.col("total_return") + 1.0), 4).alias("log_growth"), F.round(F.col("cagr") / 1000, 4).alias("cagr_k"),
                     "annualized_volatility", "sharpe_ratio", F.round(F.col("sortino_ratio") / 1000, 3).alias("sortino_k"),
-                    F.round(F.col("calmar_ratio") / 1000, 3).alias("calmar_k"), *t.columns[6:])
+                    F.round(F.col("calmar_ratio") / 1000, 3).alias("calmar_k"), *t.columns[7:])
 
 
 @query("tear_sheet_daily", f"""WITH {DAILY}, qq AS (SELECT strategy, quantile_cont(ret, 0.05) AS p5, quantile_cont(ret, 0.95) AS p95 FROM daily GROUP BY 1),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import crossval, stats
+from tickloom.session import cut_lineage
 
 
 def cohort_deflated_sharpe(returns: DataFrame, key: str, universe: Sequence[str], hurdle: float = 0.0, q: float = 0.05,
@@ -17,14 +18,15 @@ def cohort_deflated_sharpe(returns: DataFrame, key: str, universe: Sequence[str]
     The trial count is the effective rank of the correlations, the trial variance the
     variance of the Sharpe ratios over the cohort.
     """
-    mom = stats.moments(returns, [key])
+    # one row per strategy, read by several later steps
+    mom = cut_lineage(stats.moments(returns, [key]))
     k = stats.effective_trials(stats.correlation_table(returns, universe, key))
     sharpe = F.when(F.col("std") > 1e-12, F.col("mean") / F.col("std") * periods ** 0.5).otherwise(0.0)
     var = mom.agg(F.var_samp(sharpe).alias("var_sharpe"))
     one = k.withColumn("_all", F.lit(0)).join(var.withColumn("_all", F.lit(0)), "_all")
     j = mom.withColumn("_all", F.lit(0)).join(F.broadcast(one), "_all")
     res = stats.deflated_sharpe(j, F.col("k_eff"), F.coalesce("var_sharpe", F.lit(0.0)), F.lit(hurdle), hurdle, periods=periods)
-    res = res.withColumn("p_value", F.greatest(F.lit(0.0), 1.0 - F.col("psr")))
+    res = cut_lineage(res.withColumn("p_value", F.greatest(F.lit(0.0), 1.0 - F.col("psr"))))
     adj = stats.fdr_adjust(res, "p_value", key, method, q)
     sure = F.col("status") == "CERTIFIED_SIGNIFICANT"
     status = F.when(sure & F.col("is_discovery"), "COHORT_FDR_CERTIFIED").when(sure, "FDR_REJECTED").otherwise(F.col("status"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOUR_NS = 3_600_000_000_000
+# Factor on fill prices, so that amounts have no exact rounding halves.
+MARKUP = 1.000371937
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +81,9 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("portfolio_id"), F.col("l_returnflag").alias("symbol"),
         F.when(F.col("l_linestatus") == "O", "BUY").otherwise("SELL").alias("side"),
         F.col("l_quantity").alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        (F.col("l_extendedprice") / F.col("l_quantity") * MARKUP).alias("price"),
         to_ns("l_shipdate").alias("ts_ns"),
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").cast("long").alias("line"),
         F.col("l_partkey").alias("part_id"),
-        (F.col("l_extendedprice") * F.col("l_tax") * 0.01).alias("fee"),
+        (F.col("l_extendedprice") * F.col("l_tax") * 0.01 * MARKUP).alias("fee"),
     )

@@ -86,7 +86,7 @@ def quarantine_kernel(threshold: float, limit: int, hold_ns: int, markout: str):
         rows = []
         for now, m in zip(pdf["ts_ns"], pdf[markout]):
             if held and until > 0 and now >= until:
-                held, streak = 0, 0
+                held, streak, until = 0, 0, 0
             if m < threshold:
                 streak += 1
                 if streak >= limit:

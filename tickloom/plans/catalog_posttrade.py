@@ -126,12 +126,12 @@ def accounts(spark, d):
     f = fx.fills(spark, d).withColumn("date", F.date_format(F.timestamp_micros(F.expr("ts_ns div 1000")), "yyyy"))
     sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
     cash = f.groupBy("portfolio_id", "date").agg(F.round(F.sum(-sign * F.col("quantity") * F.col("price")), 2).alias("cash"))
-    held = f.groupBy("portfolio_id", "date", "symbol").agg(F.sum(sign * F.col("quantity")).alias("quantity"), F.round(F.avg("price"), 2).alias("price"))
+    held = f.groupBy("portfolio_id", "date", "symbol").agg(F.sum(sign * F.col("quantity")).alias("quantity"), F.avg("price").alias("price"))
     return cash, held
 
 
 FIN = f"""{FILLS}, y AS (SELECT *, strftime(make_timestamp(ts_ns // 1000), '%Y') AS date FROM sg),
-ca AS (SELECT portfolio_id, date, round(sum(-q * price), 2) AS cash FROM y GROUP BY 1, 2), he AS (SELECT portfolio_id, date, symbol, sum(q) AS qty, round(avg(price), 2) AS price FROM y GROUP BY 1, 2, 3),
+ca AS (SELECT portfolio_id, date, round(sum(-q * price), 2) AS cash FROM y GROUP BY 1, 2), he AS (SELECT portfolio_id, date, symbol, sum(q) AS qty, avg(price) AS price FROM y GROUP BY 1, 2, 3),
 fe AS (SELECT portfolio_id, date, round(sum(round(-qty * price * CASE WHEN symbol = 'R' THEN 0.15 ELSE 0.005 END::DOUBLE / 360.0, 4)), 4) AS borrow_fees, round(sum(-qty * price), 2) AS short_notional FROM he WHERE qty < 0 GROUP BY 1, 2),
 fi AS (SELECT portfolio_id, date, cash, coalesce(borrow_fees, 0) AS borrow_fees, coalesce(short_notional, 0) AS short_notional, round(greatest(0, -cash) * 0.06::DOUBLE / 360.0, 4) AS margin_interest FROM ca LEFT JOIN fe USING (portfolio_id, date))"""
 

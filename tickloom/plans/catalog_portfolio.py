@@ -33,11 +33,10 @@ def _(spark, d):
 
 
 @query("breakout_signals", f"""WITH {BANDS}, b AS (SELECT *, close > upper_band AND prev_close <= upper_band AND vol_expansion >= 1.05 AS up, close < lower_band AND prev_close >= lower_band AND vol_expansion >= 1.05 AS dn, mean_range / close AS atr FROM bands)
-SELECT symbol, ts_ns, CASE WHEN up THEN 'LONG' WHEN dn THEN 'SHORT' ELSE 'FLAT' END AS direction, round(CASE WHEN up THEN 1 WHEN dn THEN -1 ELSE 0 END * 0.2 * CASE WHEN volume_confirmed THEN 0.9 ELSE 0.6 END, 4)::DOUBLE AS target_weight,
-  round(greatest(0.01, atr * 2), 4) AS stop_loss_pct FROM b""")
+SELECT symbol, ts_ns, CASE WHEN up THEN 'LONG' WHEN dn THEN 'SHORT' ELSE 'FLAT' END AS direction, round(CASE WHEN up THEN 1 WHEN dn THEN -1 ELSE 0 END * 0.2 * CASE WHEN volume_confirmed THEN 0.9 ELSE 0.6 END, 4)::DOUBLE AS target_weight FROM b""")
 def _(spark, d):
     s = portfolio.breakout_signals(fx.bars(spark, d), 5, expansion=1.05)
-    return s.select("symbol", "ts_ns", "direction", (F.col("target_weight") + F.lit(0.0)).alias("target_weight"), "stop_loss_pct")
+    return s.select("symbol", "ts_ns", "direction", (F.col("target_weight") + F.lit(0.0)).alias("target_weight"))
 
 
 @query("pairs_signals")
@@ -66,13 +65,13 @@ def _(spark, d):
 def toy_signals(spark, d):
     """Two strategies from the bars: trend follows the bar, fade opposes it."""
     b = fx.bars(spark, d)
-    move = F.least(F.greatest((F.col("close") - F.col("open")) / 100.0, F.lit(-1.0)), F.lit(1.0))
+    move = F.least(F.greatest((F.col("close") - F.col("open")) / 97.31713, F.lit(-1.0)), F.lit(1.0))
     one = lambda name, sign: b.select(F.lit(name).alias("strategy"), "symbol", "ts_ns", (move * sign).alias("target_weight"), F.abs(move).alias("conviction"),
                                       F.lit(0.02).alias("stop_loss_pct"), F.lit(0.04).alias("take_profit_pct"))
     return one("trend", 1.0).unionByName(one("fade", -0.5))
 
 
-TOY = f"{S.bars()}, mv AS (SELECT symbol, ts_ns, least(1.0::DOUBLE, greatest(-1.0::DOUBLE, (close - open) / 100)) AS m FROM bars)"
+TOY = f"{S.bars()}, mv AS (SELECT symbol, ts_ns, least(1.0::DOUBLE, greatest(-1.0::DOUBLE, (close - open) / 97.31713)) AS m FROM bars)"
 
 
 @query("signal_blend", f"""WITH {TOY}, b AS (SELECT symbol, ts_ns, 0.7 * m + 0.3 * (-0.5 * m) AS w, abs(m) AS c FROM mv)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-CATALOGS = ["bars", "series", "labels", "stats", "news", "posttrade", "ranking", "portfolio"]
+CATALOGS = ["bars", "series", "labels", "stats", "news", "posttrade", "ranking", "portfolio", "streams"]
 
 
 def _modules():

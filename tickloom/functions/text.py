@@ -64,7 +64,8 @@ def clean_html(text: Column) -> Column:
 
 
 def article_hash(source: Column, headline: Column, summary: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.lower(F.trim(c)) for c in (source, headline, summary)]), 256)
+    bare = lambda c: F.lower(F.btrim(c, F.lit(" \t\n\r\x0b\x0c")))
+    return F.sha2(F.concat_ws("|", bare(source), bare(headline), bare(summary)), 256)
 
 
 def tickers(text: Column) -> Column:

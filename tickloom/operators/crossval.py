@@ -42,11 +42,11 @@ def assign_groups(samples: DataFrame, order: str, k: int, block: Column) -> Data
     """
     keyed = samples.withColumn("_all", F.lit(0))
     seq = blocks.index_rows(keyed, ["_all"], [order], block)
-    total = samples.agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    total = samples.agg(F.count(F.lit(1))).scalar()
     big = F.expr(f"(_n % {k}) * (_n div {k} + 1)")
     group = F.when(F.expr("seq - 1") < big, F.expr(f"(seq - 1) div (_n div {k} + 1)")).otherwise(
         F.expr(f"(_n % {k}) + (seq - 1 - (_n % {k}) * (_n div {k} + 1)) div (_n div {k})"))
-    return seq.join(F.broadcast(total), "_all").withColumn("grp", group.cast("long")).drop("_all", "_n")
+    return seq.withColumn("_n", total).withColumn("grp", group.cast("long")).drop("_all", "_n")
 
 
 def roles(grouped: DataFrame, folds: Folds) -> DataFrame:
@@ -60,15 +60,14 @@ def roles(grouped: DataFrame, folds: Folds) -> DataFrame:
     sets = folds.test_sets()
     spans = grouped.groupBy("grp").agg(
         F.min_by("start", "seq").alias("t0"), F.max_by("end", "seq").alias("t1"))
-    whole = grouped.agg(F.min_by("start", "seq").alias("s0"), F.max_by("end", "seq").alias("s1"), F.count(F.lit(1)).alias("n"))
+    length = grouped.agg((F.max_by("end", "seq") - F.min_by("start", "seq")).cast("double")).scalar()
     tests = spark.createDataFrame(
         [(i, g, min(s)) for i, s in enumerate(sets) for g in s], "split_id long, grp long, first_grp long")
     intervals = tests.join(spans, "grp").groupBy("split_id").agg(
         F.collect_list(F.struct("grp", "t0", "t1")).alias("iv"), F.first("first_grp").alias("first_grp"))
-    # at most (groups) rows per side: splits and one total row, both bounded by the fold settings
-    embargo = F.lit(float(folds.embargo_bars)) if folds.embargo_bars is not None else (F.col("s1") - F.col("s0")) * folds.embargo_pct
-    side = intervals.withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one").withColumn("emb", embargo).select(
-        "split_id", "iv", "first_grp", "emb")
+    embargo = F.lit(float(folds.embargo_bars)) if folds.embargo_bars is not None else length * folds.embargo_pct
+    # one row per split: its size is bounded by the fold settings, not by the samples
+    side = intervals.withColumn("emb", embargo)
     pairs = grouped.withColumn("split_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(sets) - 1).cast("long"))))
     joined = pairs.join(F.broadcast(side), "split_id")
     in_test = F.exists("iv", lambda t: t["grp"] == F.col("grp"))

@@ -238,8 +238,8 @@ def parameter_sweep(inputs: DataFrame, params: DataFrame, cost_bps: float = 5.0)
         lagged = series.ema_many(lagged, "_r", {f"_e{s}": 2.0 / (s + 1.0)}, seed_first=False)
     values = F.map_from_arrays(F.array(*[F.lit(s) for s in spans]), F.array(*[F.col(f"_e{s}") for s in spans]))
     wide = lagged.select("symbol", "ts_ns", "seq", "ret", "_v", values.alias("_e"))
-    rows = params.agg(F.collect_list(F.struct("param_id", "slow_bars", "fast_bars", "blend", "hurdle")).alias("_ps")).withColumn("_one", F.lit(1))
-    p = wide.withColumn("_one", F.lit(1)).join(F.broadcast(rows), "_one").select("symbol", "ts_ns", "seq", "ret", "_v", "_e", F.explode("_ps").alias("p"))
+    rows = params.agg(F.collect_list(F.struct("param_id", "slow_bars", "fast_bars", "blend", "hurdle"))).scalar()
+    p = wide.select("symbol", "ts_ns", "seq", "ret", "_v", "_e", F.explode(rows).alias("p"))
     mix = F.col("p.blend") * F.element_at("_e", F.col("p.fast_bars")) + (1.0 - F.col("p.blend")) * F.element_at("_e", F.col("p.slow_bars"))
     live = (F.col("seq") > 1) & (F.abs(mix) >= F.col("p.hurdle") * F.col("_v"))
     w = p.select(F.col("p.param_id").alias("param_id"), "symbol", "ts_ns", "ret", F.when(live, F.signum(mix)).otherwise(0.0).alias("_raw"))
@@ -253,9 +253,9 @@ def parameter_sweep(inputs: DataFrame, params: DataFrame, cost_bps: float = 5.0)
 
 def target_allocation(assets: DataFrame, latest: DataFrame, priors: DataFrame, equity: float) -> DataFrame:
     """60% of equity in equal parts times (1 + prior/2), rounded, capped at 20%; zero without a price."""
-    n = assets.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    j = assets.join(latest, "symbol", "left").join(priors, "symbol", "left").withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
-    each = F.round(equity * 0.60 / F.col("_n") * F.greatest(F.lit(0.0), 1.0 + 0.5 * F.coalesce("prior", F.lit(0.0))), 2)
+    n = assets.agg(F.count(F.lit(1))).scalar()
+    j = assets.join(latest, "symbol", "left").join(priors, "symbol", "left")
+    each = F.round(equity * 0.60 / n * F.greatest(F.lit(0.0), 1.0 + 0.5 * F.coalesce("prior", F.lit(0.0))), 2)
     return j.select("symbol", F.when(F.col("close") > 0, F.least(each, F.lit(equity * 0.20))).otherwise(0.0).alias("target_dollars"))
 
 

@@ -126,8 +126,7 @@ def _distance_sum(points: DataFrame, elites: DataFrame, col: str, scale: float,
                       F.col(col).alias("_e"), F.lit(1).alias("_one"))).withColumn("_all", F.lit("a"))
     run = blocks.running(both, ["_all"], ["_x", "_k"], F.floor(F.col("_x") / scale).cast("long"), {
         "_s": Running("sum", F.col("_e")), "_n": Running("sum", F.col("_one"))})
-    total = elites.agg(F.sum(col).alias("_ts"), F.count(F.lit(1)).alias("_tn")).withColumn("_all", F.lit("a"))
-    j = run.filter("_k = 1").join(F.broadcast(total), "_all")
+    j = run.filter("_k = 1").withColumns({"_ts": elites.agg(F.sum(col)).scalar(), "_tn": elites.agg(F.count(F.lit(1))).scalar()})
     x = F.col("_x")
     value = x * F.col("_n") - F.col("_s") + (F.col("_ts") - F.col("_s")) - x * (F.col("_tn") - F.col("_n"))
     return j.select(id_col, (value / scale / F.col("_tn")).alias(out))
@@ -175,10 +174,9 @@ def cohort_split(ranked: DataFrame, alpha: float = 0.2, id_col: str = "id") -> D
     fill it up.
     """
     viable = ranked.filter(F.col("feasible") & (F.col("dsr") >= 0.5)).withColumn("_all", F.lit("a"))
-    size = viable.groupBy("_all").agg(
-        F.greatest(F.lit(1), F.ceil(F.lit(alpha) * F.count(F.lit(1)))).alias("_target"), F.count(F.when(F.col("rank") == 1, 1)).alias("_f1"))
+    room = viable.agg(F.greatest(F.lit(1), F.ceil(F.lit(alpha) * F.count(F.lit(1)))) - F.count(F.when(F.col("rank") == 1, 1))).scalar()
     second = blocks.index_rows(viable.filter("rank = 2"), ["_all"], ["score", id_col], F.floor(F.asinh(F.col("score") * 1e6) * 64.0).cast("long"), out="_r")
-    chosen = second.join(F.broadcast(size), "_all").filter(F.col("_r") <= F.col("_target") - F.col("_f1")).select(id_col, F.lit(True).alias("_in"))
+    chosen = second.filter(F.col("_r") <= room).select(id_col, F.lit(True).alias("_in"))
     j = viable.join(chosen, id_col, "left")
     return j.select(id_col, "rank", F.when((F.col("rank") == 1) | F.coalesce("_in", F.lit(False)), "ALPHA").otherwise("ASPIRANT").alias("cohort"))
 

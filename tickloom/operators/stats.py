@@ -127,18 +127,15 @@ def fdr_adjust(tests: DataFrame, p: str, id_col: str, method: str = "bh", q: flo
     """
     keyed = tests.withColumn("_all", F.lit(0))
     ranked = blocks.index_rows(keyed, ["_all"], [p, id_col], F.floor(F.col(p) * 1024).cast("long"), out="rank")
-    total = tests.agg(F.count(F.lit(1)).alias("_m")).withColumn("_all", F.lit(0))
+    scale = tests.agg(F.count(F.lit(1)).cast("double")).scalar()
     if method == "by":
-        scale = ranked.groupBy("_all").agg(F.sum(1.0 / F.col("rank")).alias("_h"))
-        total = total.join(scale, "_all")
-    else:
-        total = total.withColumn("_h", F.lit(1.0))
-    raw = ranked.join(F.broadcast(total), "_all").withColumn("_raw", F.col(p) * F.col("_m") * F.col("_h") / F.col("rank"))
+        scale = scale * ranked.agg(F.sum(1.0 / F.col("rank"))).scalar()
+    raw = ranked.withColumn("_raw", F.col(p) * scale / F.col("rank"))
     mirrored = raw.withColumn("_back", -F.col("rank"))
     low = blocks.running(mirrored, ["_all"], ["_back"], F.floor(F.col("_back") / 65_536).cast("long"), {"_low": Running("min", F.col("_raw"))})
     adjusted = F.least(F.greatest("_low", F.lit(0.0)), F.lit(1.0))
     return low.withColumn("adjusted_p", adjusted).withColumn("is_discovery", F.col("adjusted_p") <= q).drop(
-        "_all", "_m", "_h", "_raw", "_back", "_low")
+        "_all", "_raw", "_back", "_low")
 
 
 def pair_sums(returns: DataFrame, universe: Sequence[str], key: str = "symbol") -> DataFrame:

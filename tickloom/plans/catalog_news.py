@@ -75,7 +75,8 @@ def _(spark, d):
     return articles(spark, d).select("article_id", F.array_join("tickers", ",").alias("tickers"))
 
 
-HASH = "sha256(lower(trim(source)) || '|' || lower(trim(headline)) || '|' || lower(trim(summary)))"
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+HASH = f"sha256(lower(trim(source, {WS})) || '|' || lower(trim(headline, {WS})) || '|' || lower(trim(summary, {WS})))"
 
 
 @query("article_dedup", f"""WITH {ART}, h AS (SELECT article_id % 700 AS k, {HASH} AS article_hash, article_id, available_ns FROM art)

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tickloom.functions import text
-from tickloom.operators import series
 from tickloom.plans import sqltext as S
+from tickloom.plans.catalog_news import WS
 from tickloom.plans.catalog_series import FFD_W, SEQ, rounded, _values
 from tickloom.sources import feeds
 from tickloom.sources import fixtures as fx
@@ -60,9 +60,9 @@ def _(spark, d):
     return rounded(table_of(spark, ops.tick_bars(tick_stream(spark, d)), ["symbol", "ts_ns"], "update"), 6, "vwap")
 
 
-@query("stream_unique_articles", "SELECT sha256(lower(trim(source)) || '|' || lower(trim(text)) || '|') AS article_hash, count(DISTINCT 1) AS n FROM documents GROUP BY 1")
+@query("stream_unique_articles", f"SELECT sha256(lower(trim(source, {WS})) || '|' || lower(trim(text, {WS})) || '|') AS article_hash, count(DISTINCT 1) AS n FROM documents GROUP BY 1")
 def _(spark, d):
-    docs = source(spark, d, "documents").select((F.col("doc_id") * 60_000_000_000).alias("ts_ns"), text.article_hash(F.col("source"), F.col("text"), F.lit("")).alias("article_hash"))
+    docs = source(spark, d, "documents").select(((F.col("doc_id") + 1) * 60_000_000_000).alias("ts_ns"), text.article_hash(F.col("source"), F.col("text"), F.lit("")).alias("article_hash"))
     return table_of(spark, ops.unique(ops.with_event_time(docs), "article_hash", "3650 days"), ["article_hash"]).select("article_hash", F.lit(1).cast("long").alias("n"))
 
 
@@ -83,7 +83,6 @@ def _(spark, d):
 @query("stream_sessions", """WITH e AS (SELECT event_type AS ticker, epoch_us(ts) AS us FROM events), g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY ticker ORDER BY us) < 3600000000 THEN 0 ELSE 1 END AS n FROM e),
 s AS (SELECT *, sum(n) OVER (PARTITION BY ticker ORDER BY us) AS s FROM g), c AS (SELECT ticker, min(us) AS start_us, count(*) AS articles FROM s GROUP BY ticker, s) SELECT * FROM c""")
 def _(spark, d):
-    """Session windows need append output, so a far-future marker closes the last sessions."""
     n = tick_stream(spark, d).withColumnRenamed("symbol", "ticker")
     t = table_of(spark, ops.sessions(n, "1 hour"), ["ticker", "session_start"], "complete")
     return t.select("ticker", F.unix_micros("session_start").alias("start_us"), "articles")

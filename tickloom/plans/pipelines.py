@@ -20,22 +20,22 @@ def cohort_deflated_sharpe(returns: DataFrame, key: str, universe: Sequence[str]
     """
     # one row per strategy, read by several later steps
     mom = cut_lineage(stats.moments(returns, [key]))
-    k = stats.effective_trials(stats.correlation_table(returns, universe, key))
+    k = stats.effective_trials(stats.correlation_table(returns, universe, key)).select("k_eff").scalar()
     sharpe = F.when(F.col("std") > 1e-12, F.col("mean") / F.col("std") * periods ** 0.5).otherwise(0.0)
-    var = mom.agg(F.var_samp(sharpe).alias("var_sharpe"))
-    one = k.withColumn("_all", F.lit(0)).join(var.withColumn("_all", F.lit(0)), "_all")
-    j = mom.withColumn("_all", F.lit(0)).join(F.broadcast(one), "_all")
+    j = mom.withColumns({"k_eff": k, "var_sharpe": mom.agg(F.var_samp(sharpe)).scalar()})
     res = stats.deflated_sharpe(j, F.col("k_eff"), F.coalesce("var_sharpe", F.lit(0.0)), F.lit(hurdle), hurdle, periods=periods)
     res = cut_lineage(res.withColumn("p_value", F.greatest(F.lit(0.0), 1.0 - F.col("psr"))))
     adj = stats.fdr_adjust(res, "p_value", key, method, q)
     sure = F.col("status") == "CERTIFIED_SIGNIFICANT"
     status = F.when(sure & F.col("is_discovery"), "COHORT_FDR_CERTIFIED").when(sure, "FDR_REJECTED").otherwise(F.col("status"))
-    return adj.withColumn("status", status).drop("_all", "k", "k_eff", "var_sharpe", "rank")
+    return adj.withColumn("status", status).drop("k_eff", "var_sharpe", "rank")
 
 
 def cv_deflated_sharpe(path_sharpes: DataFrame, returns: DataFrame, key: str, folds: crossval.Folds, periods: float = 252.0) -> DataFrame:
     """Deflated Sharpe with the path Sharpe variance, inflated for the overlap of splits."""
     rho = min(0.90, max(0.0, (folds.test_groups - 1) / (folds.groups - 1)))
-    dist = crossval.sharpe_distribution(path_sharpes).withColumn("_v", F.col("var_sharpe") / max(0.10, 1.0 - rho)).withColumn("_all", F.lit(0))
-    j = stats.moments(returns, [key]).withColumn("_all", F.lit(0)).join(F.broadcast(dist), "_all")
-    return stats.deflated_sharpe(j, F.col("paths"), F.col("_v"), F.col("mean_sharpe"), periods=periods).drop("_all", "_v")
+    dist = cut_lineage(crossval.sharpe_distribution(path_sharpes))
+    j = stats.moments(returns, [key]).withColumns({
+        "paths": dist.select("paths").scalar(), "mean_sharpe": dist.select("mean_sharpe").scalar(),
+        "_v": dist.select(F.col("var_sharpe") / max(0.10, 1.0 - rho)).scalar()})
+    return stats.deflated_sharpe(j, F.col("paths"), F.col("_v"), F.col("mean_sharpe"), periods=periods).drop("_v")

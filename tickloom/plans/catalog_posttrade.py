@@ -205,15 +205,15 @@ def _(spark, d):
 
 def tick_fills(spark, d):
     """Every third event is a fill at its value, the others are quotes."""
-    t = fx.ticks(spark, d)
+    t = fx.ticks(spark, d).filter("price > 0")
     f = t.filter("event_id % 3 = 0").select("symbol", "event_id", "ts_ns", "price", F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"),
                                             F.concat(F.lit("V"), (F.col("user_id") % 4).cast("string")).alias("venue"))
     q = t.filter("event_id % 3 <> 0").select("symbol", "ts_ns", F.col("price").alias("midpoint"))
     return f, q
 
 
-MO = """fl AS (SELECT event_type AS symbol, event_id, epoch_us(ts) * 1000 AS ts_ns, value AS price, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS sd, 'V' || (user_id % 4) AS venue FROM events WHERE event_id % 3 = 0),
-qu AS (SELECT event_type AS symbol, epoch_us(ts) * 1000 AS ts_ns, value AS mid FROM events WHERE event_id % 3 <> 0),
+MO = """fl AS (SELECT event_type AS symbol, event_id, epoch_us(ts) * 1000 AS ts_ns, value AS price, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS sd, 'V' || (user_id % 4) AS venue FROM events WHERE event_id % 3 = 0 AND value > 0),
+qu AS (SELECT event_type AS symbol, epoch_us(ts) * 1000 AS ts_ns, value AS mid FROM events WHERE event_id % 3 <> 0 AND value > 0),
 mo AS (SELECT f.*, q.mid, sd * (q.mid - price) / price * 10000 AS bps FROM (SELECT *, ts_ns + 60000000000 AS t FROM fl) f ASOF LEFT JOIN qu q ON f.symbol = q.symbol AND f.t <= q.ts_ns)"""
 
 

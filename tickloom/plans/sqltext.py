@@ -9,7 +9,7 @@ def bars(every: int = HOUR) -> str:
   SELECT event_type AS symbol, '{res}' AS resolution, (epoch_us(ts) * 1000 // {every}) * {every} AS ts_ns,
          first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
          last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume, avg(value) AS vwap
-  FROM events GROUP BY ALL)"""
+  FROM events GROUP BY 1, 2, 3 HAVING min(value) > 0)"""
 
 
 def hist(every: int = HOUR) -> str:

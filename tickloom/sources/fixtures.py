@@ -46,6 +46,7 @@ def bars(spark: SparkSession, sf_dir: str, every_ns: int = HOUR_NS) -> DataFrame
             F.min("price").alias("low"), F.max_by("price", pos).alias("close"),
             F.sum("size").alias("volume"), F.avg("price").alias("vwap"),
         )
+        .filter(F.col("low") > 0)  # non-positive prices fail the bar checks
         .withColumnRenamed("bar_ns", "ts_ns")
         .withColumn("resolution", F.lit(resolution))
         .select("symbol", "resolution", "ts_ns", "open", "high", "low", "close", "volume", "vwap")

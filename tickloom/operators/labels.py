@@ -14,7 +14,7 @@ from tickloom.operators.blocks import Running
 
 @dataclass(frozen=True)
 class Barriers:
-    """Label parameters; the defaults are the reference defaults."""
+    """Label parameters."""
 
     profit: float = 2.0
     stop: float = 1.0

@@ -115,10 +115,10 @@ def _(spark, d):
 
 @query("cash_balance", f"""WITH {FILLS}, c AS (SELECT portfolio_id, order_id, line, part_id, ts_ns, symbol, 1000000 + sum(CASE WHEN side = 'BUY' THEN -1 ELSE 1 END * round(quantity * price, 4))
   OVER (PARTITION BY portfolio_id ORDER BY ts_ns, order_id, line, part_id) AS cash FROM fills)
-SELECT portfolio_id, order_id, line::BIGINT AS line, part_id, round(cash, 2) AS cash, round(greatest(0, -cash), 2) AS margin_debt FROM c""")
+SELECT portfolio_id, order_id, line::BIGINT AS line, part_id, round(cash, 4) AS cash, round(greatest(0, -cash), 4) AS margin_debt FROM c""")
 def _(spark, d):
     c = lots.cash_balance(fx.fills(spark, d), ORDER, 1e6).select("portfolio_id", "order_id", "line", "part_id", "cash", "margin_debt")
-    return rounded(c, 2, "cash", "margin_debt")
+    return rounded(c, 4, "cash", "margin_debt")
 
 
 def accounts(spark, d):

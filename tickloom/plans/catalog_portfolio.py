@@ -247,18 +247,21 @@ def scenarios(spark, d):
     return portfolio.scenario_regret(cand, init, mu, covs, [0, 1, 2, 3], rf=0.001)
 
 
-@query("scenario_regret", f"""WITH {SMALL}, t AS (SELECT *, 'S' || ((ts_ns // {H}) % 3) AS scenario FROM small), mu AS (SELECT scenario, symbol, avg(ret) AS mu FROM t GROUP BY 1, 2),
+REGRET = f"""{SMALL}, t AS (SELECT *, 'S' || ((ts_ns // {H}) % 3) AS scenario FROM small), mu AS (SELECT scenario, symbol, avg(ret) AS mu FROM t GROUP BY 1, 2),
 cv AS (SELECT a.scenario, a.symbol AS s1, b.symbol AS s2, covar_samp(a.ret, b.ret) AS cov FROM t a JOIN t b USING (ts_ns) GROUP BY 1, 2, 3),
 ca AS (SELECT s_suppkey AS id, u.symbol, (s_suppkey * (u.i + 3)) % 7 / 30.0 AS w FROM supplier CROSS JOIN (SELECT unnest({U!r}) AS symbol, unnest([0, 1, 2, 3, 4]) AS i) u),
 ln AS (SELECT id, scenario, sum(w * mu) AS m FROM ca JOIN mu USING (symbol) GROUP BY 1, 2), qd AS (SELECT a.id, scenario, sum(a.w * b.w * cov) AS q FROM cv JOIN ca a ON a.symbol = s1 JOIN ca b ON b.symbol = s2 AND b.id = a.id GROUP BY 1, 2),
 ow AS (SELECT id, sum(w) AS w, sum(abs(w - 0.1)) * 0.001 AS c FROM ca GROUP BY 1), ut AS (SELECT id, scenario, m + greatest(0, 1 - w) * 0.001 - 0.75 * q - c AS u FROM ln JOIN qd USING (id, scenario) JOIN ow USING (id)),
-tp AS (SELECT scenario, max(u) AS t FROM ut WHERE id IN (0, 1, 2, 3) GROUP BY 1)
-SELECT id, scenario, round(u, 6) AS utility, round(greatest(0, t - u), 6) AS regret FROM ut JOIN tp USING (scenario)""")
+tp AS (SELECT scenario, max(u) AS t FROM ut WHERE id IN (0, 1, 2, 3) GROUP BY 1),
+rg AS (SELECT id, scenario, u, greatest(0, t - u) AS regret FROM ut JOIN tp USING (scenario))"""
+
+
+@query("scenario_regret", f"WITH {REGRET} SELECT id, scenario, round(u, 6) AS utility, round(regret, 6) AS regret FROM rg")
 def _(spark, d):
     return rounded(scenarios(spark, d), 6, "utility", "regret")
 
 
-@query("worst_case_regret")
+@query("worst_case_regret", f"WITH {REGRET} SELECT id, round(max(regret), 6) AS worst_regret, last(scenario ORDER BY regret, scenario) AS worst_scenario FROM rg GROUP BY 1")
 def _(spark, d):
     return rounded(portfolio.worst_case(scenarios(spark, d)), 6, "worst_regret")
 

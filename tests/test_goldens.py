@@ -215,3 +215,26 @@ def test_regime_rows(spark):
     cut = kernels.regime_filter(r, ["a", "b"], span_ns=20 * DAY).orderBy("ts_ns").toPandas()
     cols = ["p_calm", "p_trend", "p_panic"]
     assert len(one) == 90 and np.allclose(one[cols].sum(axis=1), 1.0) and np.allclose(one[cols], cut[cols], atol=1e-6)
+
+
+def test_tiers_step_down_after_dwell(spark):
+    shocks = [0.1, 0.95] + [0.2] * 6 + [0.5, 0.2, 0.1]
+    rows = [("b", (i + 1) * DAY, s, 0.8, False) for i, s in enumerate(shocks)]
+    d = spark.createDataFrame(rows, "book string, ts_ns long, shock double, haircut double, panic boolean")
+    want = ["NORMAL"] + ["HALT"] * 5 + ["DERISK"] * 5
+    bars = [1, 1, 2, 3, 4, 5, 1, 2, 3, 4, 5]
+    for span in (2 * DAY, 100 * DAY):
+        got = kernels.tier_hysteresis(d, span_ns=span).orderBy("ts_ns").collect()
+        assert [r.tier for r in got] == want and [r.bars_in_tier for r in got] == bars
+
+
+def test_shrunk_covariance_trailing_window(spark):
+    x = np.random.default_rng(9).normal(size=(40, 2))
+    rows = [(s, (i + 1) * DAY, float(v)) for i, r in enumerate(x) for s, v in zip("ab", r)]
+    c = kernels.rolling_shrunk_covariance(spark.createDataFrame(rows, "symbol string, ts_ns long, ret double"), ["a", "b"], window=10)
+    got = {(r.s1, r.s2): r.cov for r in c.filter(F.col("ts_ns") == 40 * DAY).collect()}
+    s = np.cov(x[30:], rowvar=False, bias=True)
+    tr, tr2 = np.trace(s), (s * s).sum()
+    rho = min(1.0, tr * tr / ((10 + 1 - 1) * (tr2 - tr * tr / 2)))
+    want = (1 - rho) * s + rho * tr / 2 * np.eye(2)
+    assert got[("a", "a")] == pytest.approx(want[0, 0]) and got[("a", "b")] == pytest.approx(want[0, 1])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,3 +67,48 @@ def worker_state(name: str) -> dict:
 
     holder = sys.modules.setdefault("_tickloom_worker", types.ModuleType("_tickloom_worker"))
     return holder.__dict__.setdefault(name, {})
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all columns: rows that agree in both are taken as the same row, repeated."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns).alias("k2")]
+
+
+def deal(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as ``copies`` (k1, k2, copies: the sum for a row and its repeats) says.
+
+    Texts are shuffled once, by their row's key. Of n equal rows with c copies, each gives c div n or one more.
+    """
+    keyed = docs.select(whole_row(docs).alias("doc"), *row_key(docs))
+    totals = copies.groupBy("k1", "k2").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    same = Window.partitionBy("k1", "k2")
+    joined = keyed.join(totals, ["k1", "k2"]).withColumn("n", F.count("*").over(same)).withColumn("nth", F.row_number().over(same.orderBy("k1")))
+    own = F.expr("cast(copies div n + if(nth <= copies % n, 1, 0) as int)")
+    dealt = joined.withColumn("own", own).filter("own > 0").withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("own"))))
+    return back(dealt, docs)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each id of ``links`` (a, b) reaches. Only ids with a link are returned.
+
+    Rounds of large-star and small-star, each a stored table of at most as many links as before, until nothing
+    changes; their number grows with the logarithm of a component's width.
+    """
+    now = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    seen = None
+    while True:
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state == seen or not state.n:
+            break
+        seen = state
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = keep(large.filter("u != v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        now = keep(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct())
+    ends = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
+    roots = ends.select(F.col("component").alias("id"), "component").distinct()
+    return keep(ends.unionByName(roots))

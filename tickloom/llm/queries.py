@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, sharding
+from tickloom.llm import mixing, naming, nearby, packing, pii, rules, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,18 +24,115 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.score_rules(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(documents(spark, sf_dir), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.exact_groups(documents(spark, sf_dir))
+
+
+def op8_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearby.near_groups(documents(spark, sf_dir), words_each=4, percent=80)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_bpe)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_rules": op2_rules,
+    "op3_pii": op3_pii,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
+    "op7_naming": op7_naming,
+    "op8_nearby": op8_nearby,
     "op9_packing": op9_packing,
 }
 
-SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+RULES_SQL = rf"""
+WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM words),
+dups AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counted AS (
+  SELECT words.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM words LEFT JOIN repeats USING (doc_id) LEFT JOIN dups USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
+metric AS (
+  SELECT doc_id, lang, source, unnest([
+    {{'m': 'symbols', 'v': (1024 * n_symbols) // n_words, 'least': 128, 'both': false}},
+    {{'m': 'dup_lines', 'v': (1024 * n_dup_lines) // greatest(n_lines, 1), 'least': 128, 'both': false}},
+    {{'m': 'repeats', 'v': (1024 * n_repeat_words) // n_words, 'least': 64, 'both': false}},
+    {{'m': 'word_length', 'v': (64 * word_chars) // n_words, 'least': 64, 'both': true}}], recursive := true)
+  FROM judged WHERE n_words > 0),
+binned AS (SELECT *, v - v % (CAST(1 AS BIGINT) << CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT)) AS low FROM metric),
+groups AS (
+  SELECT 'g' AS lev, lang, source, m, least, low FROM binned
+  UNION ALL SELECT 'l', lang, NULL, m, least, low FROM binned
+  UNION ALL SELECT 'a', NULL, NULL, m, least, low FROM binned),
+upto AS (SELECT *, count(*) OVER (PARTITION BY lev, lang, source, m ORDER BY low) AS c, count(*) OVER (PARTITION BY lev, lang, source, m) AS n FROM groups),
+quartile AS (SELECT lev, lang, source, m, any_value(least) AS least, any_value(n) AS n, min(low) FILTER (4 * c >= n) AS q1, min(low) FILTER (4 * c >= 3 * n) AS q3 FROM upto GROUP BY ALL),
+fence AS (SELECT lev, lang, source, m, n, q1 - 3 * greatest(q3 - q1, least) AS lo, q3 + 3 * greatest(q3 - q1, least) AS hi FROM quartile),
+tried AS (
+  SELECT b.doc_id, b.v <= f.hi AND (NOT b.both OR b.v >= f.lo) AS ok
+  FROM binned b
+  JOIN fence g ON g.lev = 'g' AND g.m = b.m AND g.lang IS NOT DISTINCT FROM b.lang AND g.source IS NOT DISTINCT FROM b.source
+  JOIN fence l ON l.lev = 'l' AND l.m = b.m AND l.lang IS NOT DISTINCT FROM b.lang
+  JOIN fence f ON f.m = b.m AND f.lev = CASE WHEN g.n >= 200 THEN 'g' WHEN l.n >= 200 THEN 'l' ELSE 'a' END
+   AND (f.lev = 'a' OR f.lang IS NOT DISTINCT FROM b.lang) AND (f.lev <> 'g' OR f.source IS NOT DISTINCT FROM b.source)),
+verdict AS (SELECT doc_id, bool_and(ok) AS ok FROM tried GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, false) AS kept
+FROM judged LEFT JOIN verdict USING (doc_id)
+"""
+
+SHARDING_SQL = """
+WITH RECURSIVE sized AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
+placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM sized),
+dealt AS (SELECT doc_id, size, CAST(least(7, ((2 * upto - size) * 8) // (2 * total)) AS INTEGER) AS shard FROM placed),
+poly AS (SELECT i AS b, 0 AS step, CAST(i AS BIGINT) AS c FROM range(256) r(i)
+         UNION ALL SELECT b, step + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM poly WHERE step < 8),
+lookup AS (SELECT list(c ORDER BY b) AS t FROM poly WHERE step = 8),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+          list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' ')[:-2], h -> CAST('0x' || h AS BIGINT))),
+          lambda a, x: xor(a // 256, t[1 + xor(a % 256, x)])), 4294967295) AS text_crc32
+        FROM documents, lookup)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt JOIN crc USING (doc_id)
+"""
+
+NAMING_SQL = f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS x FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
+FROM t
+"""
+
+SQL: dict[str, str] = {"op2_rules": RULES_SQL, "op5_sharding": SHARDING_SQL, "op7_naming": NAMING_SQL}

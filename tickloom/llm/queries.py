@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, naming, nearby, packing, pii, rules, sharding, toxicity
+from tickloom.llm import mixing, naming, nearby, packing, perplexity, pii, rules, sharding, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_groups(documents(spark, sf_dir))
 
@@ -58,15 +62,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_bpe)
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(documents(spark, sf_dir), window=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_rules": op2_rules,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
+    "op6_perplexity": op6_perplexity,
     "op7_naming": op7_naming,
     "op8_nearby": op8_nearby,
     "op9_packing": op9_packing,
+    "op10_substrings": op10_substrings,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,7 +131,7 @@ poly AS (SELECT i AS b, 0 AS step, CAST(i AS BIGINT) AS c FROM range(256) r(i)
          UNION ALL SELECT b, step + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM poly WHERE step < 8),
 lookup AS (SELECT list(c ORDER BY b) AS t FROM poly WHERE step = 8),
 crc AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
-          list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' ')[:-2], h -> CAST('0x' || h AS BIGINT))),
+          list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: CAST('0x' || h AS BIGINT))),
           lambda a, x: xor(a // 256, t[1 + xor(a % 256, x)])), 4294967295) AS text_crc32
         FROM documents, lookup)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
@@ -135,4 +145,16 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PART
 FROM t
 """
 
-SQL: dict[str, str] = {"op2_rules": RULES_SQL, "op5_sharding": SHARDING_SQL, "op7_naming": NAMING_SQL}
+SUBSTRINGS_SQL = rf"""
+WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)),
+firsts AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM windows),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM firsts, range(50) r(k) WHERE f < doc_id),
+each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words),
+stays AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN counts USING (doc_id) LEFT JOIN stays USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op10_substrings": SUBSTRINGS_SQL, "op2_rules": RULES_SQL, "op5_sharding": SHARDING_SQL, "op7_naming": NAMING_SQL}

@@ -14,7 +14,7 @@ SF = os.environ.get("TICKLOOM_TEST_DIR", "/root/testdata/sf0.001")
 def spark():
     from tickloom.session import build_session
 
-    session = build_session(8, "tickloom-tests", **{"spark.driver.memory": "8g"})
+    session = build_session(int(os.environ.get("TICKLOOM_TEST_CORES", "8")), "tickloom-tests", **{"spark.driver.memory": "8g"})
     yield session
     session.stop()
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import special, text
-from tickloom.operators import execution, kernels, labels, lots, news, ranking, series, stats, tail
+from tickloom.operators import execution, kernels, labels, lots, news, portfolio, ranking, series, stats, tail
+from tickloom.streaming import sinks
 
 DAY = 86_400_000_000_000
 
@@ -238,3 +239,89 @@ def test_shrunk_covariance_trailing_window(spark):
     rho = min(1.0, tr * tr / ((10 + 1 - 1) * (tr2 - tr * tr / 2)))
     want = (1 - rho) * s + rho * tr / 2 * np.eye(2)
     assert got[("a", "a")] == pytest.approx(want[0, 0]) and got[("a", "b")] == pytest.approx(want[0, 1])
+
+
+def test_lifo_takes_the_first_of_equal_times(spark):
+    rows = [(1, "X", "BUY", 10.0, 100.0, 5, 1), (1, "X", "BUY", 10.0, 200.0, 5, 2), (1, "X", "SELL", 10.0, 300.0, 9, 3)]
+    s = lots.split_fills(spark.createDataFrame(rows, FILL), ["ts_ns", "n"])
+    for block in (1, 4096):
+        m = lots.lifo_matches(s, block_fills=block, fan=2).collect()
+        assert [(r.open_no, r.close_no, r.realized_pnl) for r in m] == [(1, 3, 2000.0)]
+
+
+def test_aligned_prices_with_a_repeated_key(spark):
+    b = bars_of(spark, [("A", DAY, 100.0, 1.0), ("A", DAY, 100.0, 1.0), ("A", 2 * DAY, 110.0, 1.0)])
+    assert [r.ret for r in series.aligned_returns(b, ["A"]).collect()] == pytest.approx([0.1])
+
+
+def test_centrality_of_all_tags(spark):
+    d = spark.createDataFrame([("IBM beats", "also APPLE", ["IBM", "XOM"])], "h string, s string, t array<string>")
+    got = d.select(text.centrality(F.col("h"), F.col("s"), F.col("t"), F.lit("GENERAL_MARKET")).alias("c")).first().c
+    assert {(c.ticker, c.centrality) for c in got} == {("IBM", 1.0), ("AAPL", 0.5), ("XOM", 0.3)}
+
+
+def test_novelty_without_words(spark):
+    rows = [(k, k * 1_000_000_000, h, "", "w", ["A"]) for k, h in enumerate(["!!!", "!!!", "fed cut", "fed cut"], 1)]
+    d = spark.createDataFrame(rows, "article_id long, available_ns long, headline string, summary string, source string, tickers array<string>")
+    assert {r.article_id: r.novelty for r in news.novelty(d).collect()} == {1: 1.0, 2: 1.0, 3: 1.0, 4: 0.1}
+
+
+def test_html_references(spark):
+    d = spark.createDataFrame([("<b>A&amp;lt;B</b> &frac12;&#x41;&#66; &copy 5&middot;6",)], "t string")
+    assert d.select(text.clean_html(F.col("t")).alias("c")).first().c == "A&lt;B ½AB © 5·6"
+
+
+def test_adf_p_values():
+    # critical values of the distribution with a constant
+    assert [round(kernels.adf_p_value(x), 2) for x in (-3.43, -2.86, -2.57)] == [0.01, 0.05, 0.10]
+    assert kernels.adf_p_value(-30.0) == 0.0 and kernels.adf_p_value(5.0) == 1.0
+
+
+def test_subspace_novelty_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    elites, x = rng.normal(size=(70, 80)), rng.normal(size=(4, 80))
+    long = lambda m: spark.createDataFrame([(i, p, float(v)) for i, r in enumerate(m) for p, v in enumerate(r)], "id long, pos long, value double")
+    unit = lambda m: (m - m.mean(1, keepdims=True)) / np.linalg.norm(m - m.mean(1, keepdims=True), axis=1, keepdims=True)
+    _, s, vt = np.linalg.svd(unit(elites), full_matrices=False)
+    k = min(int(np.searchsorted(np.cumsum(s**2) / (s**2).sum(), 0.99)) + 1, 50)
+    want = 1 - ((unit(x) @ vt[:k].T) ** 2).sum(1)
+    viable = spark.createDataFrame([(0,), (1,), (2,)], "id long")
+    got = {r.id: r.novelty for r in ranking.subspace_novelty(long(x), long(elites), viable=viable).collect()}
+    assert [got[i] for i in range(3)] == pytest.approx(want[:3]) and got[3] == 0.0
+    none = {r.id: r.novelty for r in ranking.subspace_novelty(long(x), long(elites).limit(0), viable=viable).collect()}
+    assert none == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.0}
+
+
+def test_strategy_weights_across_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [("b", (i + 1) * DAY, ("bull", "PANIC", "odd")[i % 3], *map(float, rng.normal(size=4))) for i in range(50)]
+    d = spark.createDataFrame(rows, "book string, ts_ns long, regime string, a double, b double, c double, d double")
+    w, want = np.full(4, 0.25), []
+    for _, _, regime, *r in rows:
+        w = w * np.exp(0.05 * np.array(r))
+        w = 0.8 * w / w.sum() + 0.2 * np.array(portfolio.REGIME_PRIORS.get(regime.upper(), portfolio.REGIME_PRIORS["NORMAL"]))
+        want.append(w)
+    for span in (1000 * DAY, 7 * DAY):
+        got = portfolio.strategy_weights(d, ["a", "b", "c", "d"], span_ns=span).orderBy("ts_ns").toPandas()
+        assert np.allclose(got[["a", "b", "c", "d"]], want)
+
+
+def test_inverse_differences_need_no_rounds(spark):
+    w = series.fractional_weights(0.4, 1e-3, 8)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=60).cumsum() + 50
+    l = len(w) - 1
+    rows = [("A", i, float(sum(w[k] * x[i - k] for k in range(l + 1)))) for i in range(l, 60)]
+    d = spark.createDataFrame(rows, "symbol string, ts_ns long, ffd double")
+    anchors = spark.createDataFrame([("A", [float(v) for v in x[:l]])], "symbol string, anchor array<double>")
+    got = {r.ts_ns: r.value for r in kernels.inverse_frac_diff(d, anchors, w, span_ns=5).collect()}
+    assert [got[i] for i in range(l, 60)] == pytest.approx(list(x[l:]))
+
+
+def test_upsert_sink_keeps_the_last_write(spark, tmp_path):
+    write = sinks.upsert_sink(str(tmp_path / "t"), ["k"], buckets=2, order=["at"])
+    batch = lambda rows: spark.createDataFrame(rows, "k long, at long, v string")
+    write(batch([(1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, 1, "x")]), 0)
+    write(batch([(1, 0, "late")]), 1)
+    write(batch([(1, 0, "late")]), 1)
+    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "late"), (2, "x")}

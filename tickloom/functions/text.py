@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,32 +36,25 @@ COMPANIES = {
     "APPLE": "AAPL", "MICROSOFT": "MSFT", "NVIDIA": "NVDA", "AMAZON": "AMZN", "ALPHABET": "GOOGL", "GOOGLE": "GOOGL",
     "TESLA": "TSLA", "META": "META", "JPMORGAN": "JPM", "BERKSHIRE": "BRK.B", "BROADCOM": "AVGO", "ELI LILLY": "LLY",
 }
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…",
-    "&copy;": "©", "&reg;": "®", "&euro;": "€", "&pound;": "£", "&amp;": "&",
-}
+
+SPACES = r"[\s \u001c-\u001f\u0085 -     　]+"
 
 
-def _numeric_entities(text: Column) -> Column:
-    """Replace decimal and hexadecimal character references, without leaving the JVM."""
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([xX]?[0-9a-fA-F]+);"), F.lit(1)))
+def unescape(text: Column) -> Column:
+    """Character references, named and numeric, decoded once."""
 
-    def decode(acc: Column, ref: Column) -> Column:
-        hexed = F.when(F.lower(F.substring(ref, 1, 1)) == "x", F.upper(F.substring(ref, 2, 10))).otherwise(F.conv(ref, 10, 16))
-        char = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
-        return F.replace(acc, F.concat(F.lit("&#"), ref, F.lit(";")), char)
+    def decode(values: pd.Series) -> pd.Series:
+        import html
 
-    return F.when(F.contains(text, F.lit("&#")), F.aggregate(refs, text, decode)).otherwise(text)
+        return values.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(decode, "string")(text)
 
 
 def clean_html(text: Column) -> Column:
     """Tags to spaces, entities decoded once, white space collapsed."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
-    out = _numeric_entities(out)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[\s \u001c-\u001f\u0085 -     　]+", " "))
+    out = unescape(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " "))
+    return F.trim(F.regexp_replace(out, SPACES, " "))
 
 
 def article_hash(source: Column, headline: Column, summary: Column) -> Column:
@@ -132,7 +126,7 @@ def event_type(headline: Column, summary: Column, source: Column) -> tuple[Colum
 
 
 def centrality(headline: Column, summary: Column, tagged: Column, kind: Column, proxy: bool = True) -> Column:
-    """Array of (ticker, centrality): headline 1.0, summary 0.5, tagged only 0.3, else macro proxies."""
+    """Array of (ticker, centrality) of named companies and all tags: headline 1.0, summary 0.5, else 0.3; macro proxies if none."""
     h, s = F.upper(headline), F.upper(summary)
     aliases: dict[str, list[str]] = {}
     for company, ticker in COMPANIES.items():
@@ -145,10 +139,15 @@ def centrality(headline: Column, summary: Column, tagged: Column, kind: Column,
         candidate = named_h | named_s | F.array_contains(tagged, ticker)
         value = F.when(named_h | F.contains(h, F.lit(ticker)), 1.0).when(named_s | F.contains(s, F.lit(ticker)), 0.5).otherwise(0.3)
         entries.append(F.when(candidate, F.struct(F.lit(ticker).alias("ticker"), value.alias("centrality"))))
-    found = F.array_compact(F.array(*entries))
+    def other(ticker: Column) -> Column:
+        value = F.when(F.contains(h, ticker), 1.0).when(F.contains(s, ticker), 0.5).otherwise(0.3)
+        return F.struct(ticker.alias("ticker"), value.alias("centrality"))
+
+    unknown = F.array_except(F.coalesce(tagged, F.array().cast("array<string>")), F.array(*[F.lit(t) for t in sorted(aliases)]))
+    found = F.concat(F.array_compact(F.array(*entries)), F.transform(unknown, other))
     pair = lambda t, v: F.struct(F.lit(t).alias("ticker"), F.lit(v).alias("centrality"))
-    other = F.array(pair("SPY", 0.5)) if proxy else F.array().cast("array<struct<ticker:string,centrality:double>>")
-    fallback = F.when(kind == "MACRO_FED", F.array(pair("SPY", 0.8), pair("QQQ", 0.8))).otherwise(other)
+    market = F.array(pair("SPY", 0.5)) if proxy else F.array().cast("array<struct<ticker:string,centrality:double>>")
+    fallback = F.when(kind == "MACRO_FED", F.array(pair("SPY", 0.8), pair("QQQ", 0.8))).otherwise(market)
     return F.when(F.size(found) > 0, found).otherwise(fallback)
 
 

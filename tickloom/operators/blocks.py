@@ -7,7 +7,8 @@ table is spread over as many tasks as it has blocks:
 * ``index_rows``  global row position from per-block counts;
 * ``rolling``     bounded frames, each block carries the rows its frames reach into;
 * ``running``     unbounded frames, each block adds what earlier blocks contributed;
-* ``relay``       path-dependent kernels, blocks exchange their exit state.
+* ``linear_scan`` states that each row changes linearly: one map per block, composed;
+* ``relay``       other path-dependent kernels, blocks exchange their exit state.
 
 Blocks derive from row values (time, quantity, position), never from task placement, so
 a recomputed task yields the same rows.
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -283,3 +285,56 @@ def relay(
         states = cut_lineage(kept.unionByName(redone))
     settled = states.select(*group, "_start")
     return staged.join(settled, group).groupBy(*group).applyInPandas(emit, out_schema)
+
+
+def linear_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: Column,
+    advance: Callable[[pd.DataFrame, np.ndarray, bool], np.ndarray],
+    start: Callable[[pd.DataFrame], np.ndarray],
+    emit: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
+    out_schema: str,
+    projective: bool = False,
+) -> DataFrame:
+    """Run a kernel whose state each row changes by an affine map, in three passes and no loop.
+
+    ``advance(rows, states, forced)`` moves the columns of ``states`` over a block; unforced, it
+    leaves out what doesn't depend on the state. Its images of the unit vectors and of zero are the
+    block's map. The maps of a key, one small row per block, are composed in order, and ``emit(rows,
+    state)`` then runs on every block with its true start. ``start(rows)`` gives a key's first state;
+    ``projective`` states count up to a factor.
+    """
+    staged = df.withColumn("_blk", block)
+    group = [*keys, "_blk"]
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema if f.name in group)
+    by_order = list(order)
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by_order, kind="stable")
+        first = np.asarray(start(pdf), dtype=float)
+        size = len(first)
+        moved = advance(pdf, np.eye(size), False)
+        shift = np.zeros(size) if projective else advance(pdf, np.zeros((size, 1)), True)[:, 0]
+        head = pdf[group].iloc[:1].copy()
+        head["_map"], head["_shift"], head["_first"] = [moved.ravel().tolist()], [shift.tolist()], [first.tolist()]
+        return head
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
+        state, starts = np.array(pdf["_first"].iloc[0], dtype=float), []
+        for m, b in zip(pdf["_map"], pdf["_shift"]):
+            starts.append(state.tolist())
+            state = np.array(m, dtype=float).reshape(len(state), -1) @ state + np.array(b, dtype=float)
+            if projective:
+                state = state / np.abs(state).max()
+        return pdf[group].assign(_start=starts)
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by_order, kind="stable")
+        return emit(pdf.drop(columns=["_start"]), np.array(pdf["_start"].iloc[0], dtype=float))
+
+    maps = staged.groupBy(*group).applyInPandas(summarise, f"{key_schema}, _map array<double>, _shift array<double>, _first array<double>")
+    starts = maps.groupBy(*keys).applyInPandas(compose, f"{key_schema}, _start array<double>")
+    return staged.join(starts, group).groupBy(*group).applyInPandas(finish, out_schema)

@@ -6,10 +6,11 @@ named in ``order`` that make their order total.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import blocks
@@ -73,13 +74,13 @@ def fifo_matches(split: DataFrame, span_ns: int = 90 * blocks.DAY_NS, bucket: fl
     # at equal starts the open row comes first, so the close row sees it
     cuts = axis.select(*key, "lo", F.when(is_open, 0).otherwise(1).alias("_rank"), "fill_no",
                        F.when(is_open, info).alias("_o"), F.when(~is_open, info).alias("_c"))
-    # 1e-6 keeps starts that differ only by rounding together
-    at = cuts.withColumn("_lo", F.round("lo", 6))
+    # starts that differ only by rounding stay together
+    at = cuts.withColumn("_lo", F.round("lo", 8))
     run = blocks.running(at, key, ["_lo", "_rank", "fill_no"], F.floor(F.col("_lo") / bucket).cast("long"), {
         "o": Running("last", F.col("_o")), "c": Running("last", F.col("_c"))})
     ends = F.least("o.hi", "c.hi")
     pieces = run.withColumn("qty", ends - F.col("lo")).filter(
-        F.col("o").isNotNull() & F.col("c").isNotNull() & (F.col("qty") > 1e-6))
+        F.col("o").isNotNull() & F.col("c").isNotNull() & (F.col("qty") > EPS))
     return _trades(pieces.select(
         *key, "qty", F.col("o.fill_no").alias("open_no"), F.col("c.fill_no").alias("close_no"), F.col("o.ts_ns").alias("open_ns"),
         F.col("c.ts_ns").alias("close_ns"), F.col("o.price").alias("open_px"), F.col("c.price").alias("close_px")))
@@ -88,7 +89,8 @@ def fifo_matches(split: DataFrame, span_ns: int = 90 * blocks.DAY_NS, bucket: fl
 def lifo_matches(split: DataFrame, block_fills: int = 4096, fan: int = 16) -> DataFrame:
     """Last-in first-out matches, block by block and then over coarser blocks.
 
-    Inside a block closes pop the newest open lot. What a block cannot match, its early
+    Inside a block closes take the lot with the latest open time, of equal times the first
+    one; a block never parts fills of one time. What a block cannot match, its early
     closes and its leftover opens, goes to the next level, where ``fan`` blocks form one.
     Each level is one parallel pass; the number of levels is logarithmic in the fills of
     the longest book.
@@ -98,38 +100,42 @@ def lifo_matches(split: DataFrame, block_fills: int = 4096, fan: int = 16) -> Da
     legs = split.select(*BOOK, "fill_no", "ts_ns", "price", F.explode(F.array(
         F.struct(F.lit(0).alias("rank"), F.col("close_side").alias("lot_side"), F.col("close_qty").alias("q")),
         F.struct(F.lit(1).alias("rank"), F.col("open_side").alias("lot_side"), F.col("open_qty").alias("q")))).alias("p"))
-    cols = [*BOOK, "lot_side", "fill_no", "rank", "ts_ns", "price", "q"]
-    rest = cut_lineage(legs.select(*BOOK, "fill_no", "ts_ns", "price", "p.*").filter(F.col("q") > EPS).select(*cols))
+    cols = [*BOOK, "lot_side", "fill_no", "rank", "ts_ns", "first_no", "price", "q"]
+    first_no = F.min("fill_no").over(Window.partitionBy(*BOOK, "ts_ns"))
+    rest = cut_lineage(legs.select(*BOOK, "fill_no", "ts_ns", "price", "p.*").filter(F.col("q") > EPS).withColumn("first_no", first_no).select(*cols))
     typed = {f.name: f.dataType.simpleString() for f in rest.schema}
     schema = ", ".join(f"{c} {typed[c]}" for c in cols) + ", matched boolean, open_no long, open_ns long, open_px double"
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["fill_no", "rank"])
         book = [pdf[c].iloc[0] for c in (*BOOK, "lot_side")]
-        stack: list[list] = []
+        stack: list[tuple] = []  # a heap: latest time first, then the lower number
+        left: dict[int, float] = {}
         rows = []
+        firsts = dict(zip(pdf["fill_no"], pdf["first_no"]))
         for no, rank, ts, px, q in pdf[["fill_no", "rank", "ts_ns", "price", "q"]].itertuples(index=False):
             if rank == 1:
-                stack.append([no, ts, px, q])
+                heapq.heappush(stack, (-ts, no, px))
+                left[no] = q
                 continue
             while q > EPS and stack:
-                top = stack[-1]
-                take = min(q, top[3])
-                rows.append((*book, no, 0, ts, px, take, True, top[0], top[1], top[2]))
+                opened, lot, open_px = stack[0]
+                take = min(q, left[lot])
+                rows.append((*book, no, 0, ts, firsts[no], px, take, True, lot, -opened, open_px))
                 q -= take
-                top[3] -= take
-                if top[3] <= EPS:
-                    stack.pop()
+                left[lot] -= take
+                if left[lot] <= EPS:
+                    heapq.heappop(stack)
             if q > EPS:
-                rows.append((*book, no, 0, ts, px, q, False, None, None, None))
-        rows += [(*book, no, 1, ts, px, q, False, None, None, None) for no, ts, px, q in stack]
+                rows.append((*book, no, 0, ts, firsts[no], px, q, False, None, None, None))
+        rows += [(*book, no, 1, ts, firsts[no], px, q, False, None, None, None) for no, ts, px, q in sorted((no, -opened, px, left[no]) for opened, no, px in stack)]
         out = pd.DataFrame(rows, columns=[*cols, "matched", "open_no", "open_ns", "open_px"])
         return out.astype({"open_no": "Int64", "open_ns": "Int64"})
 
     longest = split.agg(F.max("fill_no")).first()[0] or 0
     found, size = [], block_fills
     while True:
-        step = rest.withColumn("_b", F.expr(f"fill_no div {size}")).groupBy(*BOOK, "lot_side", "_b").applyInPandas(match, schema)
+        step = rest.withColumn("_b", F.expr(f"first_no div {size}")).groupBy(*BOOK, "lot_side", "_b").applyInPandas(match, schema)
         step = cut_lineage(step)
         found.append(step.filter("matched"))
         if size > longest:
@@ -148,7 +154,7 @@ def open_lots(split: DataFrame, matches: DataFrame) -> DataFrame:
     used = matches.groupBy(*BOOK, F.col("open_no").alias("fill_no")).agg(F.sum("quantity").alias("_used"))
     lots = split.filter(F.col("open_qty") > EPS).join(used, [*BOOK, "fill_no"], "left")
     left = F.col("open_qty") - F.coalesce("_used", F.lit(0.0))
-    return lots.withColumn("remaining", left).filter(F.col("remaining") > 1e-6).select(
+    return lots.withColumn("remaining", left).filter(F.col("remaining") > EPS).select(
         *BOOK, "fill_no", F.col("open_side").alias("lot_side"), F.col("ts_ns").alias("open_ns"), "open_qty", "remaining", "price")
 
 

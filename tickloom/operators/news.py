@@ -29,7 +29,7 @@ def first_per_hash(articles: DataFrame) -> DataFrame:
 
 
 def novelty(articles: DataFrame, horizon_s: float = 7200.0, history: int = 2000) -> DataFrame:
-    """exp(-2·max Jaccard) against the headlines seen shortly before; exact copies 0.1.
+    """exp(-2·max Jaccard) against the headlines seen shortly before; exact copies 0.1, no words 1.0.
 
     The history holds at most ``history`` distinct articles, so an article is compared
     with a bounded number of others. Distinct articles are numbered by arrival and cut
@@ -37,11 +37,12 @@ def novelty(articles: DataFrame, horizon_s: float = 7200.0, history: int = 2000)
     bounded task.
     """
     hashed = with_hash(articles)
+    hashed = hashed.withColumn("words", F.array_distinct(F.regexp_extract_all(F.lower("headline"), F.lit("([a-z0-9]+)"), F.lit(1))))
     firsts = hashed.groupBy("article_hash").agg(
         F.min(F.struct("available_ns", "article_id")).alias("_f")).select("article_hash", F.col("_f.article_id").alias("_first"))
-    marked = hashed.select("article_id", "available_ns", "headline", "article_hash").join(firsts, "article_hash")
-    fresh = marked.filter(F.col("article_id") == F.col("_first")).withColumn("_all", F.lit("a")).withColumn(
-        "words", F.array_distinct(F.regexp_extract_all(F.lower("headline"), F.lit("([a-z0-9]+)"), F.lit(1))))
+    marked = hashed.select("article_id", "available_ns", "words", "article_hash").join(firsts, "article_hash")
+    # without words an article is always new and never joins the history
+    fresh = marked.filter((F.col("article_id") == F.col("_first")) & (F.size("words") > 0)).withColumn("_all", F.lit("a"))
     seq = blocks.index_rows(fresh.select("_all", "article_id", "available_ns", "words"), ["_all"], ["available_ns", "article_id"],
                             blocks.time_block("available_ns"))
     home = F.expr(f"(seq - 1) div {history}")
@@ -69,9 +70,9 @@ def novelty(articles: DataFrame, horizon_s: float = 7200.0, history: int = 2000)
         return pd.DataFrame({"article_id": pdf["article_id"], "n_words": sizes, "jaccard": out})[mine]
 
     scored = spread.groupBy("_at").applyInPandas(best, "article_id long, n_words long, jaccard double")
-    value = F.when(F.col("n_words") == 0, 1.0).otherwise(F.least(F.greatest(F.exp(-2.0 * F.col("jaccard")), F.lit(0.1)), F.lit(1.0)))
-    joined = marked.select("article_id").join(scored, "article_id", "left")
-    return joined.select("article_id", F.when(F.col("jaccard").isNull(), 0.1).otherwise(value).alias("novelty"))
+    value = F.least(F.greatest(F.exp(-2.0 * F.col("jaccard")), F.lit(0.1)), F.lit(1.0))
+    joined = marked.select("article_id", "words").join(scored, "article_id", "left")
+    return joined.select("article_id", F.when(F.size("words") == 0, 1.0).when(F.col("jaccard").isNull(), 0.1).otherwise(value).alias("novelty"))
 
 
 def classify(articles: DataFrame, proxy: bool = True) -> DataFrame:

@@ -130,28 +130,39 @@ def blend_signals(signals: DataFrame, weights: DataFrame, max_leverage: float =
 def strategy_weights(rewards: DataFrame, strategies: Sequence[str], rate: float = 0.05, prior_weight: float = 0.2, span_ns: int = 30 * blocks.DAY_NS) -> DataFrame:
     """Multiplicative weights after each reward row, pulled to the regime prior.
 
-    ``rewards`` has book, ts_ns, regime and one reward column per strategy. The prior pull
-    makes the state forget, so the relay settles quickly.
+    ``rewards`` has book, ts_ns, regime (any case) and one reward column per strategy. Before
+    normalisation a row maps the weights linearly: with growth g = exp(rate * reward) and prior p
+    the new ones are (1 - a) g w + a p (g . w). So blocks are composed as matrices, without a loop
+    over them, and weights are only scaled to sum 1 for output.
     """
     names = list(strategies)
 
-    def kernel(pdf: pd.DataFrame, state: list[float] | None) -> tuple[pd.DataFrame, list[float]]:
-        w = np.full(len(names), 1.0 / len(names)) if state is None else np.array(state)
-        out = np.empty((len(pdf), len(names)))
-        for i, (regime, r) in enumerate(zip(pdf["regime"], pdf[names].to_numpy())):
-            step = np.log(np.maximum(w, 1e-12)) + rate * r
-            e = np.exp(step - step.max())
-            w = e / e.sum()
-            prior = REGIME_PRIORS.get(regime, REGIME_PRIORS["NORMAL"])
-            if len(prior) == len(names):
-                w = (1.0 - prior_weight) * w + prior_weight * np.array(prior)
-                w /= w.sum()
-            out[i] = w
-        frame = pdf[["book", "ts_ns"]].reset_index(drop=True)
-        return pd.concat([frame, pd.DataFrame(out, columns=names)], axis=1), [float(x) for x in w]
+    def steps(pdf: pd.DataFrame):
+        growth = np.exp(rate * pdf[names].to_numpy(dtype=float))
+        for label, g in zip(pdf["regime"], growth):
+            pull = np.array(REGIME_PRIORS.get(str(label).upper(), REGIME_PRIORS["NORMAL"]))
+            yield g[:, None] / g.max(), pull[:, None] if len(pull) == len(names) else None
+
+    def move(w: np.ndarray, g: np.ndarray, pull: np.ndarray | None) -> np.ndarray:
+        grown = g * w
+        out = grown if pull is None else (1.0 - prior_weight) * grown + prior_weight * pull * grown.sum(axis=0)
+        return out / np.abs(out).max()
+
+    def advance(pdf: pd.DataFrame, states: np.ndarray, forced: bool) -> np.ndarray:
+        for g, pull in steps(pdf):
+            states = move(states, g, pull)
+        return states
+
+    def emit(pdf: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
+        w, rows = state[:, None], []
+        for g, pull in steps(pdf):
+            w = move(w, g, pull)
+            rows.append(w[:, 0] / w.sum())
+        return pd.concat([pdf[["book", "ts_ns"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
     schema = "book string, ts_ns long, " + ", ".join(f"`{n}` double" for n in names)
-    return blocks.relay(rewards.select("book", "ts_ns", "regime", *names), ["book"], ["ts_ns"], blocks.time_block("ts_ns", span_ns), kernel, schema, tolerance=1e-12)
+    return blocks.linear_scan(rewards.select("book", "ts_ns", "regime", *names), ["book"], ["ts_ns"], blocks.time_block("ts_ns", span_ns),
+                              advance, lambda pdf: np.ones(len(names)), emit, schema, projective=True)
 
 
 def scale_leverage(signals: DataFrame, max_leverage: float = 1.0) -> DataFrame:

@@ -193,10 +193,11 @@ def phenotype_distance(a: Column, b: Column, bounds: Sequence[tuple[float, float
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x) / len(bounds))
 
 
-def subspace_novelty(series: DataFrame, elites: DataFrame, energy: float = 0.95, max_rank: int = 5) -> DataFrame:
+def subspace_novelty(series: DataFrame, elites: DataFrame, energy: float = 0.99, max_rank: int = 50, viable: DataFrame | None = None) -> DataFrame:
     """1 - energy of each standardised series in the elites' leading right-singular basis.
 
-    Both inputs are long (id, pos, value) with positions 0..T-1. The basis is at most
+    Both inputs are long (id, pos, value) with positions 0..T-1. Series outside ``viable`` (id), if
+    given, and constant ones score 0; without elites every viable one scores 1. The basis is at most
     max_rank × T numbers; the elite rows stay distributed in the SVD.
     """
     from pyspark.mllib.linalg import Vectors as OldVectors
@@ -210,6 +211,13 @@ def subspace_novelty(series: DataFrame, elites: DataFrame, energy: float = 0.95,
 
     rows = standard(elites).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "z"))), lambda e: e["z"]).alias("v"))
     matrix = RowMatrix(rows.select("v").rdd.map(lambda r: OldVectors.dense(r[0])))
+    ids = series.select("id").distinct()
+    passed = F.lit(True)
+    if viable is not None:
+        ids = ids.join(viable.select("id").distinct().withColumn("_ok", F.lit(True)), "id", "left")
+        passed = F.coalesce("_ok", F.lit(False))
+    if rows.isEmpty():
+        return ids.select("id", F.when(passed, 1.0).otherwise(0.0).alias("novelty"))
     limit = min(matrix.numRows(), matrix.numCols())
     svd = matrix.computeSVD(int(limit), computeU=False)
     share = np.cumsum(svd.s.toArray() ** 2) / np.sum(svd.s.toArray() ** 2)
@@ -220,4 +228,4 @@ def subspace_novelty(series: DataFrame, elites: DataFrame, energy: float = 0.95,
     dots = standard(series).join(F.broadcast(cells), "pos").groupBy("id", "k").agg(F.sum(F.col("z") * F.col("w")).alias("c"))
     seen = dots.groupBy("id").agg(F.sum(F.col("c") * F.col("c")).alias("e"))
     score = F.least(F.greatest(1.0 - F.col("e"), F.lit(0.0)), F.lit(1.0))
-    return series.select("id").distinct().join(seen, "id", "left").select("id", F.coalesce(score, F.lit(0.0)).alias("novelty"))
+    return ids.join(seen, "id", "left").select("id", F.when(passed, F.coalesce(score, F.lit(0.0))).otherwise(0.0).alias("novelty"))

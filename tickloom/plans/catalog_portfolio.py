@@ -9,7 +9,7 @@ from tickloom.plans import sqltext as S
 from tickloom.plans.catalog_news import _decay_sql
 from tickloom.plans.catalog_posttrade import FILLS
 from tickloom.plans.catalog_series import BANDS, FFD_W, SEQ, rounded, small_returns
-from tickloom.plans.catalog_stats import SMALL, entropy
+from tickloom.plans.catalog_stats import ENTROPY, SMALL, entropy
 from tickloom.sources import fixtures as fx
 
 QUERIES: dict = {}
@@ -44,7 +44,13 @@ def _(spark, d):
     return portfolio.pairs_signals(fx.bars(spark, d), "click", "view")
 
 
-@query("kalman_hedge")
+@query("kalman_hedge", f"""WITH RECURSIVE {S.bars()}, p AS (SELECT y.ts_ns, y.close AS y, x.close AS x, row_number() OVER (ORDER BY y.ts_ns) AS n
+  FROM bars y JOIN bars x ON y.ts_ns = x.ts_ns AND y.symbol = 'click' AND x.symbol = 'view'),
+run AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ts_ns, 0.0::DOUBLE AS y, 0.0::DOUBLE AS x, 0.0::DOUBLE AS e, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS p0, 0.0::DOUBLE AS p1, 1.0::DOUBLE AS p2
+  UNION ALL SELECT n, ts_ns, y, x, e, a + (q0 + p1 * x) / f * e, b + (p1 + q2 * x) / f * e, q0 - pow(q0 + p1 * x, 2) / f, p1 - (q0 + p1 * x) * (p1 + q2 * x) / f, q2 - pow(p1 + q2 * x, 2) / f
+  FROM (SELECT *, greatest(q0 + 2 * p1 * x + q2 * x * x + 1e-3, 1e-8) AS f FROM (
+    SELECT p.n, p.ts_ns, p.y, p.x, p.y - (a + b * p.x) AS e, a, b, p0 + 1e-4 / (1 - 1e-4) AS q0, p1, p2 + 1e-4 / (1 - 1e-4) AS q2 FROM run JOIN p ON p.n = run.n + 1)))
+SELECT ts_ns, y AS y_price, x AS x_price, round(e, 6) AS spread, round(a, 6) AS alpha, round(b, 6) AS beta FROM run WHERE n > 0""")
 def _(spark, d):
     return rounded(kernels.kalman_hedge(fx.bars(spark, d), "click", "view"), 6, "spread", "alpha", "beta")
 
@@ -82,7 +88,20 @@ def _(spark, d):
     return portfolio.blend_signals(s, w).select("symbol", "ts_ns", "direction", "target_weight", "conviction")
 
 
-@query("strategy_weights")
+def _weights_sql(names, rate=0.05, pull=0.2):
+    """Growth by reward, normalised, then pulled to the prior of the hour's regime, row by row."""
+    prior = lambda i: f"CASE WHEN k3 = 0 THEN {portfolio.REGIME_PRIORS['BULL'][i]} WHEN k3 = 1 THEN {portfolio.REGIME_PRIORS['PANIC'][i]} ELSE {portfolio.REGIME_PRIORS['NORMAL'][i]} END"
+    grown = [f"{n} * exp({rate} * r{i})" for i, n in enumerate(names)]
+    total = f"({' + '.join(grown)})"
+    steps = ", ".join(f"(1 - {pull}) * {g} / {total} + {pull} * ({prior(i)})" for i, g in enumerate(grown))
+    rewards = ", ".join(f"coalesce(max(CASE WHEN symbol = '{u}' THEN ret END), 0) AS r{i}" for i, u in zip(range(len(names)), U))
+    return f"""WITH RECURSIVE {SMALL}, r AS (SELECT ts_ns, (ts_ns // {H}) % 3 AS k3, row_number() OVER (ORDER BY ts_ns) AS n, {rewards} FROM small GROUP BY ts_ns),
+run AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ts_ns, {', '.join(f'{1 / len(names)}::DOUBLE AS {x}' for x in names)}
+  UNION ALL SELECT r.n, r.ts_ns, {steps} FROM run JOIN r ON r.n = run.n + 1)
+SELECT 'main' AS book, ts_ns, {', '.join(f'round({x}, 6) AS {x}' for x in names)} FROM run WHERE n > 0"""
+
+
+@query("strategy_weights", _weights_sql(["s0", "s1", "s2", "s3"]))
 def _(spark, d):
     names = ["s0", "s1", "s2", "s3"]
     r = small_returns(spark, d).groupBy("ts_ns").agg(*[F.max(F.when(F.col("symbol") == u, F.col("ret"))).alias(n) for n, u in zip(names, U)])
@@ -266,18 +285,43 @@ def _(spark, d):
     return rounded(portfolio.worst_case(scenarios(spark, d)), 6, "worst_regret")
 
 
-@query("capped_weights")
+@query("capped_weights", f"""WITH {S.bars()}, w AS (SELECT ts_ns, symbol, 1 / greatest(ln(high / low), 0.05) AS r FROM bars),
+n AS (SELECT ts_ns, symbol, r / sum(r) OVER (PARTITION BY ts_ns) AS w, count(*) OVER (PARTITION BY ts_ns) AS n FROM w),
+-- excess over the cap goes in equal parts to the others, again and again; six passes do for five symbols
+l AS (SELECT ts_ns, list(symbol ORDER BY symbol) AS s, list(w ORDER BY symbol) AS w0 FROM n GROUP BY ts_ns),
+f AS (SELECT ts_ns, s, list_reduce([w0] || list_transform([1, 2, 3, 4, 5, 6], lambda k: w0), lambda a, b: CASE WHEN list_max(a) <= 0.3 OR len(list_filter(a, lambda x: x < 0.3)) = 0 THEN list_transform(a, lambda x: least(x, 0.3))
+  ELSE list_transform(a, lambda x: CASE WHEN x >= 0.3 THEN 0.3 ELSE x + list_sum(list_transform(a, lambda y: greatest(y - 0.3, 0))) / len(list_filter(a, lambda y: y < 0.3)) END) END) AS wf FROM l)
+SELECT ts_ns, unnest(s) AS symbol, round(unnest(wf), 6) AS weight FROM f""")
 def _(spark, d):
     raw = fx.bars(spark, d).select("ts_ns", "symbol", (1.0 / F.greatest(F.log(F.col("high") / F.col("low")), F.lit(0.05))).alias("raw_weight"))
     return rounded(kernels.cap_weights(raw), 6, "weight")
 
 
-@query("cusum_reset")
+CUSUM_RUN = """run AS (SELECT symbol, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS ts_ns, false AS alarm, false AS is_negative, 0.0::DOUBLE AS s_pos, 0.0::DOUBLE AS s_neg, 0 AS dwell FROM z GROUP BY symbol
+  UNION ALL SELECT symbol, k, ts_ns, hit, hit AND down >= 3.0, CASE WHEN hit THEN 0.0 ELSE up END, CASE WHEN hit THEN 0.0 ELSE down END, CASE WHEN hit THEN 0 ELSE dw END
+  FROM (SELECT *, (up >= 3.0 OR down >= 3.0) AND dw >= 3 AS hit FROM (
+    SELECT z.symbol, z.k, z.ts_ns, least(dwell + 1, 3) AS dw, greatest(0, s_pos + z - 0.5) AS up, greatest(0, s_neg - z - 0.5) AS down FROM run JOIN z ON z.symbol = run.symbol AND z.k = run.k + 1)))
+SELECT symbol, ts_ns, alarm, is_negative, round(s_pos, 6) AS s_pos, round(s_neg, 6) AS s_neg FROM run WHERE k > 0"""
+
+
+@query("cusum_reset", f"""WITH RECURSIVE {SMALL}, a AS (SELECT symbol, ts_ns, ret, row_number() OVER v AS k, sum(ret) OVER v AS s, sum(ret * ret) OVER v AS ss FROM small WINDOW v AS (PARTITION BY symbol ORDER BY ts_ns)),
+v AS (SELECT *, greatest((ss - s * s / k) / (k - 1), 0) AS var FROM a),
+z AS (SELECT symbol, ts_ns, k, (ret - CASE WHEN k >= 2 THEN s / k ELSE 0 END) / CASE WHEN k < 2 THEN greatest(abs(ret), 0.01) WHEN var > 1e-12 THEN sqrt(var) ELSE 0.01 END AS z FROM v),
+{CUSUM_RUN}""")
 def _(spark, d):
     return rounded(kernels.cusum_with_reset(series.expanding_z(small_returns(spark, d))), 6, "s_pos", "s_neg")
 
 
-@query("tier_hysteresis")
+SHOCK = f"""{ENTROPY}, shk AS (SELECT ts_ns, row_number() OVER (ORDER BY ts_ns) AS k, least(1, greatest(0, 0.5 * h * sqrt(rho) + 0.3 * rho + 0.2 * least(1, greatest(0, (1 + (ts_ns // {H}) % 6 - 1.0) / 4.0)))) AS shock, (ts_ns // {H}) % 97 = 0 AS panic FROM en),
+cut AS (SELECT *, least(1, greatest(0, (1 / (1 + exp(10.0 * (shock - 0.5))) - 1 / (1 + exp(5.0))) / (1 / (1 + exp(-5.0)) - 1 / (1 + exp(5.0))))) AS haircut FROM shk)"""
+
+
+@query("tier_hysteresis", f"""WITH RECURSIVE {SHOCK},
+run AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS ts_ns, 0 AS tier, CAST(0 AS BIGINT) AS bars, 0.0::DOUBLE AS cut
+  UNION ALL SELECT k, ts_ns, CASE WHEN want > tier THEN want WHEN want < tier AND shock < 0.3 AND (tier = 1 OR bars >= 5) THEN tier - 1 ELSE tier END,
+    CASE WHEN want > tier OR (want < tier AND shock < 0.3 AND (tier = 1 OR bars >= 5)) THEN 1 ELSE bars + 1 END, haircut
+  FROM (SELECT c.*, run.tier, run.bars, CASE WHEN panic OR shock >= 0.9 THEN 3 WHEN shock >= 0.7 THEN 2 WHEN shock >= 0.45 THEN 1 ELSE 0 END AS want FROM run JOIN cut c ON c.k = run.k + 1))
+SELECT 'main' AS book, ts_ns, ['NORMAL', 'CAUTION', 'DERISK', 'HALT'][tier + 1] AS tier, bars AS bars_in_tier, round(CASE WHEN tier >= 2 THEN 0.0 WHEN tier = 1 THEN least(0.5, cut) ELSE cut END, 6) AS execution_haircut FROM run WHERE k > 0""")
 def _(spark, d):
     s = stats.shock_and_haircut(entropy(spark, d), (1 + F.expr(f"ts_ns div {H}") % 6).cast("double"))
     books = s.select(F.lit("main").alias("book"), "ts_ns", "shock", "haircut", (F.expr(f"ts_ns div {H}") % 97 == 0).alias("panic"))
@@ -311,4 +355,4 @@ GRID = [round(i * 0.05, 2) for i in range(21)]
 @query("stationarity_search")
 def _(spark, d):
     stat, _best = kernels.stationarity_search(fx.bars(spark, d), GRID)
-    return rounded(stat, 6, "adf_stat", "correlation")
+    return rounded(stat, 6, "adf_stat", "adf_p", "correlation")

@@ -6,26 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 from tickloom.session import cut_lineage
 from tickloom.sources.bars import upsert
 
 
-def upsert_sink(path: str, keys: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, keys: list[str], buckets: int = 16, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps one row per key; a replayed batch changes nothing.
 
-    Rows are stored by key bucket and only buckets a batch touches are rewritten.
+    The last write wins: of the rows of one key a later batch beats an earlier one, and inside a
+    batch the largest by ``order``, then by the whole row, so that a replay picks the same one.
+    Rows are stored by key bucket and only buckets a batch touches are rewritten; a table needs
+    about one bucket per million keys.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        inc = batch.withColumns({"batch_seq": F.lit(batch_id).cast("long"), "bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets))})
-        inc = inc.dropDuplicates(keys)
+        rest = [c for c in batch.columns if c not in keys]
+        rank = F.struct(*[F.col(c) for c in [*(order or []), *rest]] or [F.lit(0)])
+        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest) if rest else F.lit(0), rank).alias("_row"))
+        last = last.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+        inc = last.withColumns({"batch_seq": F.lit(batch_id).cast("long"), "bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets))})
         try:
-            old = spark.read.parquet(path).join(inc.select("bucket").distinct(), "bucket", "left_semi").select(*inc.columns)
-            merged = upsert(old, inc, keys)
-        except AnalysisException:
+            old = spark.read.parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             merged = inc
+        else:
+            old = old.join(inc.select("bucket").distinct(), "bucket", "left_semi").select(*inc.columns)
+            merged = upsert(old, inc, keys)
         cut_lineage(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return write

@@ -8,13 +8,18 @@ from pyspark.sql import types as T
 
 from tickloom.llm.common import components, deal, field, keep, row_key, text_of
 
-#: Retained hashes per set, and how many of them two sets of enough similarity share.
-#: At similarity 0.8 the retained 32 of a union hold under 12 common ones with a chance of about 2e-8.
-RETAINED, SHARED = 32, 12
-#: Members of an inverted list that one task compares with each other.
+#: Retained hashes per set: those of the inverted lists, and those that decide between members of a crowd.
+RETAINED, WIDE = 32, 512
+#: Members of a crowd in one of the two blocks that a task compares.
 BLOCK = 512
 
 
+def least_shared(k: int, percent: int) -> int:
+    """How many of the least ``k`` hashes of a union two sets of enough similarity share: six deviations below the mean."""
+    p = percent / 100
+    return max(1, int(k * p - 6 * (k * p * (1 - p)) ** 0.5))
+
+
 def shingle_hashes(text: str, words_each: int):
     """The sorted distinct 64-bit hashes of the shingles of a text (A-Z lower-cased)."""
     import numpy as np
@@ -63,17 +68,17 @@ def sketch(docs: DataFrame, extra: list, words_each: int) -> DataFrame:
     return rows.mapInArrow(run, schema).select("doc.*", "n", "same", "retained")
 
 
-def alike(x, y, n_x: int, n_y: int, percent: int) -> bool:
+def alike(x, y, n_x: int, n_y: int, percent: int, k: int = RETAINED) -> bool:
     """Whether two sketches (sorted as unsigned) allow a similarity of ``percent``; exact when both hold whole sets."""
     import numpy as np
 
     if 100 * min(n_x, n_y) < percent * max(n_x, n_y):
         return False
     common = np.intersect1d(x, y, assume_unique=True)
-    if n_x <= RETAINED and n_y <= RETAINED:
+    if n_x <= k and n_y <= k:
         return 100 * len(common) >= percent * (n_x + n_y - len(common))
-    union = np.union1d(x, y)[:RETAINED]
-    return int((common <= union[-1]).sum()) >= SHARED
+    union = np.union1d(x, y)[:k]
+    return int((common <= union[-1]).sum()) >= least_shared(k, percent)
 
 
 def estimate(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -94,20 +99,21 @@ def estimate(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def rest_of_lists(index: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one list that lie in different components so far and may be similar.
+def rest_of_lists(index: DataFrame, lists: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a list, lie in different components so far and may be similar.
 
-    Only lists that still hold several components are read. Members are dealt into blocks; a task gets two blocks
-    and returns the pairs that pass the sketch test, never all pairs.
+    Only lists that still hold several components are read. Lists with one pivot have much the same members, so
+    their union is one crowd, and a pair is met once. Members are dealt into blocks; a task gets two blocks, counts
+    what they have in common and returns the pairs that pass the test of the WIDE sketch, never all pairs; sets
+    of up to WIDE shingles are compared exactly.
     """
-    labelled = index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = keep(labelled)
-    mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("value", "members")
-    rows = labelled.join(keep(mixed), "value").join(nodes.select("id", "n", "retained"), "id")
-    blocks = F.expr(f"cast((members + {BLOCK - 1}) div {BLOCK} as int)")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(id, 5), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "retained")
+    labelled = keep(index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    several = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("value")
+    crowds = keep(labelled.join(keep(several.join(lists, "value")), "value").select("pivot", "id", "component").distinct())
+    sizes = keep(crowds.groupBy("pivot").agg(F.expr(f"cast((count(*) + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")))
+    rows = crowds.join(sizes, "pivot").join(sets.select("id", "n", "wide"), "id")
+    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(id, 5), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "wide")
 
     def go(key, got):
         import numpy as np
@@ -115,21 +121,29 @@ def rest_of_lists(index: DataFrame, nodes: DataFrame, found: DataFrame, percent:
 
         i, j = key[1].as_py(), key[2].as_py()
         own, ids, comp, n = (got.column(c).to_numpy() for c in ("own", "id", "component", "n"))
-        sets = [v.values.to_numpy().view(np.uint64) for v in got.column("retained")]
-        members, vocab = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.unique(np.concatenate(sets), return_inverse=True)
-        shown = np.zeros((len(sets), len(vocab[0])), np.float32)
-        shown[members, vocab[1]] = 1
-        need = np.minimum(SHARED, np.ceil(n * percent / 100))
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in got.column("wide")]
+        sizes = np.array([len(s) for s in sets])
+        names = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(names, kind="stable")]
+        held = np.bincount(names)
+        first = np.cumsum(held) - held
+        starts = np.cumsum(sizes) - sizes
         out = []
         for x in np.flatnonzero(own == i):
-            common = shown @ shown[x]
-            near = (comp != comp[x]) & (common >= np.maximum(need, need[x])) & (own == j)
-            near &= (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((i != j) | (ids > ids[x]))
-            out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in np.flatnonzero(near) if alike(sets[x], sets[y], n[x], n[y], percent)]
+            mine = names[starts[x] : starts[x] + sizes[x]]
+            # The holders of each of x's hashes, one after the other.
+            at = np.repeat(first[mine] - (np.cumsum(held[mine]) - held[mine]), held[mine]) + np.arange(held[mine].sum())
+            common = np.bincount(holders[at], minlength=len(sets))
+            near = (comp != comp[x]) & (own == j) & ((i != j) | (ids > ids[x])) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            whole = (n <= WIDE) & (n[x] <= WIDE)
+            near &= np.where(whole, 100 * common >= percent * (n + n[x] - common), common >= least_shared(WIDE, percent))
+            for y in np.flatnonzero(near):
+                if whole[y] or alike(sets[x], sets[y], n[x], n[y], percent, WIDE):
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("value", "i", "j").applyInArrow(go, "a long, b long").distinct()
+    return rows.groupBy("pivot", "i", "j").applyInArrow(go, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +167,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
-    """(id, hashes) of the wanted nodes (id, doc_id, same), from the text of one of their documents."""
+    """(id, n, hashes, wide: the least WIDE of them) of the wanted nodes (id, doc_id, same), from one document's text."""
     rows = docs.select("doc_id", text_of().alias("text")).join(wanted.select("id", "doc_id", "same"), "doc_id").select("id", "same", "text")
 
     def run(batches):
@@ -164,10 +178,11 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame
         for batch in batches:
             hashes = [shingle_hashes(t.as_py(), words_each).tobytes() for t in batch.column("text")]
             right = [hashlib.blake2b(h, digest_size=16).digest() == s for h, s in zip(hashes, batch.column("same").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(hashes, pa.binary())], ["id", "hashes"]).filter(pa.array(right, pa.bool_()))
+            columns = [batch.column("id"), pa.array([len(h) // 8 for h in hashes], pa.int64()), pa.array(hashes, pa.binary()), pa.array([h[: 8 * WIDE] for h in hashes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "hashes", "wide"]).filter(pa.array(right, pa.bool_()))
 
     # A repeated doc_id with one text gives a node twice.
-    return rows.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
+    return rows.mapInArrow(run, "id long, n long, hashes binary, wide binary").dropDuplicates(["id"])
 
 
 def label(docs: DataFrame, extra: list, words_each: int, percent: int) -> DataFrame:
@@ -178,12 +193,12 @@ def label(docs: DataFrame, extra: list, words_each: int, percent: int) -> DataFr
     nodes = keep(nodes.withColumn("id", F.monotonically_increasing_id()))
 
     # Inverted lists of retained values. What only one set retains joins nothing, and a set with too few shared
-    # values has no partner. Of the others, the rarest ones are enough: two sets that share SHARED of r and s
-    # values share one of the first r - SHARED + 1 and s - SHARED + 1, so the commonest values need no list.
+    # values has no partner. Of the others, the rarest ones are enough: two sets that share m of r and s values
+    # share one of the first r - m + 1 and s - m + 1, so the commonest values need no list.
     postings = nodes.select("id", "n", F.explode("retained").alias("value"))
     counts = keep(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
     shared = postings.join(counts, "value").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
-    need = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)).cast("int")
+    need = F.least(F.lit(least_shared(RETAINED, percent)), F.ceil(F.col("n") * percent / 100)).cast("int")
     shared = shared.withColumn("keys", F.size("v") - need + 1).filter("keys > 0")
     index = keep(shared.select("id", F.explode(F.expr("slice(v, 1, keys)")).alias("x")).select("id", F.col("x.value").alias("value")))
     copies = nodes.select("id", "copies")
@@ -198,7 +213,7 @@ def label(docs: DataFrame, extra: list, words_each: int, percent: int) -> DataFr
     links = keep(confirm(stars, sets, percent))
     found = components(links)
     # Then what the stars left apart, in lists that still hold several components.
-    more = rest_of_lists(index, nodes, found, percent).join(stars, ["a", "b"], "left_anti")
+    more = rest_of_lists(index, lists, sets, found, percent).join(stars, ["a", "b"], "left_anti")
     more = keep(confirm(keep(more), sets, percent))
     if more.limit(1).count():
         found = components(links.unionByName(more))

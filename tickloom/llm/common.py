@@ -102,13 +102,14 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state.n:
             break
         seen = state
+        files = 1 + state.n // 100_000  # few links need few files
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = keep(large.filter("u != v"))
+        large = keep(large.filter("u != v").coalesce(files))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        now = keep(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct())
+        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = keep(small.unionByName(low.withColumnRenamed("m", "v")).distinct().coalesce(files))
     ends = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     roots = ends.select(F.col("component").alias("id"), "component").distinct()
     return keep(ends.unionByName(roots))

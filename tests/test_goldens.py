@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions import special, text
+from tickloom.functions import money, special, text
 from tickloom.operators import execution, kernels, labels, lots, news, portfolio, ranking, series, stats, tail
 from tickloom.streaming import sinks
 
@@ -325,3 +325,13 @@ def test_upsert_sink_keeps_the_last_write(spark, tmp_path):
     write(batch([(1, 0, "late")]), 1)
     write(batch([(1, 0, "late")]), 1)
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "late"), (2, "x")}
+
+
+def test_money_rounds_like_exact_arithmetic(spark):
+    rng = random.Random(8)
+    values = [2.675, 0.125, 0.375, -0.125, 1.005, 0.615, 1e17, 0.0, -2.5, 5.015, 8.345]
+    values += [rng.randrange(10**9) / 1000 for _ in range(300)] + [rng.uniform(-1e6, 1e6) for _ in range(300)] + [rng.randrange(-10**5, 10**5) / 8 for _ in range(300)]
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (0, 1, 2, 4, 6):
+        got = [r[0] for r in d.select(money.round_even("v", n)).collect()]
+        assert got == [float(round(v, n)) for v in values]

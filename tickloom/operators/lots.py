@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import money
 from tickloom.operators import blocks
 from tickloom.operators.blocks import Running
 
@@ -49,9 +50,9 @@ def _trades(matched: DataFrame) -> DataFrame:
     cost, pnl = _money(F.col("qty"), F.col("lot_side"), F.col("close_px"), F.col("open_px"))
     return matched.select(
         *BOOK, "lot_side", F.when(F.col("lot_side") == "LONG", "SELL").otherwise("COVER").alias("trade_side"),
-        "open_no", "close_no", "open_ns", "close_ns", F.round("qty", 6).alias("quantity"),
-        F.round("close_px", 4).alias("execution_price"), F.round(cost, 4).alias("cost_basis"), F.round(pnl, 4).alias("realized_pnl"),
-        F.round(F.greatest((F.col("close_ns") - F.col("open_ns")) / 1e9, F.lit(0.0)), 1).alias("holding_seconds"))
+        "open_no", "close_no", "open_ns", "close_ns", money.round_even("qty", 6).alias("quantity"),
+        money.round_even("close_px", 4).alias("execution_price"), money.round_even(cost, 4).alias("cost_basis"), money.round_even(pnl, 4).alias("realized_pnl"),
+        money.round_even(F.greatest((F.col("close_ns") - F.col("open_ns")) / 1e9, F.lit(0.0)), 1).alias("holding_seconds"))
 
 
 def fifo_matches(split: DataFrame, span_ns: int = 90 * blocks.DAY_NS, bucket: float = 100_000.0) -> DataFrame:
@@ -166,7 +167,7 @@ def positions(lots: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     j = lots.join(marks, "symbol")
     return j.groupBy(*BOOK).agg(
         F.sum(sign * F.col("remaining")).alias("position"),
-        F.round(F.sum(sign * F.col("remaining") * (F.col("mark") - F.col("price"))), 4).alias("unrealized_pnl"))
+        money.round_even(F.sum(sign * F.col("remaining") * (F.col("mark") - F.col("price"))), 4).alias("unrealized_pnl"))
 
 
 def inventory_violations(split: DataFrame, lots: DataFrame, tolerance: float = 1e-4) -> DataFrame:
@@ -188,16 +189,16 @@ def journal(split: DataFrame, matches: DataFrame) -> DataFrame:
         return s if when is None else F.when(when, s)
 
     inv, short = F.concat(F.lit("ASSET_INVENTORY_"), "symbol"), F.concat(F.lit("LIABILITY_SHORT_"), "symbol")
-    m = matches.withColumn("_v", F.round(F.col("quantity") * F.col("execution_price"), 4)).withColumn("_cb", F.col("cost_basis"))
+    m = matches.withColumn("_v", money.round_even(F.col("quantity") * F.col("execution_price"), 4)).withColumn("_cb", F.col("cost_basis"))
     long = F.col("trade_side") == "SELL"
-    m = m.withColumn("_g", F.round(F.when(long, F.col("_v") - F.col("_cb")).otherwise(F.col("_cb") - F.col("_v")), 4))
+    m = m.withColumn("_g", money.round_even(F.when(long, F.col("_v") - F.col("_cb")).otherwise(F.col("_cb") - F.col("_v")), 4))
     lines = F.array_compact(F.array(
         line("ASSET_CASH", "DEBIT", F.col("_v"), long), line(inv, "CREDIT", F.col("_cb"), long),
         line(short, "DEBIT", F.col("_cb"), ~long), line("ASSET_CASH", "CREDIT", F.col("_v"), ~long),
         line("REVENUE_REALIZED_GAIN", "CREDIT", F.col("_g"), F.col("_g") > 1e-4),
         line("EXPENSE_REALIZED_LOSS", "DEBIT", -F.col("_g"), F.col("_g") < -1e-4)))
     closing = m.select(*BOOK, F.col("close_no").alias("fill_no"), F.explode(lines).alias("l"))
-    opened = split.filter(F.col("open_qty") > EPS).withColumn("_v", F.round(F.round("open_qty", 6) * F.col("price"), 4))
+    opened = split.filter(F.col("open_qty") > EPS).withColumn("_v", money.round_even(money.round_even("open_qty", 6) * F.col("price"), 4))
     is_long = F.col("open_side") == "LONG"
     open_lines = F.array_compact(F.array(
         line(inv, "DEBIT", F.col("_v"), is_long), line("ASSET_CASH", "CREDIT", F.col("_v"), is_long),
@@ -214,7 +215,7 @@ def unbalanced(entries: DataFrame, tolerance: float = 1e-3) -> DataFrame:
 
 def cash_balance(fills: DataFrame, order: Sequence[str], initial: float, span_ns: int = 90 * blocks.DAY_NS) -> DataFrame:
     """Running cash and margin debt per portfolio."""
-    delta = F.when(F.col("side") == "BUY", -1.0).otherwise(1.0) * F.round(F.col("quantity") * F.col("price"), 4)
+    delta = F.when(F.col("side") == "BUY", -1.0).otherwise(1.0) * money.round_even(F.col("quantity") * F.col("price"), 4)
     run = blocks.running(fills, ["portfolio_id"], list(order), blocks.time_block("ts_ns", span_ns), {"_c": Running("sum", delta)})
     return run.withColumn("cash", F.col("_c") + initial).withColumn("margin_debt", F.greatest(F.lit(0.0), -F.col("cash"))).drop("_c")
 
@@ -229,12 +230,12 @@ def financing(accounts: DataFrame, held: DataFrame, rates: DataFrame, margin_rat
     short = held.filter(F.col("quantity") < 0).join(rates, "symbol", "left")
     notional = F.abs("quantity") * F.col("price")
     fees = short.groupBy("portfolio_id", "date").agg(
-        F.round(F.sum(F.round(notional * F.coalesce("rate", F.lit(borrow_rate)) / day_count * days, 4)), 4).alias("borrow_fees"),
-        F.round(F.sum(notional), 2).alias("short_notional"))
+        money.round_even(F.sum(money.round_even(notional * F.coalesce("rate", F.lit(borrow_rate)) / day_count * days, 4)), 4).alias("borrow_fees"),
+        money.round_even(F.sum(notional), 2).alias("short_notional"))
     debt = F.greatest(F.lit(0.0), -F.col("cash"))
     out = accounts.join(fees, ["portfolio_id", "date"], "left").fillna({"borrow_fees": 0.0, "short_notional": 0.0})
-    out = out.withColumns({"margin_debt": debt, "margin_interest": F.round(debt * margin_rate / day_count * days, 4)})
-    return out.withColumn("cash_after", F.round(F.col("cash") - F.round(F.col("margin_interest") + F.col("borrow_fees"), 4), 4))
+    out = out.withColumns({"margin_debt": debt, "margin_interest": money.round_even(debt * margin_rate / day_count * days, 4)})
+    return out.withColumn("cash_after", money.round_even(F.col("cash") - money.round_even(F.col("margin_interest") + F.col("borrow_fees"), 4), 4))
 
 
 def financing_entries(accrued: DataFrame) -> DataFrame:
@@ -257,5 +258,5 @@ def eod_snapshot(cash: DataFrame, held: DataFrame, realized: DataFrame) -> DataF
         F.sum(F.col("position") * F.col("mark")).alias("_h"), F.sum(F.abs("position") * F.col("mark")).alias("_g"), F.sum("unrealized_pnl").alias("_u"))
     r = realized.groupBy("portfolio_id").agg(F.sum("realized_pnl").alias("_r"))
     j = cash.join(p, "portfolio_id", "left").join(r, "portfolio_id", "left").fillna(0.0, ["_h", "_g", "_u", "_r"])
-    return j.select("portfolio_id", F.round(F.col("cash") + F.col("_h"), 4).alias("nav"), F.round("cash", 4).alias("cash"),
-                    F.round("_g", 4).alias("gross_notional"), F.round("_r", 4).alias("realized_pnl"), F.round("_u", 4).alias("unrealized_pnl"))
+    return j.select("portfolio_id", money.round_even(F.col("cash") + F.col("_h"), 4).alias("nav"), money.round_even("cash", 4).alias("cash"),
+                    money.round_even("_g", 4).alias("gross_notional"), money.round_even("_r", 4).alias("realized_pnl"), money.round_even("_u", 4).alias("unrealized_pnl"))

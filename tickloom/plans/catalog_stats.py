@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import series, stats, tail
 from tickloom.plans import sqltext as S
 from tickloom.plans.catalog_series import CURVE, rounded, small_returns
+from tickloom.sources import feeds
 from tickloom.sources import fixtures as fx
 
 QUERIES: dict = {}
@@ -166,16 +167,32 @@ def _(spark, d):
                     F.round(F.col("calmar_ratio") / 1000, 3).alias("calmar_k"), *t.columns[7:])
 
 
-@query("tear_sheet_daily", f"""WITH {DAILY}, qq AS (SELECT strategy, quantile_cont(ret, 0.05) AS p5, quantile_cont(ret, 0.95) AS p95 FROM daily GROUP BY 1),
+TEAR_DAILY = f"""WITH {DAILY}, qq AS (SELECT strategy, quantile_cont(ret, 0.05) AS p5, quantile_cont(ret, 0.95) AS p95 FROM daily GROUP BY 1),
 ba AS (SELECT strategy, p5, p95, count(*) AS n, product(1 + ret) AS eq, stddev_pop(ret) AS sd, avg(ret) AS mx, sum(greatest(ret, 0)) AS pos, sum(greatest(-ret, 0)) AS neg,
   count(*) FILTER (ret > 0) AS wins, avg(ret) FILTER (ret <= p5) AS tl FROM daily JOIN qq USING (strategy) GROUP BY 1, 2, 3)
 SELECT strategy, round(eq - 1, 4) AS total_return, round(pow(eq, 252.0::DOUBLE / n) - 1, 4) AS cagr, round(mx / sd * sqrt(252.0), 3) AS sharpe_ratio, round(pos / neg, 3) AS omega_ratio,
-  round(wins / n, 4) AS win_rate, round(abs(p5), 4) AS var_95, round(abs(tl), 4) AS cvar_95 FROM ba""")
+  round(wins / n, 4) AS win_rate, round(abs(p5), 4) AS var_95, round(abs(tl), 4) AS cvar_95 FROM ba"""
+
+
+@query("tear_sheet_daily", TEAR_DAILY)
 def _(spark, d):
     return stats.tear_sheet(daily_returns(spark, d), "strategy").select(
         "strategy", "total_return", "cagr", "sharpe_ratio", "omega_ratio", "win_rate", "var_95", "cvar_95")
 
 
+@query("report_export", TEAR_DAILY)
+def _(spark, d):
+    """Metrics, equity series and monthly matrix written as a report, the metrics read back."""
+    from tickloom.plans.catalog_streams import workspace
+
+    r = daily_returns(spark, d)
+    metrics = stats.tear_sheet(r, "strategy").select("strategy", "total_return", "cagr", "sharpe_ratio", "omega_ratio", "win_rate", "var_95", "cvar_95")
+    equity = series.equity_curve(r.withColumnRenamed("strategy", "symbol"))
+    root = workspace(spark)
+    feeds.export_report(metrics, equity, stats.monthly_matrix(r, "strategy"), root)
+    return spark.read.schema(metrics.schema).json(f"{root}/metrics")
+
+
 def _month_cols():
     return ", ".join(f"round(coalesce(max(x) FILTER (m = {i}), 0.0), 4) AS m{i:02d}" for i in range(1, 13))
 

@@ -145,6 +145,28 @@ def _(spark, d):
     return table_of(spark, r, ["report_id"]).select("report_id", "symbol")
 
 
+FEED_DATES = """CASE WHEN doc_id % 3 = 0 THEN 1704067200000000000 + (doc_id % 28) * 86400000000000 WHEN doc_id % 3 = 1 THEN 1704106800000000000 + (doc_id % 28) * 86400000000000 ELSE 1735689600000000000 END"""
+
+
+@query("feed_files", f"""SELECT CASE WHEN doc_id % 2 = 0 THEN 'rss' ELSE 'atom' END AS source, 'https://feed.example/' || doc_id AS url, 'Item ' || doc_id || ' & more' AS headline, {FEED_DATES} AS published_ns FROM documents""")
+def _(spark, d):
+    """RSS and Atom files written from the documents, then read back by row tag."""
+    k = F.col("doc_id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 28).cast("int"))
+    date = F.when(k % 3 == 0, F.concat(F.date_format(day, "dd MMM yyyy"), F.lit(" 00:00:00 GMT"))).when(k % 3 == 1, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T12:00:00+01:00"))).otherwise("soon")
+    # the control characters of some texts have no place in XML
+    body = F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    rows = fx.table(spark, d, "documents").select(k, F.concat(F.lit("Item "), k.cast("string"), F.lit(" &amp; more")).alias("title"), body.alias("summary"), date.alias("date"), F.concat(F.lit("https://feed.example/"), k.cast("string")).alias("url"))
+    root, found = workspace(spark), []
+    for name, kind in (("rss", 0), ("atom", 1)):
+        atom = kind == 1
+        own = rows.filter(k % 2 == kind)
+        cells = ["title", "summary", F.struct(F.col("url").alias("_href")).alias("link"), F.col("date").alias("updated")] if atom else ["title", F.col("summary").alias("description"), F.col("url").alias("link"), F.col("date").alias("pubDate")]
+        own.select(*cells).write.format("xml").option("rootTag", "feed" if atom else "channel").option("rowTag", "entry" if atom else "item").save(f"{root}/{name}")
+        found.append(feeds.to_articles(feeds.read_feed(spark, f"{root}/{name}", atom), F.lit(name), F.lit(1735689600000000000)))
+    return found[0].unionByName(found[1]).select("source", "url", "headline", "published_ns")
+
+
 @query("feed_articles", """SELECT doc_id AS article_id, 'Item ' || doc_id || ' & more' AS headline, CASE WHEN doc_id % 3 = 0 THEN 1704067200000000000 + (doc_id % 28) * 86400000000000 WHEN doc_id % 3 = 1 THEN 1704106800000000000 + (doc_id % 28) * 86400000000000
   ELSE 1735689600000000000 + doc_id END AS published_ns FROM documents""")
 def _(spark, d):

@@ -56,11 +56,11 @@ def _(spark, d):
 
 
 def sentiment_events(spark, d):
-    t = fx.ticks(spark, d).filter("event_id % 5 = 0")
+    t = fx.ticks(spark, d)
     return t.select("symbol", "ts_ns", ((F.col("event_id") % 21 - 10) / 10.0).alias("polarity"), ((F.col("event_id") % 10) / 10.0).alias("urgency"), F.lit(0.25).alias("centrality"))
 
 
-@query("sentiment_signals", f"""WITH {S.bars()}, ev AS (SELECT event_type AS symbol, epoch_us(ts) * 1000 AS t, (event_id % 21 - 10) / 10.0 AS p, (event_id % 10) / 10.0 AS u FROM events WHERE event_id % 5 = 0),
+@query("sentiment_signals", f"""WITH {S.bars()}, ev AS (SELECT event_type AS symbol, epoch_us(ts) * 1000 AS t, (event_id % 21 - 10) / 10.0 AS p, (event_id % 10) / 10.0 AS u FROM events),
 j AS (SELECT b.symbol, b.ts_ns, e.p, e.u, (b.ts_ns - e.t) / 1e9::DOUBLE AS s FROM bars b LEFT JOIN ev e ON e.symbol = b.symbol AND e.t <= b.ts_ns AND b.ts_ns - e.t <= 604800000000000),
 w AS (SELECT symbol, ts_ns, p, {_decay_sql('s', 'u', '7200.0', '72000.0')} AS w FROM j), a AS (SELECT symbol, ts_ns, least(1, greatest(-1, coalesce(sum(p * w * 0.25), 0))) AS s, count(*) FILTER (w > 1e-4) AS active_events FROM w GROUP BY 1, 2)
 SELECT symbol, ts_ns, active_events, round(CASE WHEN abs(s) >= 0.15 THEN s ELSE 0 END, 4) AS target_weight FROM a""")

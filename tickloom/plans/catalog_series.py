@@ -46,13 +46,13 @@ SPARSE = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 def order_prices(spark, d):
     """Daily mean order value per priority and customer segment bucket: a sparse series."""
     o = fx.table(spark, d, "orders")
-    return o.filter(F.col("o_orderstatus") != "F").groupBy(
+    return o.groupBy(
         F.col("o_orderpriority").alias("symbol"), fx.to_ns("o_orderdate").alias("ts_ns")
     ).agg(F.max("o_totalprice").alias("close"))
 
 
 @query("aligned_returns_sparse", """WITH p AS (SELECT o_orderpriority AS symbol, epoch_us(o_orderdate) * 1000 AS ts_ns, max(o_totalprice) AS price
-  FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2),
+  FROM orders GROUP BY 1, 2),
 g AS (SELECT t.ts_ns, s.symbol, p.price FROM (SELECT DISTINCT ts_ns FROM p) t CROSS JOIN (SELECT DISTINCT symbol FROM p) s
   LEFT JOIN p ON p.symbol = s.symbol AND p.ts_ns = t.ts_ns),
 f AS (SELECT symbol, ts_ns, last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_ns) AS now,

@@ -55,14 +55,38 @@ def _moments(spark, d):
     return stats.moments(daily_returns(spark, d), ["strategy"])
 
 
-@query("probabilistic_sharpe")
+def _phi(x: str) -> str:
+    """The normal distribution function by its series in odd powers."""
+    term = f"pow({x}, 2 * k + 1) / exp(lgamma(2 * k + 2) - k * ln(2.0::DOUBLE) - lgamma(k + 1))"
+    inner = f"0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: {term}))"
+    return f"(CASE WHEN {x} > 8 THEN 1.0 WHEN {x} < -8 THEN 0.0 ELSE {inner} END)"
+
+
+def _quantile(p: str) -> str:
+    """The normal quantile by sixty halvings of an interval."""
+    mid = "((a['lo'] + a['hi']) / 2)"
+    step = f"CASE WHEN {_phi(mid)} < {p} THEN {{'lo': {mid}, 'hi': a['hi']}} ELSE {{'lo': a['lo'], 'hi': {mid}}} END"
+    return f"list_reduce([{{'lo': -8.0::DOUBLE, 'hi': 8.0::DOUBLE}}] || list_transform(range(0, 60), lambda i: {{'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE}}), lambda a, b: {step})['lo']"
+
+
+def _hurdle(trials: str, variance: str, mean: str) -> str:
+    z = f"(1 - {stats.EULER_GAMMA}) * {_quantile(f'(1 - 1 / {trials})')} + {stats.EULER_GAMMA} * {_quantile(f'(1 - 1 / ({trials} * exp(1.0::DOUBLE)))')}"
+    return f"CASE WHEN {trials} <= 1 OR {variance} <= 0 THEN {mean} ELSE {mean} + sqrt({variance}) * ({z}) END"
+
+
+RATIO = "s AS (SELECT *, mean / std AS sr FROM mom), v AS (SELECT *, greatest(1e-8, 1 - skew * sr + (greatest(kurtosis, 1 + skew * skew + 1e-6) - 1) / 4 * sr * sr) AS vt FROM s)"
+
+
+@query("probabilistic_sharpe", f"""WITH {MOMENTS}, {RATIO}, z AS (SELECT strategy, sr, sr / sqrt(vt / (n - 1)) AS z FROM v)
+SELECT strategy, round(sr * sqrt(252.0), 6) AS sharpe, round({_phi('z')}, 6) AS psr FROM z""")
 def _(spark, d):
     m = _moments(spark, d).withColumn("sharpe", F.col("mean") / F.col("std") * 252.0 ** 0.5)
     psr = stats.probabilistic_sharpe(F.col("sharpe"), F.lit(0.0), F.col("skew"), F.col("kurtosis"), F.col("n"), 252.0)
     return m.select("strategy", F.round("sharpe", 6).alias("sharpe"), F.round(psr, 6).alias("psr"))
 
 
-@query("expected_max_sharpe")
+@query("expected_max_sharpe", f"""WITH {MOMENTS}, {RATIO}, a AS (SELECT count(*) AS k, var_samp(sr) AS v, avg(sr) AS m FROM s), t AS (SELECT CAST(unnest(range(1, k + 1)) AS BIGINT) AS trials, v, m FROM a),
+d AS (SELECT trials, trials::DOUBLE AS x, v, m FROM t) SELECT trials, round({_hurdle('x', 'v', 'm')}, 6) AS hurdle FROM d""")
 def _(spark, d):
     """Hurdle for 1..n strategies tried, with the variance of their Sharpe ratios."""
     m = _moments(spark, d).select("strategy", (F.col("mean") / F.col("std")).alias("s"))
@@ -122,7 +146,13 @@ query("fdr_bh", FDR.format(h="1.0::DOUBLE"))(lambda spark, d: _fdr(spark, d, "bh
 query("fdr_by", FDR.format(h="sum(1.0::DOUBLE / rank)"))(lambda spark, d: _fdr(spark, d, "by"))
 
 
-@query("deflated_sharpe")
+@query("deflated_sharpe", f"""WITH {MOMENTS}, {RATIO}, h AS (SELECT {_hurdle('x', '0.5::DOUBLE', '0.0::DOUBLE')} AS top FROM (SELECT 20.0::DOUBLE AS x)),
+z AS (SELECT *, sr * sqrt(252.0) AS sharpe, sr / sqrt(vt / (n - 1)) AS z0, (sr - top / sqrt(252.0)) / sqrt(vt / (n - 1)) AS z1,
+  CASE WHEN sr <= top / sqrt(252.0) THEN 'inf'::DOUBLE ELSE greatest(1, 1 + vt * pow(1.6448536269514722 / (sr - top / sqrt(252.0)), 2)) END AS need FROM v, h),
+p AS (SELECT *, {_phi('z0')} AS p0, {_phi('z1')} AS p1 FROM z)
+SELECT strategy, n, round(mean, 6) AS mean, round(std, 6) AS std, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(sharpe, 6) AS sharpe, round(top, 6) AS expected_max,
+  round(p0, 6) AS psr, round(p1, 6) AS dsr, round(need, 6) AS min_length, 20.0::DOUBLE AS trials,
+  CASE WHEN p1 >= 0.95 AND n >= need THEN 'CERTIFIED_SIGNIFICANT' WHEN p1 >= 0.95 THEN 'INSUFFICIENT_SAMPLE_LENGTH' WHEN sharpe > top THEN 'INSUFFICIENT_CONFIDENCE' ELSE 'SELECTION_BIAS_REJECTED' END AS status FROM p""")
 def _(spark, d):
     out = stats.deflated_sharpe(_moments(spark, d), F.lit(20.0), F.lit(0.5), F.lit(0.0))
     return rounded(out, 6, "mean", "std", "skew", "kurtosis", "sharpe", "expected_max", "psr", "dsr", "min_length")

@@ -51,7 +51,20 @@ def _(spark, d):
     return fifo(spark, d).select("portfolio_id", "symbol", "trade_side", "open_no", "close_no", "quantity", "execution_price", "cost_basis", "realized_pnl", "holding_seconds")
 
 
-@query("lifo_matches")
+TAKE = "greatest(0, least(lots[i]['q'], cq - coalesce(list_sum(list_transform(lots[1:i - 1], lambda x: x['q'])), 0)))"
+# the lots of a book in the order in which closes take them: latest time first, of equal times the lower number
+LIFO = f"""{FILLS}, run AS (
+  SELECT DISTINCT portfolio_id, symbol, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(no BIGINT, ts BIGINT, px DOUBLE, q DOUBLE)[]) AS lots, CAST([] AS STRUCT(no BIGINT, px DOUBLE, q DOUBLE)[]) AS hits, 0.0::DOUBLE AS px, 0.0::DOUBLE AS dir FROM sp
+  UNION ALL SELECT portfolio_id, symbol, fill_no, list_filter(rest, lambda x: x['ts'] >= ts_ns) || CASE WHEN oq > 1e-8 THEN [{{'no': fill_no, 'ts': ts_ns, 'px': price, 'q': oq}}] ELSE [] END || list_filter(rest, lambda x: x['ts'] < ts_ns), hits, price, q
+  FROM (SELECT sp.portfolio_id, sp.symbol, fill_no, ts_ns, price, oq, q,
+      list_filter(list_transform(range(1, len(lots) + 1), lambda i: {{'no': lots[i]['no'], 'ts': lots[i]['ts'], 'px': lots[i]['px'], 'q': lots[i]['q'] - {TAKE}}}), lambda x: x['q'] > 1e-8) AS rest,
+      list_filter(list_transform(range(1, len(lots) + 1), lambda i: {{'no': lots[i]['no'], 'px': lots[i]['px'], 'q': {TAKE}}}), lambda x: x['q'] > 1e-8) AS hits
+    FROM run JOIN sp ON sp.portfolio_id = run.portfolio_id AND sp.symbol = run.symbol AND sp.fill_no = run.k + 1))"""
+
+
+@query("lifo_matches", f"""WITH RECURSIVE {LIFO}, m AS (SELECT portfolio_id, symbol, k, px, dir, unnest(hits) AS h FROM run)
+SELECT portfolio_id, symbol, CASE WHEN dir < 0 THEN 'SELL' ELSE 'COVER' END AS trade_side, h['no'] AS open_no, k AS close_no, h['q'] AS quantity,
+  round(CASE WHEN dir < 0 THEN h['q'] * px - h['q'] * h['px'] ELSE h['q'] * h['px'] - h['q'] * px END, 4) AS realized_pnl FROM m""")
 def _(spark, d):
     return lots.lifo_matches(split(spark, d)).select("portfolio_id", "symbol", "trade_side", "open_no", "close_no", "quantity", "realized_pnl")
 

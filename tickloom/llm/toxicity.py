@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import field, text_of
+from tickloom.llm.common import field, keep, text_of
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n]")
 CLAUSE_END = frozenset(".!?;:,\n")
@@ -121,7 +121,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return rows.select("text", F.col("toxic").cast("long").alias("toxic"), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).alias("half"))
 
 
-def learn_insults(sample: DataFrame, least_docs: int = 6, least_gain: float = 25.0, most: int = 4096) -> dict[str, float]:
+def learn_insults(sample: DataFrame, least_docs: int = 5, least_gain: float = 20.0, most: int = 4096) -> dict[str, float]:
     """Weighted word and stem patterns that mark toxic texts: log odds of a text with the pattern being toxic.
 
     A pattern needs ``least_docs`` toxic texts and a log-likelihood ratio of ``least_gain``; the ``most`` best are taken.
@@ -177,7 +177,7 @@ def learn_insults(sample: DataFrame, least_docs: int = 6, least_gain: float = 25
     for p, a in wanted.items():
         b = clean.get(p, 0)
         weight = math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))
-        if weight > 2 and gain(a, b) >= least_gain:
+        if weight > 1.5 and gain(a, b) >= least_gain:
             scored.append((gain(a, b), p, weight))
     return {p: w for _, p, w in sorted(scored, reverse=True)[:most]}
 
@@ -203,26 +203,31 @@ def fit_scores(rows: list[tuple[list[float], int]], ridge: float = 1.0, steps: i
 def score_toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.3), and FEATURES.
 
-    At most ``most_labelled`` labelled rows are learned from, none of them held out: one half gives the insult
-    patterns, the other the weights of the clause features. Then every whole text is scored. Null texts count as
+    At most ``most_labelled`` labelled rows are learned from, none of them held out. The weights of the clause
+    features come from each half under the insult patterns of the other half, so that they don't trust patterns
+    learned from the same texts; the patterns of all rows then score every whole text. Null texts count as
     empty and score as texts without a hit; a null doc_id is not held out; repeated rows are scored each; an empty
     table gives no rows, and without usable labels all scores are alike.
     """
-    sample = labelled(docs, labels, most_labelled)
-    insults = learn_insults(sample.filter("half = 0"))
+    sample = keep(labelled(docs, labels, most_labelled))
+    insults = learn_insults(sample)
     schema = T.StructType([T.StructField("doc_id", field(docs, "doc_id", T.LongType())), T.StructField("score", T.DoubleType())] + [T.StructField(f, T.DoubleType()) for f in FEATURES])
 
-    def measure(batches):
-        import pyarrow as pa
+    def measured(part: DataFrame, patterns: dict[str, float]) -> list[tuple[list[float], int]]:
+        def measure(batches):
+            import pyarrow as pa
 
-        grammar = Grammar(insults)
-        for batch in batches:
-            rows = [grammar.features(t.as_py()) for t in batch.column("text")]
-            columns = [pa.array(c, pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *columns], ["toxic", *FEATURES])
+            grammar = Grammar(patterns)
+            for batch in batches:
+                rows = [grammar.features(t.as_py()) for t in batch.column("text")]
+                columns = [pa.array(c, pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * len(FEATURES)
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *columns], ["toxic", *FEATURES])
+
+        found = part.select("text", "toxic").mapInArrow(measure, "toxic long, " + ", ".join(f"{f} double" for f in FEATURES))
+        return [([r[f] for f in FEATURES], int(r.toxic > 0)) for r in found.collect()]  # one row per row of the bounded sample
 
-    fit_on = sample.filter("half = 1").select("text", "toxic").mapInArrow(measure, "toxic long, " + ", ".join(f"{f} double" for f in FEATURES))
-    weights = fit_scores([([r[f] for f in FEATURES], int(r.toxic > 0)) for r in fit_on.collect()])
+    halves = [sample.filter(f"half = {k}") for k in (0, 1)]
+    weights = fit_scores(measured(halves[1], learn_insults(halves[0])) + measured(halves[0], learn_insults(halves[1])))
 
     def score(batches):
         import math

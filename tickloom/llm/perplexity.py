@@ -16,22 +16,38 @@ SHARD_ENTRIES = 2_000_000
 SENT_IDS = 2_000_000
 
 
-def codes_of(texts: list[bytes]):
-    """The n-gram of ORDER bytes that ends at each byte, for all texts in turn; texts start after line feeds."""
+def codes_of(pieces: list[tuple[bytes, bytes]]):
+    """The n-gram of ORDER bytes that ends at each byte of the pieces (bytes before it, piece), one after the other."""
     import numpy as np
 
-    pad = b"\n" * (ORDER - 1)
-    whole = np.frombuffer(pad + pad.join(texts), np.uint8).astype(np.int64)
-    codes = np.zeros(len(whole) - ORDER + 1, np.int64)
+    whole = np.frombuffer(b"".join(lead + piece for lead, piece in pieces), np.uint8).astype(np.int64)
+    codes = np.zeros(max(0, len(whole) - ORDER + 1), np.int64)
     for k in range(ORDER):
         codes = (codes << 8) | whole[k : k + len(codes)]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + ORDER - 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
+    # A lead is ORDER - 1 bytes long; what ends in a later lead is not an n-gram of the text.
     own = np.ones(len(codes), bool)
-    for k in range(ORDER - 1):  # windows that end in the padding of the next text
-        ends = (starts + sizes + k)[:-1]
-        own[ends[ends < len(own)]] = False
-    return codes[own], sizes
+    ends = np.cumsum([len(piece) + ORDER - 1 for _, piece in pieces])[:-1] - (ORDER - 1)
+    for k in range(ORDER - 1):
+        own[ends + k] = False
+    return codes[own]
+
+
+def slices(texts: list[bytes], most: int = 1_000_000):
+    """Lists of (number of the text, bytes before the piece, piece) with about ``most`` bytes; long texts are cut.
+
+    A text starts as if after line feeds; a cut loses nothing, since a piece knows the bytes before it.
+    """
+    part, size, lead = [], 0, b"\n" * (ORDER - 1)
+    for k, text in enumerate(texts):
+        for lo in range(0, len(text), most):
+            piece = text[lo : lo + most]
+            if part and size + len(piece) > most:
+                yield part
+                part, size = [], 0
+            part.append((k, (lead + text[max(0, lo - ORDER + 1) : lo])[-(ORDER - 1) :], piece))
+            size += len(piece)
+    if part:
+        yield part
 
 
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -53,7 +69,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [x.as_py().encode() for x in batch.column(0)]
             for part in slices(texts):
-                g, n = np.unique(codes_of(part)[0], return_counts=True)
+                g, n = np.unique(codes_of([p[1:] for p in part]), return_counts=True)
                 g, inverse = np.unique(np.concatenate([held[0], g]), return_inverse=True)
                 total = np.zeros(len(g), np.int64)
                 np.add.at(total, inverse, np.concatenate([held[1], n]))
@@ -66,19 +82,6 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def slices(texts: list[bytes], most: int = 4_000_000):
-    """Texts in lists of about ``most`` bytes; a longer text is a list of its own."""
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > most:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
-
-
 def train(texts: DataFrame) -> DataFrame:
     """The model (k, g, p, back): for k bytes long n-gram g its log2 probability and the log2 weight of shorter ones.
 
@@ -166,16 +169,16 @@ def score_part(docs: DataFrame, shard: dict, part: int, parts: int) -> DataFrame
 
         model = Shard(shard)
         for batch in batches:
-            texts, bits = [x.as_py().encode() for x in batch.column("text")], []
+            texts = [x.as_py().encode() for x in batch.column("text")]
+            bits = np.zeros(len(texts))
             for some in slices(texts):
-                codes, sizes = codes_of(some)
+                codes = codes_of([p[1:] for p in some])
                 mine = np.ones(len(codes), bool) if parts == 1 else (((codes >> 8) & 0xFFFF) % parts) == part
                 value = np.zeros(len(codes))
                 value[mine] = -model.score(codes[mine])
-                upto = np.concatenate([[0.0], np.cumsum(value)])
-                ends = np.cumsum(sizes)
-                bits += (upto[ends] - upto[ends - sizes]).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in others] + [pa.array([len(t) for t in texts], pa.int64()), pa.array(bits, pa.float64())], [f.name for f in schema.fields])
+                sizes = np.array([len(piece) for _, _, piece in some])
+                np.add.at(bits, [k for k, _, _ in some], np.add.reduceat(value, np.cumsum(sizes) - sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in others] + [pa.array([len(t) for t in texts], pa.int64()), pa.array(bits)], [f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
 

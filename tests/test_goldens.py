@@ -335,3 +335,14 @@ def test_money_rounds_like_exact_arithmetic(spark):
     for n in (0, 1, 2, 4, 6):
         got = [r[0] for r in d.select(money.round_even("v", n)).collect()]
         assert got == [float(round(v, n)) for v in values]
+
+
+@pytest.mark.parametrize("n", [10, 120, 300])
+def test_rolling_cascade_is_the_cascade_of_each_window(spark, n):
+    x = np.random.default_rng(n).standard_t(4, size=n) * 0.01
+    rows = [("A", (i + 1) * DAY, float(v)) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "symbol string, ts_ns long, loss double")
+    got = {r.ts_ns: r for r in tail.rolling_cascade(d, capacity=280).collect()}
+    assert len(got) == n - 1
+    last = tail.risk_cascade(spark.createDataFrame(rows[-280:], d.schema), ["symbol"]).first()
+    assert (got[n * DAY].method, got[n * DAY].var, got[n * DAY].cvar) == (last.method, pytest.approx(last["var"]), pytest.approx(last.cvar))

@@ -71,6 +71,11 @@ def t_quantile(nu: float, p: float) -> float:
     return 0.5 * (lo + hi)
 
 
+def t_density(nu: float, t: float) -> float:
+    log_c = math.lgamma((nu + 1.0) / 2.0) - math.lgamma(nu / 2.0) - 0.5 * math.log(nu * math.pi)
+    return math.exp(log_c - 0.5 * (nu + 1.0) * math.log1p(t * t / nu))
+
+
 @F.pandas_udf(T.StructType([T.StructField("q", T.DoubleType()), T.StructField("pdf", T.DoubleType())]))
 def student_t(nu: pd.Series, p: pd.Series) -> pd.DataFrame:
     """Quantile at p and the density there, for nu degrees of freedom."""
@@ -80,6 +85,5 @@ def student_t(nu: pd.Series, p: pd.Series) -> pd.DataFrame:
             rows.append((None, None))
             continue
         q = t_quantile(v, a)
-        log_c = math.lgamma((v + 1.0) / 2.0) - math.lgamma(v / 2.0) - 0.5 * math.log(v * math.pi)
-        rows.append((q, math.exp(log_c - 0.5 * (v + 1.0) * math.log1p(q * q / v))))
+        rows.append((q, t_density(v, q)))
     return pd.DataFrame(rows, columns=["q", "pdf"])

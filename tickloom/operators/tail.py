@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import special
+from tickloom.functions.special import t_density, t_quantile
 from tickloom.operators import blocks, series, stats
 
 
@@ -130,3 +133,43 @@ def rolling_empirical(losses: DataFrame, capacity: int = 500, alpha: float = 0.9
     high = F.filter("_win", lambda x: x >= F.col("var"))
     mean = F.aggregate(high, F.lit(0.0), lambda a, x: a + x) / F.size(high)
     return out.withColumn("cvar", F.greatest(F.coalesce(mean, F.col("var")), F.col("var"))).drop("_win")
+
+
+def window_risk(x: np.ndarray, alpha: float = 0.99, k: float = 1.645, min_t: int = 30, min_evt: int = 250, min_excess: int = 15) -> tuple[str, float, float]:
+    """Method, VaR and CVaR of one window: the rules of :func:`risk_cascade`, NaN for a tail without variance."""
+    n, mu, sigma = len(x), float(x.mean()), float(x.std(ddof=1))
+    over = np.sort(x[x > mu + k * sigma]) - (mu + k * sigma)
+    nu = len(over)
+    if sigma <= 1e-12 or n < min_t or (n >= min_evt and nu < 10):
+        var = float(np.percentile(x, 100.0 * alpha))
+        return "EMPIRICAL", var, max(float(x[x >= var].mean()), var)
+    if n >= min_evt and nu >= min_excess and 1.0 - alpha < nu / n:
+        top = min(max(2, nu // 10), nu - 1)
+        m0, m1 = over.mean(), ((nu - np.arange(1, nu + 1) + 0.35) * over).sum() / nu**2
+        hill = np.log(over[-top:]).mean() - math.log(over[-top - 1]) if over[-top - 1] > 0 else 0.0
+        d = m0 - 2.0 * m1
+        shape, scale = (2.0 - m0 / d, 2.0 * m0 * m1 / d) if d > 1e-12 and 2.0 - m0 / d > 0.0 else (0.001, m0)
+        if hill >= 1.0 or shape >= 0.999:
+            return "HALT", math.nan, math.nan
+        shape, scale, u = max(shape, 0.001), max(scale, 1e-8), mu + k * sigma
+        var = u + scale / shape * ((n / nu * (1.0 - alpha)) ** -shape - 1.0)
+        return "EVT_PWM", var, max((var + scale - shape * u) / (1.0 - shape), var)
+    kurt = float(((x - mu) ** 4).mean()) / sigma**4 - 3.0 if sigma**4 > 1e-16 else 0.0
+    dof = min(100.0, max(2.10, 4.0 + 6.0 / kurt)) if kurt > 0 else 100.0
+    q = t_quantile(dof, alpha)
+    scale = max(sigma * math.sqrt((dof - 2.0) / dof), 1e-8)
+    var = mu + scale * q
+    return "STUDENT_T", var, max(mu + scale * t_density(dof, q) / (1.0 - alpha) * (dof + q * q) / (dof - 1.0), var)
+
+
+def rolling_cascade(losses: DataFrame, capacity: int = 500, alpha: float = 0.99) -> DataFrame:
+    """The risk cascade over the last ``capacity`` losses at every row with two or more."""
+    seq = series.sequenced(losses)
+    wide = blocks.rolling(seq, ["symbol"], lambda f: {"_win": F.collect_list("loss").over(f(1 - capacity, 0))}, back=capacity, where=F.col("seq") >= 2)
+
+    def run(batches):
+        for pdf in batches:
+            found = [window_risk(np.asarray(w, dtype=float), alpha) for w in pdf["_win"]]
+            yield pdf[["symbol", "ts_ns"]].assign(**{c: [r[i] for r in found] for i, c in enumerate(("method", "var", "cvar"))})
+
+    return wide.select("symbol", "ts_ns", "_win").mapInPandas(run, "symbol string, ts_ns long, method string, var double, cvar double")

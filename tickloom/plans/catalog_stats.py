@@ -395,3 +395,8 @@ SELECT symbol, ts_ns, round(var, 6) AS var, round(greatest(var, list_avg(list_fi
 def _(spark, d):
     out = tail.rolling_empirical(losses(spark, d), 250)
     return rounded(out.select("symbol", "ts_ns", "var", "cvar"), 6, "var", "cvar")
+
+
+@query("rolling_risk_cascade")
+def _(spark, d):
+    return rounded(tail.rolling_cascade(losses(spark, d)), 6, "var", "cvar")

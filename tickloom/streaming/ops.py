@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.operators import kernels
+from tickloom.operators.kernels import TIERS, cusum_step, tier_step
 
 
 def with_event_time(stream: DataFrame, ns: str = "ts_ns") -> DataFrame:
@@ -82,7 +82,7 @@ def online_cusum(z_scores: DataFrame, threshold: float = 3.0, drift: float = 0.5
         out = []
         for ts, z in _rows(batches, ["ts_ns"])[["ts_ns", "z"]].itertuples(index=False):
             dwell = min(dwell + 1, min_dwell)
-            alarm, down, pos, neg = kernels.cusum_step(z, dwell, pos, neg, threshold, drift, min_dwell)
+            alarm, down, pos, neg = cusum_step(z, dwell, pos, neg, threshold, drift, min_dwell)
             dwell = 0 if alarm else dwell
             out.append((key[0], ts, alarm, down, pos, neg))
         state.update((float(pos), float(neg), int(dwell)))
@@ -98,8 +98,8 @@ def online_tiers(shocks: DataFrame, dwell: int = 5) -> DataFrame:
         tier, bars = state.get if state.exists else (0, 0)
         out = []
         for ts, shock, cut, panic in _rows(batches, ["ts_ns"])[["ts_ns", "shock", "haircut", "panic"]].itertuples(index=False):
-            tier, bars = kernels.tier_step(tier, bars, shock, bool(panic), dwell=dwell)
-            out.append((key[0], ts, kernels.TIERS[tier], bars, 0.0 if tier >= 2 else min(0.5, cut) if tier == 1 else cut))
+            tier, bars = tier_step(tier, bars, shock, bool(panic), dwell=dwell)
+            out.append((key[0], ts, TIERS[tier], bars, 0.0 if tier >= 2 else min(0.5, cut) if tier == 1 else cut))
         state.update((int(tier), int(bars)))
         yield pd.DataFrame(out, columns=["book", "ts_ns", "tier", "bars_in_tier", "execution_haircut"])
 

@@ -44,8 +44,8 @@ def shingle_hashes(text: str, words_each: int):
 
 
 def sketch(docs: DataFrame, extra: list, words_each: int) -> DataFrame:
-    """One row per document: doc_id, what ``extra`` names, n, same (a fingerprint of the whole set), retained (long[])."""
-    rows = docs.select(text_of().alias("text"), F.struct("doc_id", *extra).alias("doc"))
+    """One row per document: doc_id, mark, what ``extra`` names, n, same (a fingerprint of the whole set), retained (long[])."""
+    rows = docs.select(text_of().alias("text"), F.struct("doc_id", F.xxhash64("text").alias("mark"), *extra).alias("doc"))
     schema = T.StructType([rows.schema["doc"], T.StructField("n", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("retained", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -167,8 +167,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
-    """(id, n, hashes, wide: the least WIDE of them) of the wanted nodes (id, doc_id, same), from one document's text."""
-    rows = docs.select("doc_id", text_of().alias("text")).join(wanted.select("id", "doc_id", "same"), "doc_id").select("id", "same", "text")
+    """(id, n, hashes, wide: the least WIDE of them) of the wanted nodes (id, doc_id, mark, same), from one document's text."""
+    wanted = wanted.select("id", "same", F.col("doc_id").alias("d"), F.col("mark").alias("m"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), text_of().alias("text"))
+    rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("id", "same", "text")
 
     def run(batches):
         import hashlib
@@ -181,16 +183,16 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame
             columns = [batch.column("id"), pa.array([len(h) // 8 for h in hashes], pa.int64()), pa.array(hashes, pa.binary()), pa.array([h[: 8 * WIDE] for h in hashes], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "hashes", "wide"]).filter(pa.array(right, pa.bool_()))
 
-    # A repeated doc_id with one text gives a node twice.
+    # Rows that repeat a document give a node twice.
     return rows.mapInArrow(run, "id long, n long, hashes binary, wide binary").dropDuplicates(["id"])
 
 
 def label(docs: DataFrame, extra: list, words_each: int, percent: int) -> DataFrame:
-    """One row per document: doc_id, what ``extra`` names, n, component (a doc_id; null for empty sets and null ids)."""
+    """One row per document: doc_id, what ``extra`` names, n, root and component (its smallest doc_id); both null for empty sets."""
     rows = keep(sketch(docs, extra, words_each))
     # Documents with one set are one node, so thousands of copies count once below.
-    nodes = rows.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("retained").alias("retained"))
-    nodes = keep(nodes.withColumn("id", F.monotonically_increasing_id()))
+    nodes = rows.filter("n > 0").groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("who"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("retained").alias("retained"))
+    nodes = keep(nodes.select("same", "who.doc_id", "who.mark", "copies", "n", "retained", F.monotonically_increasing_id().alias("id")))
 
     # Inverted lists of retained values. What only one set retains joins nothing, and a set with too few shared
     # values has no partner. Of the others, the rarest ones are enough: two sets that share m of r and s values
@@ -220,9 +222,9 @@ def label(docs: DataFrame, extra: list, words_each: int, percent: int) -> DataFr
 
     owner = nodes.join(found, "id", "left").withColumn("root", F.coalesce("component", "id")).select("same", "root", "doc_id")
     least = owner.groupBy("root").agg(F.min("doc_id").alias("component"))
-    owner = keep(owner.join(least, "root").select("same", "component"))
+    owner = keep(owner.join(least, "root").select("same", "root", "component"))
     # Both are stored tables: a set with very many copies is a skewed partition that Spark can split.
-    return rows.drop("retained").withColumn("same", F.when(F.col("n") > 0, F.col("same"))).join(owner, "same", "left")
+    return rows.drop("retained", "mark").withColumn("same", F.when(F.col("n") > 0, F.col("same"))).join(owner, "same", "left")
 
 
 def near_groups(docs: DataFrame, words_each: int = 4, percent: int = 80) -> DataFrame:
@@ -231,8 +233,8 @@ def near_groups(docs: DataFrame, words_each: int = 4, percent: int = 80) -> Data
     A document's set is that of its distinct shingles of ``words_each`` words, A-Z lower-cased; a shorter text is
     one shingle, one without words has none and links with nothing. Documents link if the intersection of their
     sets is at least ``percent`` of the union, confirmed on the whole sets; component_id is the smallest doc_id
-    reachable, kept whether it is the document's own. Null doc_ids count as largest and, alone, as their own
-    component; rows that repeat a doc_id share their text's component; an empty table gives no rows.
+    reachable, kept whether it is the document's own. Null doc_ids count as largest: they take a linked document's
+    id, else null; rows that repeat a doc_id have their text's component; an empty table gives no rows.
     """
     found = label(docs, [], words_each, percent)
     component = F.coalesce("component", "doc_id")
@@ -242,5 +244,5 @@ def near_groups(docs: DataFrame, words_each: int = 4, percent: int = 80) -> Data
 def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, and all rows without words."""
     found = keep(label(docs, row_key(docs), words_each, percent))
-    first = found.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("x")).select("x.k1", "x.k2", F.lit(1).alias("copies"))
+    first = found.filter("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("x")).select("x.k1", "x.k2", F.lit(1).alias("copies"))
     return deal(docs, first.unionByName(found.filter("n = 0").select("k1", "k2", F.lit(1).alias("copies"))))

@@ -239,10 +239,10 @@ def limits_of(scored: DataFrame, tail: float = 5.0, least: int = 50) -> DataFram
 
     bands = of(["lang", "band"]).filter(f"total >= {least}").select(F.col("lang").alias("b_lang"), F.col("band").alias("b_band"), F.col("limit").alias("b_limit"))
     langs = of(["lang"]).filter(f"total >= {least}").select(F.col("lang").alias("l_lang"), F.col("limit").alias("l_limit"))
-    every = of([]).select(F.col("limit").alias("a_limit"))
+    every = of([]).select("limit").scalar()
     groups = scored.select("lang", "band").distinct()
     joined = groups.join(bands, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("band") == F.col("b_band")), "left")
-    joined = joined.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(every), F.lit(True), "left")
+    joined = joined.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")), "left").withColumn("a_limit", every)
     return joined.select(F.col("lang").alias("t_lang"), F.col("band").alias("t_band"), F.coalesce("b_limit", "l_limit", "a_limit").alias("limit"))
 
 

@@ -127,9 +127,9 @@ def thresholds(measured: DataFrame, least_rows: int = 200, tail: float = 3.0) ->
     group = fences(bins, ["lang", "source"], tail)
     names = [c for c in group.columns if c not in ("lang", "source", "rows")]
     lang = fences(bins, ["lang"], tail).select(F.col("lang").alias("l"), F.col("rows").alias("l_rows"), *[F.col(c).alias(f"l_{c}") for c in names])
-    every = fences(bins.withColumn("all", F.lit(1)), ["all"], tail).select("all", *[F.col(c).alias(f"a_{c}") for c in names])
-    joined = group.withColumn("all", F.lit(1)).join(lang, F.col("lang").eqNullSafe(F.col("l"))).join(F.broadcast(every), "all")
-    pick = [F.when(F.col("rows") >= least_rows, F.col(c)).when(F.col("l_rows") >= least_rows, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c) for c in names]
+    every = fences(bins.withColumn("all", F.lit(1)), ["all"], tail).select(F.struct(*names)).scalar()
+    joined = group.join(lang, F.col("lang").eqNullSafe(F.col("l"))).withColumn("every", every)
+    pick = [F.when(F.col("rows") >= least_rows, F.col(c)).when(F.col("l_rows") >= least_rows, F.col(f"l_{c}")).otherwise(F.col("every").getField(c)).alias(c) for c in names]
     return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *pick)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import text
 from tickloom.plans import sqltext as S
 from tickloom.plans.catalog_news import WS
+from tickloom.plans.catalog_portfolio import CUSUM_RUN
 from tickloom.plans.catalog_series import FFD_W, SEQ, rounded, _values
 from tickloom.sources import feeds
 from tickloom.sources import fixtures as fx
@@ -96,13 +97,19 @@ def _(spark, d):
     return rounded(table_of(spark, ops.online_frac_diff(t, FFD_W), ["symbol", "ts_ns"]), 4, "ffd")
 
 
-@query("stream_cusum")
+@query("stream_cusum", f"""WITH RECURSIVE z AS (SELECT event_type AS symbol, epoch_us(ts) * 1000 AS ts_ns, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, (value - 50.0) / 50.0::DOUBLE AS z FROM events),
+{CUSUM_RUN}""")
 def _(spark, d):
     z = tick_stream(spark, d).select("symbol", "ts_ns", ((F.col("price") - 50.0) / 50.0).alias("z"))
     return rounded(table_of(spark, ops.online_cusum(z), ["symbol", "ts_ns"]), 6, "s_pos", "s_neg")
 
 
-@query("stream_tiers")
+@query("stream_tiers", """WITH RECURSIVE c AS (SELECT event_type AS book, epoch_us(ts) * 1000 AS ts_ns, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, least(value / 200.0::DOUBLE, 1.0) AS shock FROM events),
+run AS (SELECT book, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS ts_ns, 0 AS tier, CAST(0 AS BIGINT) AS bars FROM c GROUP BY book
+  UNION ALL SELECT book, k, ts_ns, CASE WHEN want > tier THEN want WHEN want < tier AND shock < 0.3 AND (tier = 1 OR bars >= 5) THEN tier - 1 ELSE tier END,
+    CASE WHEN want > tier OR (want < tier AND shock < 0.3 AND (tier = 1 OR bars >= 5)) THEN 1 ELSE bars + 1 END
+  FROM (SELECT c.*, run.tier, run.bars, CASE WHEN shock >= 0.9 THEN 3 WHEN shock >= 0.7 THEN 2 WHEN shock >= 0.45 THEN 1 ELSE 0 END AS want FROM run JOIN c ON c.book = run.book AND c.k = run.k + 1))
+SELECT book, ts_ns, ['NORMAL', 'CAUTION', 'DERISK', 'HALT'][tier + 1] AS tier, bars AS bars_in_tier, CASE WHEN tier >= 2 THEN 0.0 WHEN tier = 1 THEN 0.5 ELSE 0.8 END::DOUBLE AS execution_haircut FROM run WHERE k > 0""")
 def _(spark, d):
     s = tick_stream(spark, d).select(F.col("symbol").alias("book"), "ts_ns", F.least(F.col("price") / 200.0, F.lit(1.0)).alias("shock"), F.lit(0.8).alias("haircut"), F.lit(False).alias("panic"))
     return table_of(spark, ops.online_tiers(s), ["book", "ts_ns"])

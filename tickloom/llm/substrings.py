@@ -136,7 +136,7 @@ def outline(docs: DataFrame, window: int) -> DataFrame:
 
 
 def contexts_of(suspects: DataFrame, window: int) -> DataFrame:
-    """(h, hot, rank, mark, first, words): the words under each suspect run of windows."""
+    """(h, groups, rank, mark, first, words): the words under each suspect run of windows."""
 
     def run(batches):
         import pyarrow as pa
@@ -146,13 +146,13 @@ def contexts_of(suspects: DataFrame, window: int) -> DataFrame:
             for text, rank, mark, places in zip(*(batch.column(c) for c in ("text", "rank", "mark", "places"))):
                 words, rank, mark = text.as_py().encode().split(), rank.as_py(), mark.as_py()
                 for p in places.as_py():
-                    row = (p["h"], p["hot"], rank, mark, p["first"], b" ".join(words[p["first"] : p["last"] + window]))
+                    row = (p["h"], p["groups"], rank, mark, p["first"], b" ".join(words[p["first"] : p["last"] + window]))
                     for column, v in zip(out, row):
                         column.append(v)
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["h", "hot", "rank", "mark", "first", "words"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["h", "groups", "rank", "mark", "first", "words"])
 
-    return suspects.mapInArrow(run, "h long, hot boolean, rank long, mark long, first int, words binary")
+    return suspects.mapInArrow(run, "h long, groups int, rank long, mark long, first int, words binary")
 
 
 SPANS = "rank long, mark long, lo int, hi int"
@@ -197,27 +197,47 @@ def stream_shards(contexts: DataFrame, window: int) -> DataFrame:
 
 
 def match_windows(contexts: DataFrame, window: int) -> DataFrame:
-    """The same spans for anchors with very many contexts: each window meets the smallest rank that has it.
+    """The same spans for anchors with very many contexts, dealt by hash into groups of about SHARD.
 
-    Windows are told apart by 128 bits of their words; equal ones are combined before they are shuffled.
+    A group lists its different windows, each with its smallest and largest rank; windows are told apart by 128 bits
+    of their words. The smallest rank over all groups goes back to the groups that hold the window and a larger rank,
+    and these mark their contexts. So what is shuffled and joined counts different windows of a group, not copies.
     """
+    placed = contexts.withColumn("salt", F.expr("cast(pmod(xxhash64(rank, mark, first), groups) as int)"))
 
-    def run(batches):
-        import pyarrow as pa
+    def windows(table):
         import xxhash
 
-        for batch in batches:
-            out = [[] for _ in range(4)]
-            for rank, mark, first, text in zip(*(batch.column(c).to_pylist() for c in ("rank", "mark", "first", "words"))):
-                words = text.split(b" ")
-                for k in range(len(words) - window + 1):
-                    for column, v in zip(out, (xxhash.xxh3_128_digest(b" ".join(words[k : k + window])), rank, mark, first + k)):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.binary(), pa.int64(), pa.int64(), pa.int32()])], ["w", "rank", "mark", "lo"])
+        for rank, mark, first, text in zip(*(table.column(c).to_pylist() for c in ("rank", "mark", "first", "words"))):
+            words = text.split(b" ")
+            yield rank, mark, first, [xxhash.xxh3_128_digest(b" ".join(words[k : k + window])) for k in range(len(words) - window + 1)]
+
+    def summarise(key, got):
+        import pyarrow as pa
+
+        least, most = {}, {}
+        for rank, _, _, found in windows(got):
+            for w in found:
+                least[w] = min(rank, least.get(w, rank))
+                most[w] = max(rank, most.get(w, rank))
+        n = len(least)
+        return pa.table({"h": pa.array([key[0].as_py()] * n, pa.int64()), "salt": pa.array([key[1].as_py()] * n, pa.int32()), "w": pa.array(list(least), pa.binary()), "least": pa.array(list(least.values()), pa.int64()), "most": pa.array(list(most.values()), pa.int64())})
+
+    own = keep(placed.groupBy("h", "salt").applyInArrow(summarise, "h long, salt int, w binary, least long, most long"))
+    first = keep(own.groupBy("w").agg(F.min("least").alias("first_rank"), F.max("most").alias("last_rank")).filter("first_rank < last_rank").select("w", "first_rank"))
+    told = own.join(first, "w").filter("first_rank < most").select("h", "salt", "w", "first_rank")
+
+    def mark_spans(got, told):
+        import pyarrow as pa
+
+        smallest = dict(zip(told.column("w").to_pylist(), told.column("first_rank").to_pylist()))
+        out = []
+        for rank, mark, first, found in windows(got):
+            out += [(rank, mark, first + a, first + b) for a, b in runs([smallest.get(w, rank) < rank for w in found], window)]
+        columns = list(zip(*out)) if out else [()] * 4
+        return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("rank", "mark", "lo", "hi"), columns, [pa.int64()] * 2 + [pa.int32()] * 2)})
 
-    windows = keep(contexts.mapInArrow(run, "w binary, rank long, mark long, lo int"))
-    least = keep(windows.groupBy("w").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").select("w", "least"))
-    return windows.join(least, "w").filter("least < rank").select("rank", "mark", "lo", (F.col("lo") + window).alias("hi"))
+    return placed.groupBy("h", "salt").cogroup(told.groupBy("h", "salt")).applyInArrow(mark_spans, SPANS)
 
 
 def cut(suspects: DataFrame, spans: DataFrame) -> DataFrame:
@@ -253,8 +273,8 @@ def drop_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     A word goes if a window of ``window`` words over it also starts in a document with a smaller doc_id. Documents
     with the same words as a smaller one go whole. For the others, every window has an anchor; only windows whose
     anchor is in two documents can repeat, and all windows of one anchor meet in one shard, so no document has to
-    pass every shard. A shard's automaton holds at most SHARD contexts; the windows of commoner anchors are matched
-    one by one.
+    pass every shard. A shard's automaton holds at most SHARD contexts; commoner anchors are dealt into groups that match
+    whole windows.
 
     Null texts have no words; null doc_ids rank last, as one; rows with one doc_id never remove each other's words;
     an empty table gives no rows. Other columns are not read.
@@ -264,12 +284,12 @@ def drop_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     rows = keep(rows.join(copies, "sha", "left").withColumn("copy", F.coalesce(F.col("least") < F.col("rank"), F.lit(False))).drop("least"))
 
     places = rows.filter("not copy").select("rank", "mark", F.explode("anchors").alias("x")).select("rank", "mark", "x.*")
-    common = keep(places.groupBy("h").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("h", (F.col("n") > SHARD).alias("hot")))
-    listed = places.join(common, "h").groupBy("rank", "mark").agg(F.collect_list(F.struct("h", "hot", "first", "last")).alias("places"))
+    common = keep(places.groupBy("h").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("h", F.expr(f"cast((n + {SHARD - 1}) div {SHARD} as int)").alias("groups")))
+    listed = places.join(common, "h").groupBy("rank", "mark").agg(F.collect_list(F.struct("h", "groups", "first", "last")).alias("places"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("rank"), F.xxhash64("text").alias("mark"), text_of().alias("text"))
     suspects = keep(texts.join(listed, ["rank", "mark"]))
     contexts = keep(contexts_of(suspects, window))
-    spans = stream_shards(contexts.filter("not hot").drop("hot"), window).unionByName(match_windows(contexts.filter("hot"), window))
+    spans = stream_shards(contexts.filter("groups = 1").drop("groups"), window).unionByName(match_windows(contexts.filter("groups > 1"), window))
     found = cut(suspects, keep(spans))
 
     none = F.sha2(F.lit(""), 256)

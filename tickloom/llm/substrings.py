@@ -155,7 +155,17 @@ def contexts_of(suspects: DataFrame, window: int) -> DataFrame:
     return suspects.mapInArrow(run, "h long, groups int, rank long, mark long, first int, words binary")
 
 
-SPANS = "rank long, mark long, lo int, hi int"
+SPANS = "rank long, mark long, spans array<struct<lo: int, hi: int>>"
+
+
+def span_columns(rows: list[tuple]) -> dict:
+    """The columns of SPANS from (rank, mark, spans): one row for all spans of a document in a shard's context."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    rank, mark, spans = zip(*rows) if rows else ((), (), ())
+    listed = [[{"lo": a, "hi": b} for a, b in x] for x in spans]
+    return {"rank": pa.array(rank, pa.int64()), "mark": pa.array(mark, pa.int64()), "spans": pa.array(listed, kind)}
 
 
 def stream_shards(contexts: DataFrame, window: int) -> DataFrame:
@@ -183,15 +193,15 @@ def stream_shards(contexts: DataFrame, window: int) -> DataFrame:
                     rank_now, waiting = rank, []
                 words = text.split(b" ")
                 if text in whole:
-                    out.append((rank, mark, first, first + len(words)))
+                    out.append((rank, mark, [(first, first + len(words))]))
                     continue
                 size = held.statistics(words) if held else []
                 hit = [s >= window for s in size[window - 1 :]]
-                out += [(rank, mark, first + a, first + b) for a, b in runs(hit, window)]
+                if any(hit):
+                    out.append((rank, mark, [(first + a, first + b) for a, b in runs(hit, window)]))
                 if not hit or not all(hit):
                     waiting.append((text, words))
-            columns = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 2)], ["rank", "mark", "lo", "hi"])
+            yield pa.RecordBatch.from_pydict(span_columns(out))
 
     return ordered.mapInArrow(run, SPANS)
 
@@ -233,16 +243,17 @@ def match_windows(contexts: DataFrame, window: int) -> DataFrame:
         smallest = dict(zip(told.column("w").to_pylist(), told.column("first_rank").to_pylist()))
         out = []
         for rank, mark, first, found in windows(got):
-            out += [(rank, mark, first + a, first + b) for a, b in runs([smallest.get(w, rank) < rank for w in found], window)]
-        columns = list(zip(*out)) if out else [()] * 4
-        return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("rank", "mark", "lo", "hi"), columns, [pa.int64()] * 2 + [pa.int32()] * 2)})
+            hit = [smallest.get(w, rank) < rank for w in found]
+            if any(hit):
+                out.append((rank, mark, [(first + a, first + b) for a, b in runs(hit, window)]))
+        return pa.table(span_columns(out))
 
     return placed.groupBy("h", "salt").cogroup(told.groupBy("h", "salt")).applyInArrow(mark_spans, SPANS)
 
 
 def cut(suspects: DataFrame, spans: DataFrame) -> DataFrame:
     """(rank, mark, n_removed, kept_sha) of the documents with spans."""
-    listed = spans.groupBy("rank", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    listed = spans.groupBy("rank", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     rows = suspects.select("rank", "mark", "text").join(listed, ["rank", "mark"])
 
     def run(batches):

@@ -208,6 +208,25 @@ def test_adf_separates(spark):
     assert got["noise"] < -10 and got["walk"] > -3.5
 
 
+def test_stationarity_of_a_symbol_ignores_longer_symbols(spark):
+    rng = np.random.default_rng(12)
+    rows = [(s, (i + 1) * DAY, float(v)) for s, n in (("long", 400), ("short", 16), ("tiny", 5)) for i, v in enumerate(100 + rng.normal(size=n).cumsum())]
+    bars = spark.createDataFrame(rows, "symbol string, ts_ns long, close double")
+    grid = (0.0, 0.4, 1.0)
+
+    def found(b):
+        stat, best = kernels.stationarity_search(b, grid)
+        return {(r.symbol, r.d): (r.n, r.lags, round(r.adf_stat, 6)) for r in stat.collect()}, {r.symbol: r.optimal_d for r in best.collect()}
+
+    stat, best = found(bars)
+    assert set(stat) == {(s, d) for s in ("long", "short", "tiny") for d in grid} and set(best) == {"long", "short", "tiny"}
+    # 16 rows allow 5 lags at d = 0: the sample starts at row 7
+    assert stat["short", 0.0][0] == 10 and not np.isnan(stat["short", 0.0][2])
+    for s in ("short", "long"):
+        alone, alone_best = found(bars.filter(bars.symbol == s))
+        assert all(str(stat[k]) == str(v) for k, v in alone.items()) and best[s] == alone_best[s]
+
+
 def test_regime_rows(spark):
     rng = np.random.default_rng(8)
     rows = [(s, (i + 1) * DAY, float(v)) for s in "ab" for i, v in enumerate(rng.normal(scale=0.01, size=90))]

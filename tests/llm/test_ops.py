@@ -96,6 +96,32 @@ def test_base_patterns(text):
     assert pii.base_spans(text) == brute.pii(text)
 
 
+@pytest.mark.parametrize("form", ["jane at example (dot) com", "jane at example [dot] com", "jane at example.com", "jane at example dot com", "jane (at) example.com", "jane[at]example[dot]com", "jane (at) mail dot example dot com"])
+def test_spelled_addresses_are_candidates(form):
+    text = f"write {form}, please"
+    assert [(k, text[a:b]) for k, a, b, _ in pii.candidates(text, [])] == [("email", form)]
+    _, features = pii.describe(text, "email", 6, 6 + len(form), False)
+    assert features[pii.FEATURES.index("listed")] == 1
+
+
+def test_spelled_spans_are_those_of_the_pattern():
+    rng = random.Random(3)
+    parts = ["a", "b" * 70, " ", " ", ".", "(at)", "[at]", " at ", "at", "(dot)", "[dot]", " dot ", "ä", "-", "\n", "com"]
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert list(pii.spelled_spans(text)) == [m.span() for m in pii.SPELLED.finditer(text)]
+
+
+def test_votes_decide_on_spelled_addresses(spark):
+    strict = [f"mail anna{i}@example{i % 7}.com today" for i in range(60)]
+    spelled = [f"mail anna{i} at example{i % 7} (dot) com today" for i in range(60)]
+    other = [f"we met at noon{i}.Then left" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(strict + spelled + other)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_pii(df).collect()}
+    assert all("email" in found[i] for i in range(120))
+    assert not any(found[i] for i in range(120, 180))
+
+
 def test_votes_and_classifier_add_spans(spark):
     strong = ["call +1 (076) 555-%04d now" % i for i in range(60)]
     weak = ["phone (076) 555-%04d today" % i for i in range(60)]

@@ -20,6 +20,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Wider nets, whose catch is decided by the classifier.
 SPELLED = re.compile(r"([A-Za-z0-9._%+-]{1,64})\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?([A-Za-z0-9-]{1,63}(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){1,8})")
+#: Every separator that SPELLED accepts between the two parts of an address.
+SPELLED_AT = re.compile(r"\(at\)|\[at\]|\x20at(?=\x20)")
 NUMBER = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9][\x20().0-9-]*[0-9](?![0-9A-Za-z])")
 
 #: Gazetteers of name endings, dialling prefixes, issuer prefixes and context words.
@@ -79,15 +81,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def spelled_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of SPELLED, leftmost and without overlap, found from their separators."""
+    done = 0
+    for at in SPELLED_AT.finditer(text):
+        end = at.start() - (text[at.start() - 1 : at.start()] == " ")
+        lo, least = end, max(done, end - 64)
+        while lo > least and not LOCAL_END.match(text[lo - 1]):
+            lo -= 1
+        m = SPELLED.match(text, lo) if lo < end else None
+        if m:
+            done = m.end()
+            yield m.span()
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, bool]]:
     """Base spans and those of the wider nets that don't overlap them: (kind, start, end, is base)."""
     yield from ((*s, True) for s in base)
     taken = sorted((a, b) for _, a, b in base)
     free = lambda a, b: not any(x < b and a < y for x, y in taken)
-    if "(at)" in text or "[at]" in text or " dot " in text:
-        for m in SPELLED.finditer(text):
-            if free(*m.span()):
-                yield "email", *m.span(), False
+    for span in spelled_spans(text):
+        if free(*span):
+            yield "email", *span, False
     for m in NUMBER.finditer(text):
         n = sum(c.isdigit() for c in m[0])
         if 7 <= n <= 19 and free(*m.span()):
@@ -102,7 +117,7 @@ def describe(text: str, kind: str, start: int, end: int, base: bool) -> tuple[tu
     helped, hurt = any(w in FOR_WORDS[kind] for w in before), any(w in AGAINST_WORDS for w in before)
     if kind == "email":
         check = 1 if re.search(r"\w", found.split("@")[0]) else -1
-        listed = found.lower().rsplit("dot", 1)[-1].rsplit(".", 1)[-1].strip() in ENDINGS
+        listed = found.lower().rsplit("dot", 1)[-1].rsplit(".", 1)[-1].strip(" )]") in ENDINGS
     elif kind == "ip":
         check, listed = 1, not found.startswith(("0.", "127.", "255."))
     elif kind == "card":

@@ -386,6 +386,14 @@ def test_perplexity_tells_junk(docs, labels, odd):
     assert perplexity.classify(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_perplexity_rejects_labelled_junk(spark):
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    found = perplexity.classify(big, marks).join(marks, "doc_id").collect()
+    junk, clean = ([r.kept for r in found if r.quality == q] for q in (0, 1))
+    assert sum(junk) <= 0.05 * len(junk) and sum(clean) >= 0.99 * len(clean)
+
+
 EMPTY = {
     "mix": lambda d, l: mixing.mix(d), "mixed": lambda d, l: mixing.mixed_documents(d), "rules": lambda d, l: rules.score_rules(d), "good": lambda d, l: rules.keep_good(d),
     "pii": lambda d, l: pii.find_pii(d), "toxicity": toxicity.score_toxicity, "shards": lambda d, l: sharding.assign_shards(d), "perplexity": perplexity.classify,

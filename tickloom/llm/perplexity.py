@@ -219,12 +219,12 @@ def score_documents(docs: DataFrame, model: DataFrame) -> DataFrame:
     return summed.select("doc_id", "lang", "mark", "n_bytes", (F.col("bits") / rows_each).alias("bits"), rows_each.alias("rows"), F.explode(F.array_repeat(F.lit(0), rows_each.cast("int"))).alias("_n")).drop("_n")
 
 
-def limits_of(scored: DataFrame, tail: float = 5.0, least: int = 50) -> DataFrame:
+def limits_of(scored: DataFrame, tail: float = 1.0, least: int = 50) -> DataFrame:
     """Per language and length band, the highest bits per byte that passes.
 
-    Bands double in length, for short texts vary more. The median and the 90 % quantile of the trusted documents
+    Bands double in length, for short texts vary more. The median and the 99.5 % quantile of the trusted documents
     come from counts of values rounded to 1/128 bit, which add up exactly in any order; the limit lies ``tail`` of
-    their distances, at least 1/8 bit each, above the median. Bands with under ``least`` trusted documents take the
+    their distances, at least 1/32 bit each, above the high quantile. Bands with under ``least`` trusted documents take the
     limit of all bands of the language, languages with too few that of all.
     """
     bins = scored.filter("trusted and n_bytes > 0").groupBy("lang", "band", F.floor(F.col("per_byte") * 128).alias("bin")).agg(F.count("*").alias("n"))
@@ -234,8 +234,8 @@ def limits_of(scored: DataFrame, tail: float = 5.0, least: int = 50) -> DataFram
         group = Window.partitionBy(*keys) if keys else Window.partitionBy()
         merged = bins.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
         ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
-        mid, high = (F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) / 128 for q in (0.5, 0.9))
-        return ranked.groupBy(*keys).agg(F.max("total").alias("total"), (mid + tail * F.greatest(high - mid, F.lit(0.125))).alias("limit"))
+        mid, high = (F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) / 128 for q in (0.5, 0.995))
+        return ranked.groupBy(*keys).agg(F.max("total").alias("total"), (high + tail * F.greatest(high - mid, F.lit(1 / 32))).alias("limit"))
 
     bands = of(["lang", "band"]).filter(f"total >= {least}").select(F.col("lang").alias("b_lang"), F.col("band").alias("b_band"), F.col("limit").alias("b_limit"))
     langs = of(["lang"]).filter(f"total >= {least}").select(F.col("lang").alias("l_lang"), F.col("limit").alias("l_limit"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, naming, nearby, packing, perplexity, pii, rules, sharding, substrings, toxicity
+from tickloom.llm import codes, merkle, mixing, naming, nearby, packing, perplexity, pii, rules, sharding, substrings, toxicity, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,18 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(documents(spark, sf_dir), window=50)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_manifest(documents(spark, sf_dir))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_rules": op2_rules,
@@ -77,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearby": op8_nearby,
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
+    "op11_manifest": op11_manifest,
+    "op12_codes": op12_codes,
+    "op13_urls": op13_urls,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -157,4 +172,92 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, s
 FROM words LEFT JOIN counts USING (doc_id) LEFT JOIN stays USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op10_substrings": SUBSTRINGS_SQL, "op2_rules": RULES_SQL, "op5_sharding": SHARDING_SQL, "op7_naming": NAMING_SQL}
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || {name}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+MANIFEST_SQL = rf"""
+WITH RECURSIVE poly AS (SELECT i AS b, 0 AS step, CAST(i AS BIGINT) AS c FROM range(256) r(i)
+         UNION ALL SELECT b, step + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM poly WHERE step < 8),
+lookup AS (SELECT list(c ORDER BY b) AS t FROM poly WHERE step = 8),
+altered AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(regexp_replace(hex(encode(CAST(doc_id AS VARCHAR))), '(..)', '\1 ', 'g'), ' ')[:-2], lambda h: CAST('0x' || h AS BIGINT))),
+              lambda a, x: xor(a // 256, t[1 + xor(a % 256, x)])), 4294967295) % 3 = 0 AS hit FROM documents, lookup),
+leaves AS (SELECT doc_id, lang, {_leaf("text")} AS leaf,
+                  CASE WHEN hit THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {_leaf("text")} END AS shown
+           FROM documents JOIN altered USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+up AS (SELECT lang, 0 AS lev, rank AS idx, leaf AS digest, n FROM ranked
+       UNION ALL
+       SELECT lang, lev + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 7) // 8) FROM up WHERE n > 1 GROUP BY lang, lev, idx // 8),
+roots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS n FROM up WHERE n = 1),
+above AS (SELECT 0 AS lev, rank AS idx, subroot AS digest, n FROM roots
+          UNION ALL
+          SELECT lev + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 7) // 8) FROM above WHERE n > 1 GROUP BY lev, idx // 8),
+low AS (SELECT r.doc_id, u.lev, string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx < r.rank // CAST(8 ** u.lev AS BIGINT)) AS l, string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx > r.rank // CAST(8 ** u.lev AS BIGINT)) AS r
+        FROM ranked r JOIN up u ON u.lang IS NOT DISTINCT FROM r.lang AND u.n > 1 AND u.idx // 8 = r.rank // CAST(8 ** (u.lev + 1) AS BIGINT) GROUP BY ALL),
+high AS (SELECT s.lang, u.lev, string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx < s.rank // CAST(8 ** u.lev AS BIGINT)) AS l, string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx > s.rank // CAST(8 ** u.lev AS BIGINT)) AS r
+         FROM roots s JOIN above u ON u.n > 1 AND u.idx // 8 = s.rank // CAST(8 ** (u.lev + 1) AS BIGINT) GROUP BY ALL),
+steps AS (SELECT doc_id, 0 AS part, lev, coalesce(l, '') || ',' || coalesce(r, '') AS s FROM low
+          UNION ALL SELECT k.doc_id, 1, lev, coalesce(l, '') || ',' || coalesce(r, '') FROM high h JOIN leaves k ON k.lang IS NOT DISTINCT FROM h.lang),
+path AS (SELECT k.doc_id, coalesce(list(s ORDER BY part, lev) FILTER (s IS NOT NULL), []) AS p FROM leaves k LEFT JOIN steps USING (doc_id) GROUP BY k.doc_id),
+done AS (SELECT k.doc_id, leaf, subroot, (SELECT digest FROM above WHERE n = 1) AS root, sha256(replace(array_to_string(p, ''), ',', '')) AS proof_sha256,
+                list_reduce(list_prepend(shown, p), lambda a, s: sha256(split_part(s, ',', 1) || a || split_part(s, ',', 2))) AS folded_root
+         FROM leaves k JOIN path USING (doc_id) JOIN roots r ON r.lang IS NOT DISTINCT FROM k.lang)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+
+def codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    nearest = lambda k: (
+        f"d{k} AS (SELECT id, part, entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM x JOIN b{k} b USING (part, pos) GROUP BY ALL), "
+        f"a{k} AS (SELECT id, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d FROM d{k} GROUP BY ALL)"
+    )
+    steps = [
+        f"""{nearest(k)},
+m{k} AS (SELECT part, entry, pos, CAST(sum(v) AS HUGEINT) AS s, count(*) AS c FROM x JOIN a{k} USING (id, part) GROUP BY ALL),
+b{k + 1} AS (SELECT part, entry, pos, coalesce((s - ((s % c) + c) % c) // c, b.v) AS v FROM b{k} b LEFT JOIN m{k} USING (part, entry, pos))"""
+        for k in range(rounds)
+    ]
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS id, vec_id, label, embedding FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+each AS (SELECT id, unnest(embedding) AS v, unnest(range(len(embedding))) AS p, (SELECT (max(len(embedding)) + {parts - 1}) // {parts} FROM kept) AS w FROM kept),
+x AS MATERIALIZED (SELECT id, p // w AS part, p % w AS pos, CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT) AS v FROM each),
+b0 AS (SELECT part, id AS entry, pos, v FROM x WHERE id < {entries}),
+{",".join(steps)},
+{nearest(rounds)},
+coded AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY id),
+book AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN coded USING (id), book
+"""
+
+
+def urls_sql() -> str:
+    low = f"translate(regexp_extract(coalesce(url, ''), '^[^?#]*'), '{UPPER}', '{LOWER}')"
+    cases = "".join(
+        f" WHEN (host = '{r[: r.index('/')]}' OR ends_with(host, '.{r[: r.index('/')]}')) AND starts_with(path, '{r[r.index('/') :]}') THEN '{r}'" for _, r in sorted(urls.RULES, key=lambda r: -len(r[1]))
+    )
+    terms = ", ".join(f"{{'t': '{t}', 'w': {w}}}" for t, w in urls.VOCABULARY.items())
+    verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in urls.RULES)
+    return rf"""
+WITH rest AS (SELECT page_id, {low} AS low, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+ruled AS (SELECT *, CASE{cases} END AS rule, coalesce(list_sum(list_transform(list_filter([{terms}], lambda x: regexp_matches(low, '(^|[^a-z])' || x.t || '([^a-z]|$)')), lambda x: x.w)), 0) AS score FROM parts)
+SELECT page_id, host, path, rule, coalesce(CASE rule {verdicts} END, CASE WHEN score >= {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+"""
+
+
+SQL: dict[str, str] = {
+    "op10_substrings": SUBSTRINGS_SQL,
+    "op11_manifest": MANIFEST_SQL,
+    "op12_codes": codes_sql(),
+    "op13_urls": urls_sql(),
+    "op2_rules": RULES_SQL,
+    "op5_sharding": SHARDING_SQL,
+    "op7_naming": NAMING_SQL,
+}

@@ -10,16 +10,18 @@ from pyspark.sql import types as T
 
 from tickloom.llm.common import field, keep, text_of, worker_state
 
-#: Words whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 400_000
+#: Bytes of words and ids that a Python worker remembers, about, in each of two generations.
+REMEMBERED = 128 << 20
+#: Words that go through the tokenizer as one line, and the mark between them: one token of its own.
+LINE, MARK = 1024, "\x01"
 
 
 def word_tokens(locate: Callable[[], str]) -> Callable[[list[bytes]], bytes]:
     """A function from white-space separated words to their ids (little-endian unsigned 32 bits).
 
     The tokenizer ends every token at white space, so a text's ids are those of its words, joined. Words are
-    tokenised once per worker: a batch of new words runs through the tokenizer's own normaliser, splitter and
-    model; a word that holds other white space or a special token takes the plain call. Memory is bounded by two
+    tokenised once per worker: new words go through the tokenizer in lines, a mark between them whose id tells where
+    each ends; a word that holds other white space, the mark or a special token goes alone. Memory is bounded by two
     generations of words.
     """
     import numpy as np
@@ -31,32 +33,35 @@ def word_tokens(locate: Callable[[], str]) -> Callable[[list[bytes]], bytes]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        state.update(tok=Tokenizer.from_file(path), new={}, old={})
-    tok = state["tok"]
-    normal, split, model = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str, tok.model.tokenize
+        tok = Tokenizer.from_file(path)
+        mark = tok.encode(MARK, add_special_tokens=False).ids
+        state.update(tok=tok, mark=mark[0] if len(mark) == 1 else None, new={}, old={}, size=0)
+    tok, mark = state["tok"], state["mark"]
+
+    def alone(word: bytes) -> bytes:
+        return np.asarray(tok.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(words: list[bytes], into: dict) -> None:
-        plain, odd = [], []
+        plain = []
         for w in words:
             text = w.decode()
-            (plain if text.split() == [text] and "<|" not in text else odd).append((w, text))
-        for w, text in odd:
-            into[w] = np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        for lo in range(0, len(plain), 512):
-            part = plain[lo : lo + 512]
-            norm = normal(" ".join(text for _, text in part))
-            lengths = [len(x) + 1 for x in norm.split(" ")]
-            if len(lengths) != len(part):
-                for w, text in part:
-                    into[w] = np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if mark is None or text.split() != [text] or "<|" in text or MARK in text:
+                into[w] = alone(w)
+            else:
+                plain.append((w, text))
+        parts = [plain[k : k + LINE] for k in range(0, len(plain), LINE)]
+        lines = tok.encode_batch_fast([f" {MARK} ".join(text for _, text in part) for part in parts], add_special_tokens=False)
+        for part, line in zip(parts, lines):
+            ids = np.asarray(line.ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == mark)).tolist()
+            if len(ends) + 1 != len(part):
+                into.update((w, alone(w)) for w, _ in part)
                 continue
-            ends, ids, at = np.cumsum(lengths), [[] for _ in part], 0
-            for piece, (start, _) in split(norm):
-                while start >= ends[at]:
-                    at += 1
-                ids[at].extend([t.id for t in model(piece)])
-            for (w, _), own in zip(part, ids):
-                into[w] = np.asarray(own, "<u4").tobytes()
+            ids, at = ids.tobytes(), 0
+            for (w, _), end in zip(part, [*ends, len(ids)]):
+                into[w] = ids[at:end]
+                at = end + 4
+        state["size"] += sum(len(w) + len(into[w]) + 150 for w in words)
 
     def ids_of(words: list[bytes]) -> bytes:
         new, old = state["new"], state["old"]
@@ -69,12 +74,13 @@ def word_tokens(locate: Callable[[], str]) -> Callable[[list[bytes]], bytes]:
         for w in missing:
             if w in old:
                 new[w] = old[w]
+                state["size"] += len(w) + len(old[w]) + 150
             else:
                 unseen.append(w)
         learn(unseen, new)
         out = b"".join(map(new.__getitem__, words))
-        if len(new) > REMEMBERED:
-            state.update(new={}, old=new)
+        if state["size"] > REMEMBERED:
+            state.update(new={}, old=new, size=0)
         return out
 
     return ids_of

@@ -10,7 +10,7 @@ from tickloom.llm.common import field, keep, text_of
 
 #: Words of an anchor.
 ANCHOR = 16
-#: Contexts that one automaton may hold; anchors with more go by whole windows instead.
+#: Contexts that one automaton may hold; anchors with more (hot ones) go by whole windows instead.
 SHARD = 2048
 
 
@@ -136,23 +136,34 @@ def outline(docs: DataFrame, window: int) -> DataFrame:
 
 
 def contexts_of(suspects: DataFrame, window: int) -> DataFrame:
-    """(h, groups, rank, mark, first, words): the words under each suspect run of windows."""
+    """(h, rank, mark, first, words): the words under each suspect run of windows, by its anchor.
+
+    Runs of hot anchors have no h; those that follow one another in a document are one row.
+    """
+
+    def stretches(places):
+        out = []
+        for p in sorted((p for p in places if p["hot"]), key=lambda p: p["first"]):
+            if out and p["first"] <= out[-1][2] + 1:
+                out[-1][2] = max(out[-1][2], p["last"])
+            else:
+                out.append([None, p["first"], p["last"]])
+        return out + [(p["h"], p["first"], p["last"]) for p in places if not p["hot"]]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(5)]
             for text, rank, mark, places in zip(*(batch.column(c) for c in ("text", "rank", "mark", "places"))):
                 words, rank, mark = text.as_py().encode().split(), rank.as_py(), mark.as_py()
-                for p in places.as_py():
-                    row = (p["h"], p["groups"], rank, mark, p["first"], b" ".join(words[p["first"] : p["last"] + window]))
-                    for column, v in zip(out, row):
+                for h, first, last in stretches(places.as_py()):
+                    for column, v in zip(out, (h, rank, mark, first, b" ".join(words[first : last + window]))):
                         column.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["h", "groups", "rank", "mark", "first", "words"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["h", "rank", "mark", "first", "words"])
 
-    return suspects.mapInArrow(run, "h long, groups int, rank long, mark long, first int, words binary")
+    return suspects.mapInArrow(run, "h long, rank long, mark long, first int, words binary")
 
 
 SPANS = "rank long, mark long, spans array<struct<lo: int, hi: int>>"
@@ -206,14 +217,15 @@ def stream_shards(contexts: DataFrame, window: int) -> DataFrame:
     return ordered.mapInArrow(run, SPANS)
 
 
-def match_windows(contexts: DataFrame, window: int) -> DataFrame:
-    """The same spans for anchors with very many contexts, dealt by hash into groups of about SHARD.
+def match_windows(stretches: DataFrame, groups: int, window: int) -> DataFrame:
+    """The same spans for the stretches of hot anchors, dealt by document into ``groups``.
 
     A group lists its different windows, each with its smallest and largest rank; windows are told apart by 128 bits
     of their words. The smallest rank over all groups goes back to the groups that hold the window and a larger rank,
-    and these mark their contexts. So what is shuffled and joined counts different windows of a group, not copies.
+    and these mark their stretches. So what is shuffled and joined counts different windows of a group, not copies,
+    and a document gives one row, however many hot anchors it has.
     """
-    placed = contexts.withColumn("salt", F.expr("cast(pmod(xxhash64(rank, mark, first), groups) as int)"))
+    placed = stretches.withColumn("salt", F.expr(f"cast(pmod(xxhash64(rank, mark), {groups}) as int)"))
 
     def windows(table):
         import xxhash
@@ -231,24 +243,24 @@ def match_windows(contexts: DataFrame, window: int) -> DataFrame:
                 least[w] = min(rank, least.get(w, rank))
                 most[w] = max(rank, most.get(w, rank))
         n = len(least)
-        return pa.table({"h": pa.array([key[0].as_py()] * n, pa.int64()), "salt": pa.array([key[1].as_py()] * n, pa.int32()), "w": pa.array(list(least), pa.binary()), "least": pa.array(list(least.values()), pa.int64()), "most": pa.array(list(most.values()), pa.int64())})
+        return pa.table({"salt": pa.array([key[0].as_py()] * n, pa.int32()), "w": pa.array(list(least), pa.binary()), "least": pa.array(list(least.values()), pa.int64()), "most": pa.array(list(most.values()), pa.int64())})
 
-    own = keep(placed.groupBy("h", "salt").applyInArrow(summarise, "h long, salt int, w binary, least long, most long"))
+    own = keep(placed.groupBy("salt").applyInArrow(summarise, "salt int, w binary, least long, most long"))
     first = keep(own.groupBy("w").agg(F.min("least").alias("first_rank"), F.max("most").alias("last_rank")).filter("first_rank < last_rank").select("w", "first_rank"))
-    told = own.join(first, "w").filter("first_rank < most").select("h", "salt", "w", "first_rank")
+    told = own.join(first, "w").filter("first_rank < most").select("salt", "w", "first_rank")
 
     def mark_spans(got, told):
         import pyarrow as pa
 
         smallest = dict(zip(told.column("w").to_pylist(), told.column("first_rank").to_pylist()))
-        out = []
+        out = {}
         for rank, mark, first, found in windows(got):
             hit = [smallest.get(w, rank) < rank for w in found]
             if any(hit):
-                out.append((rank, mark, [(first + a, first + b) for a, b in runs(hit, window)]))
-        return pa.table(span_columns(out))
+                out.setdefault((rank, mark), []).extend((first + a, first + b) for a, b in runs(hit, window))
+        return pa.table(span_columns([(*own, spans) for own, spans in out.items()]))
 
-    return placed.groupBy("h", "salt").cogroup(told.groupBy("h", "salt")).applyInArrow(mark_spans, SPANS)
+    return placed.groupBy("salt").cogroup(told.groupBy("salt")).applyInArrow(mark_spans, SPANS)
 
 
 def cut(suspects: DataFrame, spans: DataFrame) -> DataFrame:
@@ -274,8 +286,7 @@ def cut(suspects: DataFrame, spans: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join([words[k] for k in np.flatnonzero(stays)])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["rank", "mark", "n_removed", "kept_sha"])
 
-    # Rows that repeat a document give the same figures twice.
-    return rows.mapInArrow(run, "rank long, mark long, n_removed long, kept_sha string").dropDuplicates(["rank", "mark"])
+    return rows.mapInArrow(run, "rank long, mark long, n_removed long, kept_sha string")
 
 
 def drop_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -284,8 +295,8 @@ def drop_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     A word goes if a window of ``window`` words over it also starts in a document with a smaller doc_id. Documents
     with the same words as a smaller one go whole. For the others, every window has an anchor; only windows whose
     anchor is in two documents can repeat, and all windows of one anchor meet in one shard, so no document has to
-    pass every shard. A shard's automaton holds at most SHARD contexts; commoner anchors are dealt into groups that match
-    whole windows.
+    pass every shard. A shard's automaton holds at most SHARD contexts; under commoner anchors, groups of documents
+    match whole windows.
 
     Null texts have no words; null doc_ids rank last, as one; rows with one doc_id never remove each other's words;
     an empty table gives no rows. Other columns are not read.
@@ -295,12 +306,15 @@ def drop_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     rows = keep(rows.join(copies, "sha", "left").withColumn("copy", F.coalesce(F.col("least") < F.col("rank"), F.lit(False))).drop("least"))
 
     places = rows.filter("not copy").select("rank", "mark", F.explode("anchors").alias("x")).select("rank", "mark", "x.*")
-    common = keep(places.groupBy("h").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("h", F.expr(f"cast((n + {SHARD - 1}) div {SHARD} as int)").alias("groups")))
-    listed = places.join(common, "h").groupBy("rank", "mark").agg(F.collect_list(F.struct("h", "groups", "first", "last")).alias("places"))
+    common = places.groupBy("h").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    common = keep(common.select("h", (F.col("n") > SHARD).alias("hot"), "n"))
+    groups = 1 + (common.filter("hot").agg(F.sum("n")).first()[0] or 0) // SHARD
+    # A set, and one row a document: rows that repeat it would each bring all places to all repeats.
+    listed = places.join(common.drop("n"), "h").groupBy("rank", "mark").agg(F.collect_set(F.struct("h", "hot", "first", "last")).alias("places"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("rank"), F.xxhash64("text").alias("mark"), text_of().alias("text"))
-    suspects = keep(texts.join(listed, ["rank", "mark"]))
+    suspects = keep(texts.join(listed, ["rank", "mark"]).dropDuplicates(["rank", "mark"]))
     contexts = keep(contexts_of(suspects, window))
-    spans = stream_shards(contexts.filter("groups = 1").drop("groups"), window).unionByName(match_windows(contexts.filter("groups > 1"), window))
+    spans = stream_shards(contexts.filter("h is not null"), window).unionByName(match_windows(contexts.filter("h is null").drop("h"), groups, window))
     found = cut(suspects, keep(spans))
 
     none = F.sha2(F.lit(""), 256)

@@ -433,3 +433,60 @@ def test_pipeline(spark, sf, docs):
             assert after.columns == docs.columns
             read["docs"] = spark.createDataFrame(got, docs.schema)
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_of_sets_beyond_the_sketch(spark, monkeypatch):
+    """Large sets whose sketches allow links that the whole sets refuse: rounds of forests lose no link."""
+    monkeypatch.setattr(nearby, "WIDE", 40)
+    monkeypatch.setattr(nearby, "BLOCK", 8)
+    rng = random.Random(7)
+    base = [f"b{k}" for k in range(300)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for k in rng.sample(range(300), rng.choice((4, 8, 16, 18, 20, 24))):
+            w[k] = f"r{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in nearby.near_groups(df).collect()}
+    assert found == brute.near(rows)
+    assert len({c for _, c in found.values()}) > 1
+
+
+def test_repeated_rows_give_each_place_once(spark, monkeypatch):
+    """Rows that repeat one document don't multiply its places, with cold and with hot anchors."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(1, " ".join(passage + ["end"]))] * 40 + [(i, " ".join([f"u{i}", *passage, f"v{i}"])) for i in range(2, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.substrings(rows)
+    for shard in (4, 2048):
+        monkeypatch.setattr(substrings, "SHARD", shard)
+        found = substrings.drop_repeats(df).collect()
+        assert len(found) == len(rows) and {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == want
+
+
+def test_gaps_between_spans():
+    rng = random.Random(6)
+    for _ in range(300):
+        spans = [(a, a + rng.randrange(1, 6)) for a in (rng.randrange(40) for _ in range(rng.randrange(8)))]
+        free = pii.gaps_between(spans)
+        for a in range(45):
+            for b in range(a + 1, a + 5):
+                assert free(a, b) == (not any(x < b and a < y for x, y in spans))
+
+
+def test_words_learned_in_lines_have_their_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "LINE", 3)
+    words = ["plain", "it's", "é", "éx", "́", "a b", "<|endoftext|>", "x\x01y", "\x01", "ΑΣ", "１２", "don't", "🙂🙂", "<", "|>"]
+    state = packing.word_tokens(queries.word_bpe)
+    tok = Tokenizer.from_file(queries.word_bpe())
+    import numpy as np
+
+    for w in words:
+        assert np.frombuffer(state([w.encode(), b"tail"]), "<u4").tolist() == tok.encode(f"{w} tail", add_special_tokens=False).ids
+    text = " ".join(words)
+    packing.worker_state("tokens").clear()
+    assert np.frombuffer(packing.word_tokens(queries.word_bpe)(text.encode().split()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids

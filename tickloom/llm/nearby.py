@@ -99,55 +99,95 @@ def estimate(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def rest_of_lists(index: DataFrame, lists: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a list, lie in different components so far and may be similar.
+def rest_of_lists(index: DataFrame, lists: DataFrame, sets: DataFrame, found: DataFrame, rejected: DataFrame, percent: int, forests: int) -> DataFrame:
+    """Pairs (a, b, sure) that share a list, lie in different components so far and are similar (sure) or may be.
 
     Only lists that still hold several components are read. Lists with one pivot have much the same members, so
-    their union is one crowd, and a pair is met once. Members are dealt into blocks; a task gets two blocks, counts
-    what they have in common and returns the pairs that pass the test of the WIDE sketch, never all pairs; sets
-    of up to WIDE shingles are compared exactly.
+    their union is one crowd, and a pair is met once. Members of a crowd's largest component have nothing to ask
+    each other: the others (askers) are dealt into blocks and meet blocks of all members in tasks. A task counts
+    what an asker has in common with its members, on whole sets where both have at most WIDE shingles, else on
+    WIDE sketches, and merges components as it goes, so it writes a forest of sure links and ``forests`` forests of
+    possible ones that are not ``rejected``: at most a few rows a member, never all pairs.
     """
     labelled = keep(index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     several = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("value")
     crowds = keep(labelled.join(keep(several.join(lists, "value")), "value").select("pivot", "id", "component").distinct())
-    sizes = keep(crowds.groupBy("pivot").agg(F.expr(f"cast((count(*) + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")))
-    rows = crowds.join(sizes, "pivot").join(sets.select("id", "n", "wide"), "id")
-    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(id, 5), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "wide")
-
-    def go(key, got):
+    sizes = crowds.groupBy("pivot", "component").agg(F.count("*").alias("n")).groupBy("pivot")
+    sizes = sizes.agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"))
+    blocks = lambda n: F.expr(f"cast(({n} + {BLOCK - 1}) div {BLOCK} as int)")
+    sizes = keep(sizes.select("pivot", F.col("top.component").alias("largest"), blocks("members").alias("blocks"), blocks("(members - top.n)").alias("asking")))
+    members = crowds.join(sizes, "pivot").join(sets.select("id", "n", "wide"), "id").withColumn("asks", F.col("component") != F.col("largest"))
+    refused = rejected.select("a", "b").unionByName(rejected.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("refused"))
+    dealt = lambda n: F.expr(f"cast(pmod(xxhash64(id, 5), {n}) as int)")
+    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    askers = members.filter("asks").join(refused, "id", "left").withColumn("i", dealt("asking")).withColumn("j", each("blocks"))
+    told = members.withColumn("j", dealt("blocks")).withColumn("i", each("asking")).withColumn("refused", F.lit(None).cast("array<bigint>"))
+    columns = ["pivot", "i", "j", "id", "component", "n", "wide", "asks", "refused"]
+    rows = askers.select(*columns, F.lit(True).alias("asker")).unionByName(told.select(*columns, F.lit(False).alias("asker")))
+
+    def go(got):
         import numpy as np
         import pyarrow as pa
 
-        i, j = key[1].as_py(), key[2].as_py()
-        own, ids, comp, n = (got.column(c).to_numpy() for c in ("own", "id", "component", "n"))
-        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in got.column("wide")]
-        sizes = np.array([len(s) for s in sets])
-        names = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(names, kind="stable")]
-        held = np.bincount(names)
+        asker = got.column("asker").to_numpy()
+        own = got.filter(pa.array(~asker))
+        ids, comp, n, asks = (own.column(c).to_numpy() for c in ("id", "component", "n", "asks"))
+        hashes = [np.frombuffer(v.as_buffer(), np.uint64) for v in own.column("wide")]
+        sizes = np.array([len(s) for s in hashes])
+        names, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        holders = np.repeat(np.arange(len(hashes)), sizes)[np.argsort(number, kind="stable")]
+        held = np.bincount(number)
         first = np.cumsum(held) - held
-        starts = np.cumsum(sizes) - sizes
-        out = []
-        for x in np.flatnonzero(own == i):
-            mine = names[starts[x] : starts[x] + sizes[x]]
+        asking = got.filter(pa.array(asker))
+        # Components as the task finds them: each label's root, for the sure links and one for each forest.
+        labels, label = np.unique(np.concatenate([comp, asking.column("component").to_numpy()]), return_inverse=True)
+        roots = [np.arange(len(labels)) for _ in range(1 + forests)]
+        mine, out, maybe = label[len(ids) :], [], []
+        columns = [asking.column(c) for c in ("id", "n", "wide", "refused")]
+        for x, (own_id, own_n, own_set, refused) in enumerate(zip(*columns)):
+            own_id, own_n, own_set = own_id.as_py(), own_n.as_py(), np.frombuffer(own_set.as_buffer(), np.uint64)
+            at = np.searchsorted(names, own_set)
+            at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == own_set)]
             # The holders of each of x's hashes, one after the other.
-            at = np.repeat(first[mine] - (np.cumsum(held[mine]) - held[mine]), held[mine]) + np.arange(held[mine].sum())
-            common = np.bincount(holders[at], minlength=len(sets))
-            near = (comp != comp[x]) & (own == j) & ((i != j) | (ids > ids[x])) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            whole = (n <= WIDE) & (n[x] <= WIDE)
-            near &= np.where(whole, 100 * common >= percent * (n + n[x] - common), common >= least_shared(WIDE, percent))
-            for y in np.flatnonzero(near):
-                if whole[y] or alike(sets[x], sets[y], n[x], n[y], percent, WIDE):
-                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            spread = np.repeat(first[at] - (np.cumsum(held[at]) - held[at]), held[at]) + np.arange(held[at].sum())
+            common = np.bincount(holders[spread], minlength=len(ids))
+            root = roots[0][label[: len(ids)]]
+            near = (root != roots[0][mine[x]]) & (~asks | (ids > own_id)) & (100 * np.minimum(n, own_n) >= percent * np.maximum(n, own_n))
+            whole = (n <= WIDE) & (own_n <= WIDE)
+            sure = near & whole & (100 * common >= percent * (n + own_n - common))
+            for y in np.flatnonzero(sure)[np.unique(root[sure], return_index=True)[1]]:
+                out.append((own_id, ids[y], True))
+                roots[0][roots[0] == roots[0][label[y]]] = roots[0][mine[x]]
+            left = near & ~whole & (common >= least_shared(WIDE, percent))
+            if left.any() and refused.as_py():
+                left &= ~np.isin(ids, refused.as_py())
+            maybe += [(own_id, ids[y], mine[x], label[y]) for y in np.flatnonzero(left) if alike(own_set, hashes[y], own_n, n[y], percent, WIDE)]
+            if len(maybe) > 4 * BLOCK * forests:
+                maybe = thin(maybe, roots)
+        out += [(a, b, False) for a, b, _, _ in thin(maybe, roots)]
+        a, b, sure = zip(*out) if out else ((), (), ())
+        low, high = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
+        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64()), "sure": pa.array(sure, pa.bool_())})
+
+    def thin(pairs, roots):
+        """The pairs that lie in one of the forests over what the sure links left apart."""
+        for r in roots[1:]:
+            r[:] = roots[0]
+        out = []
+        for pair in pairs:
+            for r in roots[1:]:
+                x, y = r[pair[2]], r[pair[3]]
+                if x != y:
+                    r[r == y] = x
+                    out.append(pair)
+                    break
+        return out
 
-    return rows.groupBy("pivot", "i", "j").applyInArrow(go, "a long, b long").distinct()
+    return rows.groupBy("pivot", "i", "j").applyInArrow(go, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have an intersection of ``percent`` of the union."""
+    """The pairs as (a, b, ok): whether the intersection of their whole sets is ``percent`` of the union."""
     side = lambda name: sets.select(F.col("id").alias(name), F.col("hashes").alias(f"h_{name}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b")
 
@@ -156,14 +196,14 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            mask = []
+            ok = []
             for x, y in zip(batch.column("h_a"), batch.column("h_b")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                mask.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(mask, pa.bool_()))
+                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, ok boolean")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
@@ -212,13 +252,22 @@ def label(docs: DataFrame, extra: list, words_each: int, percent: int) -> DataFr
     stars = keep(estimate(stars, nodes, percent))
     wanted = nodes.join(index.select("id").distinct(), "id", "left_semi")
     sets = keep(whole_sets(docs, wanted, words_each))
-    links = keep(confirm(stars, sets, percent))
+    tried = keep(confirm(stars, sets, percent))
+    links, rejected, forests = tried.filter("ok").select("a", "b"), tried.filter("not ok").select("a", "b"), 1
     found = components(links)
-    # Then what the stars left apart, in lists that still hold several components.
-    more = rest_of_lists(index, lists, sets, found, percent).join(stars, ["a", "b"], "left_anti")
-    more = keep(confirm(keep(more), sets, percent))
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
+    # Then what the stars left apart, in lists that still hold several components. Sure links need no further look;
+    # possible ones are confirmed, and if some were possible, others may be left: again, with twice the forests.
+    while True:
+        more = keep(rest_of_lists(index, lists, sets, found, rejected, percent, forests))
+        kinds = {r.sure for r in more.select("sure").distinct().collect()}
+        if not kinds:
+            break
+        tried = keep(confirm(more.filter("not sure").select("a", "b"), sets, percent))
+        links = links.unionByName(more.filter("sure").select("a", "b")).unionByName(tried.filter("ok").select("a", "b"))
+        found = components(links)
+        if False not in kinds:
+            break
+        rejected, forests = rejected.unionByName(tried.filter("not ok").select("a", "b")), 2 * forests
 
     owner = nodes.join(found, "id", "left").withColumn("root", F.coalesce("component", "id")).select("same", "root", "doc_id")
     least = owner.groupBy("root").agg(F.min("doc_id").alias("component"))

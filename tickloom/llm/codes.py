@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.common import keep
+
 #: Rows whose distances to all entries are held at once.
 CHUNK = 1024
 LONGEST = 2**63 - 1
@@ -226,7 +228,8 @@ def compress(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int
         none = kept.filter("false").select("vec_id", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"))
         return none.select("*", F.col("error").alias("label_error"), F.lit("").alias("codebooks_sha256"))
     digest = hashlib.sha256(",".join(str(v) for part in books for e in part for v in e).encode()).hexdigest()
-    coded = encode(kept.select(F.struct("vec_id", "label").alias("row"), "embedding"), books, dims).select("row.*", "code", "error")
+    # Written, so that the sums over labels don't search the codebooks again.
+    coded = keep(encode(kept.select(F.struct("vec_id", "label").alias("row"), "embedding"), books, dims).select("row.*", "code", "error"))
     totals = coded.groupBy("label").agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(LONGEST).cast("decimal(38,0)")).cast("long").alias("label_error"))
     totals = totals.withColumnRenamed("label", "of")
     return coded.join(totals, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))

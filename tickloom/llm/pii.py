@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,11 +96,27 @@ def spelled_spans(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def gaps_between(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """A test whether [a, b) overlaps none of the spans, by binary search in their union."""
+    lows, highs = [], []
+    for a, b in sorted(spans):
+        if highs and a <= highs[-1]:
+            highs[-1] = max(highs[-1], b)
+        else:
+            lows.append(a)
+            highs.append(b)
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_right(highs, a)
+        return k == len(lows) or lows[k] >= b
+
+    return free
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, bool]]:
     """Base spans and those of the wider nets that don't overlap them: (kind, start, end, is base)."""
     yield from ((*s, True) for s in base)
-    taken = sorted((a, b) for _, a, b in base)
-    free = lambda a, b: not any(x < b and a < y for x, y in taken)
+    free = gaps_between([(a, b) for _, a, b in base])
     for span in spelled_spans(text):
         if free(*span):
             yield "email", *span, False

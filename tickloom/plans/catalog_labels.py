@@ -23,9 +23,9 @@ def query(name: str, sql: str | None = None):
 
 
 def labels_sql(sides: bool) -> str:
-    """Band join and first touch; ``sides`` uses every third bar with alternating sides."""
-    pick = "e.seq % 3 = 0" if sides else "e.seq >= 22 AND n.seq + 60 <= m.n"
-    side = "CASE WHEN e.seq % 9 = 0 THEN -1 WHEN e.seq % 9 = 3 THEN 0 ELSE 1 END" if sides else "1"
+    """Band join and first touch; ``sides`` gives every bar a side in turn."""
+    pick = "TRUE" if sides else "e.seq >= 22 AND n.seq + 60 <= m.n"
+    side = "CASE WHEN e.seq % 3 = 0 THEN -1 WHEN e.seq % 3 = 1 THEN 0 ELSE 1 END" if sides else "1"
     return f"""{PARK}, m AS (SELECT symbol, max(seq) AS n FROM park GROUP BY 1),
 ev AS (SELECT e.symbol, e.seq, e.ts_ns AS event_ns, n.ts_ns AS entry_ns, n.seq AS k0, n.open AS p, {side} AS side,
   greatest(1e-4, least(0.5, n.parkinson)) AS sigma, least(m.n, n.seq + 60) AS kmax FROM park e
@@ -52,8 +52,7 @@ ROUNDED = "symbol, seq, event_ns, entry_ns, exit_ns, side, label, touch_reason,
 
 def sided(spark, d):
     b = fx.bars(spark, d)
-    seq = series.sequenced(b).filter("seq % 3 = 0").select(
-        "symbol", "seq", F.when(F.expr("seq % 9 = 0"), -1).when(F.expr("seq % 9 = 3"), 0).otherwise(1).alias("side"))
+    seq = series.sequenced(b).select("symbol", "seq", F.when(F.expr("seq % 3 = 0"), -1).when(F.expr("seq % 3 = 1"), 0).otherwise(1).alias("side"))
     return labels.triple_barrier(b, events=seq)
 
 

@@ -94,7 +94,8 @@ def _weights_sql(names, rate=0.05, pull=0.2):
     grown = [f"{n} * exp({rate} * r{i})" for i, n in enumerate(names)]
     total = f"({' + '.join(grown)})"
     steps = ", ".join(f"(1 - {pull}) * {g} / {total} + {pull} * ({prior(i)})" for i, g in enumerate(grown))
-    rewards = ", ".join(f"coalesce(max(CASE WHEN symbol = '{u}' THEN ret END), 0) AS r{i}" for i, u in zip(range(len(names)), U))
+    best = lambda u: f"coalesce(max(CASE WHEN symbol = '{u}' THEN ret END), 0)"
+    rewards = ", ".join(f"{' + '.join(map(best, U[i :: len(names)]))} AS r{i}" for i in range(len(names)))
     return f"""WITH RECURSIVE {SMALL}, r AS (SELECT ts_ns, (ts_ns // {H}) % 3 AS k3, row_number() OVER (ORDER BY ts_ns) AS n, {rewards} FROM small GROUP BY ts_ns),
 run AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ts_ns, {', '.join(f'{1 / len(names)}::DOUBLE AS {x}' for x in names)}
   UNION ALL SELECT r.n, r.ts_ns, {steps} FROM run JOIN r ON r.n = run.n + 1)
@@ -104,9 +105,11 @@ SELECT 'main' AS book, ts_ns, {', '.join(f'round({x}, 6) AS {x}' for x in names)
 @query("strategy_weights", _weights_sql(["s0", "s1", "s2", "s3"]))
 def _(spark, d):
     names = ["s0", "s1", "s2", "s3"]
-    r = small_returns(spark, d).groupBy("ts_ns").agg(*[F.max(F.when(F.col("symbol") == u, F.col("ret"))).alias(n) for n, u in zip(names, U)])
+    best = {u: F.coalesce(F.max(F.when(F.col("symbol") == u, F.col("ret"))), F.lit(0.0)) for u in U}
+    # A strategy's reward is that of its symbols; with more symbols than strategies they are dealt in turn.
+    r = small_returns(spark, d).groupBy("ts_ns").agg(*[sum((best[u] for u in U[i :: len(names)][1:]), best[U[i]]).alias(n) for i, n in enumerate(names)])
     k = F.expr(f"ts_ns div {H}") % 3
-    r = r.fillna(0.0).withColumn("book", F.lit("main")).withColumn("regime", F.when(k == 0, "BULL").when(k == 1, "PANIC").otherwise("NORMAL"))
+    r = r.withColumn("book", F.lit("main")).withColumn("regime", F.when(k == 0, "BULL").when(k == 1, "PANIC").otherwise("NORMAL"))
     return rounded(portfolio.strategy_weights(r, names), 6, *names)
 
 
@@ -197,14 +200,14 @@ def _(spark, d):
 def risk_inputs(spark, d):
     f = fx.fills(spark, d)
     q = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    held = f.filter("line <= 5").groupBy("portfolio_id", "symbol").agg(F.sum(q).alias("position"))
+    held = f.filter("line <= 5 OR symbol = 'N'").groupBy("portfolio_id", "symbol").agg(F.sum(q).alias("position"))
     leaves = f.filter("line > 5 AND symbol <> 'N'").groupBy("portfolio_id", "symbol").agg(F.sum(q).alias("leaves"))
     prices = f.groupBy("symbol").agg(F.round(F.avg("price"), 2).alias("price"))
     accounts = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("portfolio_id"), (F.col("s_acctbal") * 100 + 900000).alias("cash"), F.lit(1.0e6).alias("peak_equity"))
     return portfolio.symbol_exposure(held, leaves, prices), accounts
 
 
-EXPO = f"""{FILLS}, he AS (SELECT portfolio_id, symbol, sum(q) AS p FROM sg WHERE line <= 5 GROUP BY 1, 2), lv AS (SELECT portfolio_id, symbol, sum(q) AS l FROM sg WHERE line > 5 AND symbol <> 'N' GROUP BY 1, 2),
+EXPO = f"""{FILLS}, he AS (SELECT portfolio_id, symbol, sum(q) AS p FROM sg WHERE line <= 5 OR symbol = 'N' GROUP BY 1, 2), lv AS (SELECT portfolio_id, symbol, sum(q) AS l FROM sg WHERE line > 5 AND symbol <> 'N' GROUP BY 1, 2),
 px AS (SELECT symbol, round(avg(price), 2) AS px FROM fills GROUP BY 1), ex AS (SELECT portfolio_id, symbol, coalesce(p, 0) AS p, coalesce(l, 0) AS l, px FROM he FULL JOIN lv USING (portfolio_id, symbol) LEFT JOIN px USING (symbol)),
 eg AS (SELECT *, CASE WHEN p * l < 0 THEN greatest(abs(p), abs(p + l)) ELSE abs(p) + abs(l) END * px AS g, (p + l) * px AS n, CASE WHEN l > 0 THEN l ELSE greatest(0, abs(l) - greatest(0, p)) END * px AS k FROM ex),
 sn AS (SELECT s_suppkey AS portfolio_id, s_acctbal * 100 + 900000 AS cash, sum(p * px) AS h, sum(g) AS g, sum(n) AS n, sum(k) AS k FROM supplier JOIN eg ON portfolio_id = s_suppkey GROUP BY 1, 2),

@@ -325,18 +325,6 @@ def test_strategy_weights_across_blocks(spark):
         assert np.allclose(got[["a", "b", "c", "d"]], want)
 
 
-def test_inverse_differences_need_no_rounds(spark):
-    w = series.fractional_weights(0.4, 1e-3, 8)
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=60).cumsum() + 50
-    l = len(w) - 1
-    rows = [("A", i, float(sum(w[k] * x[i - k] for k in range(l + 1)))) for i in range(l, 60)]
-    d = spark.createDataFrame(rows, "symbol string, ts_ns long, ffd double")
-    anchors = spark.createDataFrame([("A", [float(v) for v in x[:l]])], "symbol string, anchor array<double>")
-    got = {r.ts_ns: r.value for r in kernels.inverse_frac_diff(d, anchors, w, span_ns=5).collect()}
-    assert [got[i] for i in range(l, 60)] == pytest.approx(list(x[l:]))
-
-
 def test_upsert_sink_keeps_the_last_write(spark, tmp_path):
     write = sinks.upsert_sink(str(tmp_path / "t"), ["k"], buckets=2, order=["at"])
     batch = lambda rows: spark.createDataFrame(rows, "k long, at long, v string")

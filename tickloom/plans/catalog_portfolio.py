@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import kernels, portfolio, series, stats
+from tickloom.operators import filters, kernels, portfolio, series, stats
 from tickloom.plans import sqltext as S
 from tickloom.plans.catalog_news import _decay_sql
 from tickloom.plans.catalog_posttrade import FILLS
-from tickloom.plans.catalog_series import BANDS, FFD_W, SEQ, rounded, small_returns
+from tickloom.plans.catalog_series import BANDS, FFD_CUT, FFD_D, FFD_W, SEQ, ffd_weights, rounded, small_returns
 from tickloom.plans.catalog_stats import ENTROPY, SMALL, entropy
 from tickloom.sources import fixtures as fx
 
@@ -341,15 +341,15 @@ def _(spark, d):
     return rounded(kernels.rolling_shrunk_covariance(small_returns(spark, d), U), 6, "cov")
 
 
-@query("frac_diff_inverse", f"""WITH {SEQ} SELECT symbol, ts_ns, round(close, 4) AS value FROM seqd WHERE seq > {len(FFD_W) - 1}""")
+@query("frac_diff_inverse", f"""WITH {SEQ}, {ffd_weights('seqd')} SELECT s.symbol, ts_ns, round(close, 4) AS value FROM seqd s JOIN lb ON lb.symbol = s.symbol WHERE seq > l""")
 def _(spark, d):
     """Differencing and rebuilding gives the close back."""
     b = fx.bars(spark, d)
-    l = len(FFD_W) - 1
-    diff = series.frac_diff(b, FFD_W).select("symbol", "ts_ns", "ffd")
-    head = series.sequenced(b).filter(F.col("seq") <= l).groupBy("symbol").agg(
+    diff = filters.frac_diff(b, FFD_D, FFD_CUT)
+    back = filters.lookbacks(b, len(FFD_W) - 1)
+    head = series.sequenced(b).join(back, "symbol").filter(F.col("seq") <= F.col("lookback")).groupBy("symbol", "lookback").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "close"))), lambda e: e["close"]).alias("anchor"))
-    return rounded(kernels.inverse_frac_diff(diff, head, FFD_W), 4, "value")
+    return rounded(filters.inverse_frac_diff(diff.select("symbol", "ts_ns", "ffd"), head, FFD_D, FFD_CUT), 4, "value")
 
 
 GRID = [round(i * 0.05, 2) for i in range(21)]

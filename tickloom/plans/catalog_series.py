@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import series
+from tickloom.operators import filters, series
 from tickloom.plans import sqltext as S
 from tickloom.sources import fixtures as fx
 
@@ -119,7 +119,8 @@ def _(spark, d):
     return rounded(rounded(out, 6, "log_ret", "volatility"), 4, "adv")
 
 
-FFD_W = series.fractional_weights(0.4, 1e-4, 50)
+FFD_D, FFD_CUT = 0.4, 1e-4
+FFD_W = series.fractional_weights(FFD_D, FFD_CUT, None, False)
 FFD_X = series.fractional_weights(0.4, 1e-3, None, False)
 
 
@@ -127,11 +128,18 @@ def _values(w):
     return ", ".join(f"({k}, {x!r}::DOUBLE)" for k, x in enumerate(w))
 
 
-@query("frac_diff", f"""WITH {SEQ}, w(k, w) AS (VALUES {_values(FFD_W)})
-SELECT b.symbol, b.ts_ns, round(sum(w.w * p.close), 6) AS ffd FROM seqd b JOIN w ON true
-JOIN seqd p ON p.symbol = b.symbol AND p.seq = b.seq - w.k WHERE b.seq > {len(FFD_W) - 1} GROUP BY 1, 2""")
+def ffd_weights(table: str) -> str:
+    """CTEs: ``lb``, the look-back of each symbol of ``table``, and ``wk``, its weights, which sum to zero."""
+    return f"""w(k, w) AS (VALUES {_values(FFD_W)}),
+lb AS (SELECT symbol, least({len(FFD_W) - 1}, greatest(10, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT))) AS l FROM {table} GROUP BY 1),
+wk AS (SELECT symbol, l, k, w FROM lb JOIN w ON k BETWEEN 1 AND l UNION ALL SELECT symbol, l, 0, -sum(w) FROM lb JOIN w ON k BETWEEN 1 AND l GROUP BY 1, 2)"""
+
+
+@query("frac_diff", f"""WITH {SEQ}, {ffd_weights('seqd')}
+SELECT b.symbol, b.ts_ns, round(sum(w.w * p.close), 6) AS ffd FROM seqd b JOIN wk w ON w.symbol = b.symbol
+JOIN seqd p ON p.symbol = b.symbol AND p.seq = b.seq - w.k WHERE b.seq > w.l GROUP BY 1, 2""")
 def _(spark, d):
-    return rounded(series.frac_diff(fx.bars(spark, d), FFD_W).select("symbol", "ts_ns", "ffd"), 6, "ffd")
+    return rounded(filters.frac_diff(fx.bars(spark, d), FFD_D, FFD_CUT).select("symbol", "ts_ns", "ffd"), 6, "ffd")
 
 
 @query("frac_diff_expanding", f"""WITH {SEQ}, w(k, w) AS (VALUES {_values(FFD_X)}),

@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from tickloom.functions import text
+from tickloom.operators import filters
 from tickloom.plans import sqltext as S
 from tickloom.plans.catalog_news import WS
 from tickloom.plans.catalog_portfolio import CUSUM_RUN
-from tickloom.plans.catalog_series import FFD_W, SEQ, rounded, _values
+from tickloom.plans.catalog_series import FFD_W, ffd_weights, rounded
 from tickloom.sources import feeds
 from tickloom.sources import fixtures as fx
 from tickloom.streaming import ops, sinks
@@ -89,11 +90,13 @@ def _(spark, d):
     return t.select("ticker", F.unix_micros("session_start").alias("start_us"), "articles")
 
 
-@query("stream_frac_diff", f"""WITH {SEQ}, w(k, w) AS (VALUES {_values(FFD_W)}) SELECT b.symbol, b.ts_ns, round(sum(w.w * p.price), 4) AS ffd
-FROM (SELECT event_type AS symbol, epoch_us(ts) * 1000 AS ts_ns, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS seq FROM events) b JOIN w ON true
-JOIN (SELECT event_type AS symbol, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS seq FROM events) p ON p.symbol = b.symbol AND p.seq = b.seq - w.k WHERE b.seq > {len(FFD_W) - 1} GROUP BY 1, 2""")
+@query("stream_frac_diff", f"""WITH e AS (SELECT event_type AS symbol, epoch_us(ts) * 1000 AS ts_ns, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq FROM events), {ffd_weights('e')},
+pl AS (SELECT symbol, list(price ORDER BY seq) AS p FROM e GROUP BY 1), wl AS (SELECT symbol, l, list(w ORDER BY k DESC) AS w FROM wk GROUP BY 1, 2)
+SELECT e.symbol, ts_ns, round(list_inner_product(p[seq - l:seq], w), 4) AS ffd FROM e JOIN pl ON pl.symbol = e.symbol JOIN wl ON wl.symbol = e.symbol WHERE seq > l""")
 def _(spark, d):
-    t = tick_stream(spark, d).select("symbol", "ts_ns", F.col("price").alias("close"))
+    """Each symbol's look-back is fitted on the table, then its stream is differenced tick by tick."""
+    t = tick_stream(spark, d).select("symbol", "ts_ns", "event_id", F.col("price").alias("close"))
+    t = t.join(filters.lookbacks(fx.ticks(spark, d), len(FFD_W) - 1), "symbol")
     return rounded(table_of(spark, ops.online_frac_diff(t, FFD_W), ["symbol", "ts_ns"]), 4, "ffd")
 
 

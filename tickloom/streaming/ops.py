@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.operators.filters import weights_for
 from tickloom.operators.kernels import TIERS, cusum_step, tier_step
 
 
@@ -54,22 +55,22 @@ def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 def online_frac_diff(bars: DataFrame, weights: list[float], history: dict[str, list[float]] | None = None) -> DataFrame:
     """Fractional difference per new bar; state is the last L closes, seeded from ``history``.
 
-    ``history`` holds at most L closes per symbol of the bars before the stream.
+    ``history`` holds at most L closes per symbol of the bars before the stream. A column ``lookback`` of ``bars``
+    gives a symbol its own L: of ``weights``, those up to it count, the first one replaced so that all sum to zero.
+    Bars of one time follow their event_id, where there is one.
     """
-    w = np.array(weights)
-    l = len(w) - 1
-    seed = history or {}
+    seed, own, cut = history or {}, "lookback" in bars.columns, weights_for(weights)
+    order = ["ts_ns", "event_id"] if "event_id" in bars.columns else ["ts_ns"]
 
     def step(key, batches, state: GroupState):
-        buf = list(state.get[0]) if state.exists else list(seed.get(key[0], []))[-l:] if l else []
-        out = []
-        for ts, close in _rows(batches, ["ts_ns"])[["ts_ns", "close"]].itertuples(index=False):
-            buf.append(close)
-            if len(buf) > l:
-                buf = buf[-(l + 1):]
-                out.append((key[0], ts, float(w @ np.array(buf[::-1]))))
-        state.update((buf[-l:] if l else [],))
-        yield pd.DataFrame(out, columns=["symbol", "ts_ns", "ffd"])
+        rows = _rows(batches, order)
+        w = cut(int(rows["lookback"].iloc[0])) if own else np.array(weights)
+        l = len(w) - 1
+        before = list(state.get[0]) if state.exists else list(seed.get(key[0], []))
+        x = np.concatenate([before[len(before) - min(l, len(before)) :], rows["close"].to_numpy(dtype=float)])
+        y = np.convolve(x, w, "valid") if len(x) > l else np.zeros(0)
+        state.update((x[max(0, len(x) - l) :].tolist(),))
+        yield pd.DataFrame({"symbol": key[0], "ts_ns": rows["ts_ns"].to_numpy()[len(rows) - len(y) :], "ffd": y})
 
     return bars.groupBy("symbol").applyInPandasWithState(
         step, "symbol string, ts_ns long, ffd double", "buf array<double>", "append", GroupStateTimeout.NoTimeout)

@@ -143,10 +143,16 @@ def accounts(spark, d):
     return cash, held
 
 
+def exact(x: str, digits: int) -> str:
+    """SQL for the decimal nearest to the exact value of ``x``, ties to even; round() scales first, which can make a tie."""
+    return f"CAST(printf('%.{digits}f', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
+RATE = "-qty * price * CASE WHEN symbol = 'R' THEN 0.15 ELSE 0.005 END::DOUBLE / 360.0"
 FIN = f"""{FILLS}, y AS (SELECT *, strftime(make_timestamp(ts_ns // 1000), '%Y') AS date FROM sg),
-ca AS (SELECT portfolio_id, date, round(sum(-q * price), 2) AS cash FROM y GROUP BY 1, 2), he AS (SELECT portfolio_id, date, symbol, sum(q) AS qty, avg(price) AS price FROM y GROUP BY 1, 2, 3),
-fe AS (SELECT portfolio_id, date, round(sum(round(-qty * price * CASE WHEN symbol = 'R' THEN 0.15 ELSE 0.005 END::DOUBLE / 360.0, 4)), 4) AS borrow_fees, round(sum(-qty * price), 2) AS short_notional FROM he WHERE qty < 0 GROUP BY 1, 2),
-fi AS (SELECT portfolio_id, date, cash, coalesce(borrow_fees, 0) AS borrow_fees, coalesce(short_notional, 0) AS short_notional, round(greatest(0, -cash) * 0.06::DOUBLE / 360.0, 4) AS margin_interest FROM ca LEFT JOIN fe USING (portfolio_id, date))"""
+ca AS (SELECT portfolio_id, date, {exact('sum(-q * price)', 2)} AS cash FROM y GROUP BY 1, 2), he AS (SELECT portfolio_id, date, symbol, sum(q) AS qty, avg(price) AS price FROM y GROUP BY 1, 2, 3),
+fe AS (SELECT portfolio_id, date, {exact('sum(' + exact(RATE, 4) + ')', 4)} AS borrow_fees, {exact('sum(-qty * price)', 2)} AS short_notional FROM he WHERE qty < 0 GROUP BY 1, 2),
+fi AS (SELECT portfolio_id, date, cash, coalesce(borrow_fees, 0) AS borrow_fees, coalesce(short_notional, 0) AS short_notional, {exact('greatest(0, -cash) * 0.06::DOUBLE / 360.0', 4)} AS margin_interest FROM ca LEFT JOIN fe USING (portfolio_id, date))"""
 
 
 def accrued(spark, d):
@@ -155,7 +161,7 @@ def accrued(spark, d):
     return lots.financing(cash, held, rates)
 
 
-@query("financing_accrual", f"WITH {FIN} SELECT portfolio_id, date, cash, borrow_fees, short_notional, margin_interest, round(cash - (margin_interest + borrow_fees), 4) AS cash_after FROM fi")
+@query("financing_accrual", f"WITH {FIN} SELECT portfolio_id, date, cash, borrow_fees, short_notional, margin_interest, {exact('cash - ' + exact('margin_interest + borrow_fees', 4), 4)} AS cash_after FROM fi")
 def _(spark, d):
     return accrued(spark, d).select("portfolio_id", "date", "cash", "borrow_fees", "short_notional", "margin_interest", "cash_after")
 

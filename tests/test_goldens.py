@@ -72,16 +72,6 @@ def test_lots_against_a_queue(spark, lifo):
     assert lots.inventory_violations(s, lots.open_lots(s, m)).count() == 0
 
 
-def test_quarantine_golden(spark):
-    sec = 1_000_000_000
-    marks = [-5.0, -5.0, -5.0, -5.0, 1.0, -5.0]
-    rows = [("V", i * 10 * sec, i, m) for i, m in enumerate(marks)] + [("V", 500 * sec, 6, -5.0)]
-    m = spark.createDataFrame(rows, "venue string, ts_ns long, event_id long, markout_bps double")
-    for span in (15 * sec, 10_000 * sec):
-        got = [(r.streak, r.quarantined) for r in execution.quarantines(m, ["ts_ns", "event_id"], span_ns=span).orderBy("ts_ns").collect()]
-        assert got == [(1, False), (2, False), (3, True), (4, True), (0, True), (1, True), (1, False)]
-
-
 def test_shortfall_identity(spark):
     p = spark.createDataFrame([(1, "BUY", 100.0, 10.0, 10.5, 0), (2, "SELL", 50.0, 20.0, 19.0, 0)],
                               "parent_id long, side string, total_quantity double, arrival_price double, decision_price double, start_ns long")

@@ -79,36 +79,6 @@ def venue_markouts(marked: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("fills"), F.avg("markout_bps").alias("average_markout_bps"))
 
 
-def quarantine_kernel(threshold: float, limit: int, hold_ns: int, markout: str):
-    """Streak and quarantine per fill; state: streak, quarantined, until."""
-    def kernel(pdf: pd.DataFrame, state: list[float] | None) -> tuple[pd.DataFrame, list[float]]:
-        streak, held, until = (0, 0, 0) if state is None else (int(state[0]), int(state[1]), int(state[2]) * 1_000_000_000 + int(state[3]))
-        rows = []
-        for now, m in zip(pdf["ts_ns"], pdf[markout]):
-            if held and until > 0 and now >= until:
-                held, streak, until = 0, 0, 0
-            if m < threshold:
-                streak += 1
-                if streak >= limit:
-                    held, until = 1, max(until, now + hold_ns)
-            else:
-                streak = 0
-            rows.append((streak, bool(held), until))
-        out = pdf.drop(columns=["_blk"]).assign(**{n: [r[i] for r in rows] for i, n in enumerate(("streak", "quarantined", "until_ns"))})
-        return out, [streak, held, until // 1_000_000_000, until % 1_000_000_000]
-
-    return kernel
-
-
-def quarantines(marked: DataFrame, order: Sequence[str], threshold: float = -2.0, limit: int = 3, hold_ns: int = 60_000_000_000,
-                span_ns: int = 7 * blocks.DAY_NS) -> DataFrame:
-    """Toxic-fill streak and quarantine state of each venue after each fill."""
-    base = marked.select("venue", "ts_ns", *[c for c in order if c != "ts_ns"], "markout_bps").filter(F.col("markout_bps").isNotNull())
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema) + ", streak long, quarantined boolean, until_ns long"
-    return blocks.relay(base, ["venue"], order, blocks.time_block("ts_ns", span_ns),
-                        quarantine_kernel(threshold, limit, hold_ns, "markout_bps"), schema)
-
-
 def quote_metrics(quotes: DataFrame) -> DataFrame:
     """Midpoint, spread, imbalance and depth over the venue map (venue to bid and ask size)."""
     b, a = F.col("bid_price"), F.col("ask_price")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import execution, lots
+from tickloom.operators import execution, holds, lots
 from tickloom.plans.catalog_series import rounded
 from tickloom.sources import fixtures as fx
 
@@ -247,10 +247,15 @@ def _(spark, d):
     return rounded(execution.venue_markouts(execution.markouts(*tick_fills(spark, d), 60_000_000_000)), 3, "average_markout_bps")
 
 
-@query("venue_quarantine")
+@query("venue_quarantine", f"""WITH RECURSIVE {MO}, f AS MATERIALIZED (SELECT venue, event_id, ts_ns, bps, row_number() OVER (PARTITION BY venue ORDER BY ts_ns, event_id) AS k FROM mo WHERE bps IS NOT NULL),
+run AS (SELECT DISTINCT venue, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS ts_ns, 0.0::DOUBLE AS bps, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS streak, CAST(0 AS BIGINT) AS until_ns FROM f UNION ALL
+  SELECT venue, event_id, ts_ns, bps, k, streak, CASE WHEN streak >= 3 THEN ts_ns + 7200000000000 ELSE held END FROM (
+    SELECT f.*, CASE WHEN f.bps >= -2 THEN 0 WHEN r.until_ns > 0 AND f.ts_ns >= r.until_ns THEN 1 ELSE r.streak + 1 END AS streak, CASE WHEN f.ts_ns >= r.until_ns THEN 0 ELSE r.until_ns END AS held
+    FROM run r JOIN f ON f.venue = r.venue AND f.k = r.k + 1))
+SELECT venue, event_id, ts_ns, round(bps, 4) AS markout_bps, streak, until_ns > 0 AS quarantined, until_ns FROM run WHERE k > 0""")
 def _(spark, d):
     m = execution.markouts(*tick_fills(spark, d), 60_000_000_000)
-    return execution.quarantines(m, ["ts_ns", "event_id"], hold_ns=7_200_000_000_000)
+    return rounded(holds.quarantines(m, ["ts_ns", "event_id"], hold_ns=7_200_000_000_000), 4, "markout_bps")
 
 
 @query("quote_metrics", """WITH q AS (SELECT event_id, value AS b, value + 0.01::DOUBLE * (1 + event_id % 9) AS a, (event_id % 50)::DOUBLE AS bq, (event_id % 30)::DOUBLE AS aq FROM events)

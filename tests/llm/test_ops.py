@@ -438,6 +438,7 @@ def test_pipeline(spark, sf, docs):
 def test_near_of_sets_beyond_the_sketch(spark, monkeypatch):
     """Large sets whose sketches allow links that the whole sets refuse: rounds of forests lose no link."""
     monkeypatch.setattr(nearby, "WIDE", 40)
+    monkeypatch.setattr(nearby, "FORESTS", 1)
     monkeypatch.setattr(nearby, "BLOCK", 8)
     rng = random.Random(7)
     base = [f"b{k}" for k in range(300)]

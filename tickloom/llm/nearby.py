@@ -10,8 +10,8 @@ from tickloom.llm.common import components, deal, field, keep, row_key, text_of
 
 #: Retained hashes per set: those of the inverted lists, and those that decide between members of a crowd.
 RETAINED, WIDE = 32, 512
-#: Members of a crowd in one of the two blocks that a task compares.
-BLOCK = 512
+#: Members of a crowd in one of the two blocks that a task compares, and forests of possible links it writes at first.
+BLOCK, FORESTS = 512, 4
 
 
 def least_shared(k: int, percent: int) -> int:
@@ -107,7 +107,7 @@ def rest_of_lists(index: DataFrame, lists: DataFrame, sets: DataFrame, found: Da
     each other: the others (askers) are dealt into blocks and meet blocks of all members in tasks. A task counts
     what an asker has in common with its members, on whole sets where both have at most WIDE shingles, else on
     WIDE sketches, and merges components as it goes, so it writes a forest of sure links and ``forests`` forests of
-    possible ones that are not ``rejected``: at most a few rows a member, never all pairs.
+    possible ones that are not ``rejected``, at most a few rows a member, and a row of nulls if possible ones are left.
     """
     labelled = keep(index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     several = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("value")
@@ -142,7 +142,7 @@ def rest_of_lists(index: DataFrame, lists: DataFrame, sets: DataFrame, found: Da
         # Components as the task finds them: each label's root, for the sure links and one for each forest.
         labels, label = np.unique(np.concatenate([comp, asking.column("component").to_numpy()]), return_inverse=True)
         roots = [np.arange(len(labels)) for _ in range(1 + forests)]
-        mine, out, maybe = label[len(ids) :], [], []
+        mine, out, maybe, lost = label[len(ids) :], [], [], False
         columns = [asking.column(c) for c in ("id", "n", "wide", "refused")]
         for x, (own_id, own_n, own_set, refused) in enumerate(zip(*columns)):
             own_id, own_n, own_set = own_id.as_py(), own_n.as_py(), np.frombuffer(own_set.as_buffer(), np.uint64)
@@ -163,25 +163,31 @@ def rest_of_lists(index: DataFrame, lists: DataFrame, sets: DataFrame, found: Da
                 left &= ~np.isin(ids, refused.as_py())
             maybe += [(own_id, ids[y], mine[x], label[y]) for y in np.flatnonzero(left) if alike(own_set, hashes[y], own_n, n[y], percent, WIDE)]
             if len(maybe) > 4 * BLOCK * forests:
-                maybe = thin(maybe, roots)
-        out += [(a, b, False) for a, b, _, _ in thin(maybe, roots)]
+                maybe, lost = thin(maybe, roots, lost)
+        maybe, lost = thin(maybe, roots, lost)
+        out += [(a, b, False) for a, b, _, _ in maybe]
         a, b, sure = zip(*out) if out else ((), (), ())
-        low, high = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64()), "sure": pa.array(sure, pa.bool_())})
+        low, high = np.minimum(a, b).astype(np.int64).tolist(), np.maximum(a, b).astype(np.int64).tolist()
+        more = [None] * lost  # one row without ids says that possible links were left out
+        return pa.table({"a": pa.array(low + more, pa.int64()), "b": pa.array(high + more, pa.int64()), "sure": pa.array([*sure, *[False] * lost], pa.bool_())})
 
-    def thin(pairs, roots):
-        """The pairs that lie in one of the forests over what the sure links left apart."""
+    def thin(pairs, roots, lost):
+        """The pairs that lie in one of the forests over what the sure links left apart; whether others do not."""
         for r in roots[1:]:
             r[:] = roots[0]
         out = []
         for pair in pairs:
+            if roots[0][pair[2]] == roots[0][pair[3]]:
+                continue
             for r in roots[1:]:
                 x, y = r[pair[2]], r[pair[3]]
                 if x != y:
                     r[r == y] = x
                     out.append(pair)
                     break
-        return out
+            else:
+                lost = True
+        return out, lost
 
     return rows.groupBy("pivot", "i", "j").applyInArrow(go, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
@@ -253,21 +259,20 @@ def label(docs: DataFrame, extra: list, words_each: int, percent: int) -> DataFr
     wanted = nodes.join(index.select("id").distinct(), "id", "left_semi")
     sets = keep(whole_sets(docs, wanted, words_each))
     tried = keep(confirm(stars, sets, percent))
-    links, rejected, forests = tried.filter("ok").select("a", "b"), tried.filter("not ok").select("a", "b"), 1
+    links, rejected, forests = tried.filter("ok").select("a", "b"), tried.filter("not ok").select("a", "b"), FORESTS
     found = components(links)
     # Then what the stars left apart, in lists that still hold several components. Sure links need no further look;
-    # possible ones are confirmed, and if some were possible, others may be left: again, with twice the forests.
+    # possible ones are confirmed. Where a task left some out, once more with many more forests.
     while True:
         more = keep(rest_of_lists(index, lists, sets, found, rejected, percent, forests))
-        kinds = {r.sure for r in more.select("sure").distinct().collect()}
-        if not kinds:
+        if more.isEmpty():
             break
-        tried = keep(confirm(more.filter("not sure").select("a", "b"), sets, percent))
+        tried = keep(confirm(more.filter("not sure AND a IS NOT NULL").select("a", "b"), sets, percent))
         links = links.unionByName(more.filter("sure").select("a", "b")).unionByName(tried.filter("ok").select("a", "b"))
         found = components(links)
-        if False not in kinds:
+        if more.filter("a IS NULL").isEmpty():
             break
-        rejected, forests = rejected.unionByName(tried.filter("not ok").select("a", "b")), 2 * forests
+        rejected, forests = rejected.unionByName(tried.filter("not ok").select("a", "b")), 16 * forests
 
     owner = nodes.join(found, "id", "left").withColumn("root", F.coalesce("component", "id")).select("same", "root", "doc_id")
     least = owner.groupBy("root").agg(F.min("doc_id").alias("component"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import blocks, kernels, series
+from tickloom.operators import blocks, execution, kernels, lots, series, stats, tail
 from tickloom.operators.blocks import Running
 
 
@@ -77,3 +77,62 @@ def test_no_lookahead(rows):
     cut = 8000
     for op, col in ((series.realised_vol, "realised_vol"), (series.garman_klass_lagged, "garman_klass_vol"), (lambda b: series.ema(b, "close", {"e": 5}), "e")):
         same(op(bars).filter(F.col("ts_ns") <= cut), op(bars.filter(F.col("ts_ns") <= cut)), [col])
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """Nine tenths of 12,000 rows share one symbol, day and value; nulls and NaN among the rest."""
+    n = 12_000
+    rng = np.random.default_rng(5)
+    hot = rng.random(n) < 0.9
+    pdf = pd.DataFrame({"symbol": np.where(hot, "A", rng.choice(["A", "B"], n)), "ts_ns": rng.permutation(n) + 7, "id": [f"{i:05d}" for i in range(n)],
+                        "v": np.where(hot, 0.25, rng.normal(size=n)), "w": rng.normal(size=n)})
+    v = F.when(F.col("ts_ns") % 401 == 0, None).when(F.col("ts_ns") % 403 == 0, float("nan")).otherwise(F.col("v"))
+    return blocks.cut_lineage(spark.createDataFrame(pdf).withColumn("v", v))
+
+
+@pytest.mark.parametrize("order", [["ts_ns"], ["v", "id"], ["v", "w", "ts_ns"], ["id"]])
+def test_blocks_bounded_by_rows(skewed, order):
+    cut = blocks.row_blocks(skewed, ["symbol"], order, 400)
+    sizes = cut.groupBy("symbol", "_blk").count().agg(F.max("count"), F.sum("count"), F.count(F.lit(1))).first()
+    assert sizes[0] <= 400 and sizes[1] == 12_000 and sizes[2] < 400
+    w = Window.partitionBy("symbol").orderBy(*order)
+    got = blocks.index_rows(skewed, ["symbol"], order, blocks.Rows(400))
+    assert got.join(skewed.withColumn("_w", F.row_number().over(w)), ["symbol", "id"]).filter("seq <> _w").isEmpty()
+    run = blocks.running(skewed, ["symbol"], order, blocks.Rows(400), {"s": Running("sum", F.col("w"))})
+    plain_sum = skewed.select("symbol", "id", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
+    assert run.join(plain_sum, ["symbol", "id"]).filter(F.abs(F.col("s") - F.col("_s")) > 1e-9).isEmpty()
+
+
+def test_blocks_of_alike_null_and_no_rows(spark, skewed):
+    alike = spark.range(900).select(F.lit("A").alias("k"), F.lit(1.0).alias("v"))
+    assert blocks.row_blocks(alike, ["k"], ["v"], 100).select("_blk").distinct().count() == 1
+    assert blocks.index_rows(alike, ["k"], ["v"], blocks.Rows(100)).agg(F.countDistinct("seq")).first()[0] == 900
+    empty = alike.withColumn("v", F.when(F.col("v") > 5, 1.0))
+    assert blocks.row_blocks(empty, ["k"], ["v"], 100).count() == 900
+    assert blocks.row_blocks(alike.limit(0), ["k"], ["v"], 100).count() == 0
+    lost = skewed.withColumn("symbol", F.when(F.col("symbol") == "B", "B"))
+    sizes = blocks.row_blocks(lost, ["symbol"], ["ts_ns"], 400).groupBy("symbol", "_blk").count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] <= 400 and sizes[1] == 12_000
+
+
+def test_operators_do_not_depend_on_row_bound(spark, skewed, monkeypatch):
+    """Quantiles, tails, FDR, mark-outs, heartbeats and cash: 300 rows a block or the usual number."""
+    plain_rows = skewed.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    tests = plain_rows.select("id", F.abs("v").alias("p"))
+    fills = skewed.select("symbol", "ts_ns", "id", F.when(F.col("w") > 0, "BUY").otherwise("SELL").alias("side"), (F.exp("w") + 1).alias("price"),
+                          F.lit(1.0).alias("quantity"), F.lit("P").alias("portfolio_id"))
+    quotes = skewed.filter("ts_ns % 3 = 0").select("symbol", "ts_ns", (F.exp("w") + 1).alias("midpoint"))
+    beats = skewed.select(F.col("symbol").alias("gateway"), (F.floor(F.col("ts_ns") / 50) * 4_000_000_000).alias("ts_ns"), F.col("ts_ns").alias("sequence"), F.abs("w").alias("latency_ms"))
+    loss = plain_rows.select("symbol", F.abs("w").alias("excess"))
+
+    def results():
+        return [
+            (stats.quantiles(plain_rows, ["symbol"], "w", {"a": 0.1, "b": 0.5}), ["symbol"]), (stats.fdr_adjust(tests, "p", "id"), ["id"]),
+            (tail.gpd_fit(loss, ["symbol"]), ["symbol"]), (execution.markouts(fills, quotes, 5), ["symbol", "id"]),
+            (execution.heartbeat_report(beats), ["gateway", "sequence"]), (lots.cash_balance(fills, ["ts_ns"], 10.0), ["id"])]
+
+    usual = [d.orderBy(*k).toPandas() for d, k in results()]
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 300)
+    for want, (d, k) in zip(usual, results()):
+        pd.testing.assert_frame_equal(d.orderBy(*k).toPandas()[want.columns], want, rtol=1e-9, atol=1e-7)

@@ -65,8 +65,8 @@ def queue_matches(rows, lifo):
 def test_lots_against_a_queue(spark, lifo):
     rng = random.Random(5)
     rows = [(rng.choice(["BUY", "SELL"]), rng.randint(1, 40), rng.randint(50, 150)) for _ in range(300)]
-    s = lots.split_fills(fills_of(spark, rows), ["ts_ns", "n"], span_ns=20_000_000_000)
-    m = lots.lifo_matches(s, block_fills=16, fan=4) if lifo else lots.fifo_matches(s, span_ns=30_000_000_000, bucket=100.0)
+    s = lots.split_fills(fills_of(spark, rows), ["ts_ns", "n"], block_rows=4)
+    m = lots.lifo_matches(s, block_fills=16, fan=4) if lifo else lots.fifo_matches(s, block_rows=5)
     got = sorted((r.open_no, r.close_no, r.quantity, r.realized_pnl) for r in m.collect())
     assert got == queue_matches(rows, lifo)
     assert lots.inventory_violations(s, lots.open_lots(s, m)).count() == 0

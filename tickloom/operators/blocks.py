@@ -11,7 +11,8 @@ table is spread over as many tasks as it has blocks:
 * ``relay``       other path-dependent kernels, blocks exchange their exit state.
 
 Blocks derive from row values (time, quantity, position), never from task placement, so
-a recomputed task yields the same rows.
+a recomputed task yields the same rows. Where values may pile up, ``Rows`` bounds blocks by
+rows instead: ``row_blocks`` cuts each key at the quantiles of its rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.session import cut_lineage
 
@@ -36,11 +38,99 @@ def time_block(ts_ns: str | Column, span_ns: int = 7 * DAY_NS) -> Column:
     return F.floor((col - F.pmod(col, F.lit(span_ns))) / F.lit(span_ns)).cast("long")
 
 
+@dataclass(frozen=True)
+class Rows:
+    """In place of a block column: cut each key along the order into blocks of at most ``limit`` rows (``BLOCK_ROWS``)."""
+
+    limit: int | None = None
+
+
+#: Quantiles read from one sketch, the ranks they stand at, and the size of the sketch (a rank is off by some 0.1 %).
+PARTS = 256
+SKETCH = 2048
+
+
+def _axis(df: DataFrame, name: str) -> Column:
+    """A long or double that rises with the column; of strings, only the first seven bytes count."""
+    kind, col = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return col.cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("long")
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.substring(F.encode(col, "UTF-8"), 1, 7), 7, F.lit(bytes(1)))
+        return F.conv(F.hex(head), 16, 10).cast("long")
+    return col.cast("long")
+
+
+def _cuts(staged: DataFrame, group: Sequence[str], axes: Sequence[str], limit: int) -> DataFrame:
+    """For each group of over ``limit`` rows: where to cut (``_s``) the first axis that varies in it, and its hot values (``_h``)."""
+    ranks = f"array({', '.join(f'{i / PARTS}D' for i in range(1, PARTS))})"
+    kinds = {a: "bigint" if isinstance(staged.schema[a].dataType, T.LongType) else "double" for a in axes}
+    sketches = []
+    for a in axes:
+        usable = F.when(~F.isnan(a), F.col(a)) if kinds[a] == "double" else F.col(a)
+        sketches += [F.min(a).alias(f"_lo{a}"), F.max(a).alias(f"_hi{a}"), F.count(a).alias(f"_n{a}"), F.count(usable).alias(f"_k{a}"),
+                     F.call_function(f"kll_sketch_agg_{kinds[a]}", usable, F.lit(SKETCH)).alias(f"_q{a}")]
+    big = staged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *sketches).filter(F.col("_n") > limit)
+    step = F.greatest(F.lit(1), F.floor(F.lit(PARTS) / F.ceil(2.0 * F.col("_n") / limit))).cast("int")
+    seen, read = F.lit(False), {}
+    for a in axes:
+        varies = (F.col(f"_k{a}") > 0) & ((F.col(f"_lo{a}") < F.col(f"_hi{a}")) | (F.col(f"_n{a}") < F.col("_n")))
+        read[f"_s{a}"] = F.when(~seen & varies, F.expr(f"kll_sketch_get_quantile_{kinds[a]}(_q{a}, {ranks})"))
+        seen = seen | varies
+
+    def thinned(a: str) -> Column:
+        return F.transform(F.sequence(step, F.lit(PARTS - 1), step), lambda i: F.element_at(f"_s{a}", i))
+
+    def repeated(a: str) -> Column:
+        return F.array_distinct(F.filter(f"_s{a}", lambda v, i: (i > 0) & (F.get(f"_s{a}", i - 1) == v)))
+
+    cut = big.filter(seen).withColumns(read).withColumns({f"_s{a}": thinned(a) for a in axes})
+    cut = cut.withColumns({f"_h{a}": repeated(a) for a in axes}).withColumns({f"_s{a}": F.array_distinct(f"_s{a}") for a in axes})
+    return cut.select(*group, *[f"_{k}{a}" for a in axes for k in "sh"])
+
+
+def row_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Add ``_blk``, which rises along ``order`` within each key and holds at most ``limit`` rows of it.
+
+    A mergeable quantile sketch per key, built map-side, gives the cuts; only keys of over ``limit`` rows
+    get any, so their table has a few numbers per ``limit`` rows and Spark picks the join by its measured
+    size. A value that fills several quantiles becomes a block of its own. Blocks still too large are cut
+    again, a block of one value by the next column of ``order``, until all fit. Cuts are written to the
+    checkpoint folder, so a recomputed task meets the same ones. What is left over ``limit`` are rows alike in
+    all of ``order`` (strings: in their first seven bytes). Runs one small job per level: one where nothing is
+    over the limit, mostly two otherwise.
+    """
+    limit = BLOCK_ROWS if limit is None else limit
+    axes = [f"_o{i}" for i in range(len(order))]
+    staged = df.withColumns({a: _axis(df, c) for a, c in zip(axes, order)})
+    # zero, but not a literal, which the optimiser would drop from the partitioning
+    staged = staged.withColumn("_blk", F.pmod(F.xxhash64(axes[0]), F.lit(1)).cast("long"))
+    group = [*keys, "_blk"]
+    halves = F.array(*[F.lit(PARTS >> i) for i in range(1, PARTS.bit_length())])
+
+    def part(a: str) -> Column:
+        below = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.get(f"_s{a}", at + h - 1) <= F.col(a), at + h).otherwise(at))
+        return 2 * below - F.coalesce(F.array_contains(f"_h{a}", F.col(a)), F.lit(False)).cast("int")
+
+    while True:
+        cuts = cut_lineage(_cuts(staged, group, axes, limit))
+        if cuts.isEmpty():
+            return staged.drop(*axes)
+        cuts = cuts.withColumnsRenamed({c: f"_g{c}" for c in group})
+        # null keys are keys too
+        joined = staged.join(cuts, [F.col(c).eqNullSafe(F.col(f"_g{c}")) for c in group], "left")
+        staged = joined.withColumn("_blk", F.col("_blk") * (2 * PARTS) + sum((part(a) for a in axes), F.lit(0))).select(*staged.columns)
+
+
 def index_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    block: Column,
+    block: Column | Rows,
     out: str = "seq",
 ) -> DataFrame:
     """Add the 1-based position of each row within its key.
@@ -48,7 +138,7 @@ def index_rows(
     ``block`` must not decrease along ``order``. Only block counts meet in one place;
     rows are numbered inside their block and shifted by the rows before it.
     """
-    blocked = _placed(df, keys, block)
+    blocked = _placed(df, keys, block, order)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = _per_block(
         blocked, keys, [F.count(F.lit(1)).alias("_n")],
@@ -102,9 +192,9 @@ def rolling(
     return out.drop("_at", "_home")
 
 
-def _placed(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+def _placed(df: DataFrame, keys: Sequence[str], block: Column | Rows, order: Sequence[str | Column]) -> DataFrame:
     """Rows with their block number, shuffled once by (key, block)."""
-    staged = df.withColumn("_blk", block)
+    staged = row_blocks(df, keys, order, block.limit) if isinstance(block, Rows) else df.withColumn("_blk", block)
     return staged.repartition(*[F.col(k) for k in keys], F.col("_blk"))
 
 
@@ -150,7 +240,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | Rows,
     columns: dict[str, Running],
 ) -> DataFrame:
     """Add running columns over everything before (and at) each row.
@@ -160,7 +250,7 @@ def running(
     the same partitioning, so rows are shuffled once. ``last``/``first``
     skip nulls.
     """
-    staged = _placed(df.withColumns({f"_v_{n}": c.value for n, c in columns.items()}), keys, block)
+    staged = _placed(df.withColumns({f"_v_{n}": c.value for n, c in columns.items()}), keys, block, order)
     pos = F.struct(*order)
     inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nested = {f"_l_{n}": _NESTED[c.kind][0](f"_v_{n}").over(inside) for n, c in columns.items() if c.kind in _NESTED}

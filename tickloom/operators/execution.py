@@ -56,11 +56,11 @@ def shortfall(rolled: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     return out.withColumns({f"{c}_bps": F.col(c) * scale for c in ("delay_cost", "price_impact", "opportunity_cost", "fees", "total_shortfall")})
 
 
-def markouts(fills: DataFrame, quotes: DataFrame, horizon_ns: int, span_ns: int = blocks.DAY_NS) -> DataFrame:
+def markouts(fills: DataFrame, quotes: DataFrame, horizon_ns: int) -> DataFrame:
     """Mark-out bps of each fill against the first midpoint at or after fill time + horizon.
 
     Fills and quotes are merged on one time axis, mirrored so that "first after" becomes
-    "last before"; no range join, and a hot symbol spreads over its time blocks.
+    "last before"; no range join, and a hot symbol spreads over blocks of bounded rows.
     """
     f = fills.select("symbol", (F.col("ts_ns") + horizon_ns).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast("double").alias("_m"),
                      F.struct(*fills.columns).alias("_f"))
@@ -68,7 +68,7 @@ def markouts(fills: DataFrame, quotes: DataFrame, horizon_ns: int, span_ns: int
                       F.lit(None).cast(f.schema["_f"].dataType).alias("_f"))
     both = f.unionByName(q).withColumn("_r", -F.col("_t")).withColumn("_z", F.col("_k") * -1)
     # mirrored order; at equal times the quote precedes the fill
-    merged = blocks.running(both, ["symbol"], ["_r", "_z"], blocks.time_block("_r", span_ns), {"mid": Running("last", F.col("_m"))})
+    merged = blocks.running(both, ["symbol"], ["_r", "_z"], blocks.Rows(), {"mid": Running("last", F.col("_m"))})
     hit = merged.filter("_k = 0").select("_f.*", F.col("mid").alias("later_mid"))
     side = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
     return hit.withColumn("markout_bps", side * (F.col("later_mid") - F.col("price")) / F.col("price") * 10_000.0)
@@ -120,8 +120,7 @@ def heartbeat_report(beats: DataFrame, interval_s: float = 5.0, timeout_s: float
 
     The expected number is one above the highest sequence seen so far.
     """
-    blk = blocks.time_block("ts_ns")
-    run = blocks.running(beats, ["gateway"], ["ts_ns", "sequence"], blk, {
+    run = blocks.running(beats, ["gateway"], ["ts_ns", "sequence"], blocks.Rows(), {
         "_top": Running("max", F.col("sequence"), inclusive=False), "_prev": Running("last", F.col("ts_ns"), inclusive=False)})
     gap_s = (F.col("ts_ns") - F.col("_prev")) / 1e9
     misses = F.coalesce(F.floor(gap_s / interval_s), F.lit(0)).cast("long")

@@ -134,7 +134,7 @@ def quarantines(marked: DataFrame, order: Sequence[str], threshold: float = -2.0
     Three passes whatever the number of blocks: summaries, their composition per venue (one row a block), states.
     """
     base = marked.select("venue", "ts_ns", *[c for c in order if c != "ts_ns"], "markout_bps").filter(F.col("markout_bps").isNotNull())
-    rows = blocks.index_rows(base, ["venue"], list(order), blocks.time_block("ts_ns", blocks.DAY_NS)).withColumn("_blk", F.expr(f"(seq - 1) div {block_rows}"))
+    rows = blocks.index_rows(base, ["venue"], list(order), blocks.Rows()).withColumn("_blk", F.expr(f"(seq - 1) div {block_rows}"))
     venue = f"venue {base.schema['venue'].dataType.simpleString()}"
     shown = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
 

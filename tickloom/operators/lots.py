@@ -16,20 +16,20 @@ from pyspark.sql import functions as F
 from tickloom.functions import money
 from tickloom.operators import blocks
 from tickloom.operators.blocks import Running
+from tickloom.session import cut_lineage
 
 BOOK = ["portfolio_id", "symbol"]
 EPS = 1e-8
 
 
-def split_fills(fills: DataFrame, order: Sequence[str], span_ns: int = 90 * blocks.DAY_NS) -> DataFrame:
+def split_fills(fills: DataFrame, order: Sequence[str], block_rows: int | None = None) -> DataFrame:
     """Split each fill into the part that closes the running position and the part that opens.
 
     Adds fill_no (position in the book), pos_before, close_qty, open_qty, the side of the
     lots it closes and of the lot it opens.
     """
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    blk = blocks.time_block("ts_ns", span_ns)
-    run = blocks.running(fills.withColumn("_q", signed), BOOK, list(order), blk, {
+    run = blocks.running(fills.withColumn("_q", signed), BOOK, list(order), blocks.Rows(block_rows), {
         "pos_after": Running("sum", F.col("_q")), "fill_no": Running("count", F.col("_q"))})
     before = F.col("pos_after") - F.col("_q")
     against = F.col("_q") * before < 0
@@ -55,21 +55,21 @@ def _trades(matched: DataFrame) -> DataFrame:
         money.round_even(F.greatest((F.col("close_ns") - F.col("open_ns")) / 1e9, F.lit(0.0)), 1).alias("holding_seconds"))
 
 
-def fifo_matches(split: DataFrame, span_ns: int = 90 * blocks.DAY_NS, bucket: float = 100_000.0) -> DataFrame:
+def fifo_matches(split: DataFrame, block_rows: int | None = None) -> DataFrame:
     """First-in first-out matches without a loop or a range join.
 
     Opened and closed quantity each form a running axis per (book, lot side). Merging both
     sets of interval starts and carrying the last open and the last close along the
-    merged axis yields every overlap exactly once; a block of that axis is a quantity
-    bucket.
+    merged axis yields every overlap exactly once. Blocks are bounded by rows on both axes.
     """
     sides = split.select(*BOOK, "fill_no", "ts_ns", "price", F.explode(F.array(
         F.struct(F.lit("open").alias("kind"), F.col("open_side").alias("lot_side"), F.col("open_qty").alias("q")),
         F.struct(F.lit("close").alias("kind"), F.col("close_side").alias("lot_side"), F.col("close_qty").alias("q")))).alias("p"))
     legs = sides.select(*BOOK, "fill_no", "ts_ns", "price", "p.*").filter(F.col("q") > EPS)
     key = [*BOOK, "lot_side"]
-    axis = blocks.running(legs, [*key, "kind"], ["fill_no"], blocks.time_block("ts_ns", span_ns), {"hi": Running("sum", F.col("q"))})
-    axis = axis.withColumn("lo", F.col("hi") - F.col("q"))
+    axis = blocks.running(legs, [*key, "kind"], ["fill_no"], F.expr(f"fill_no div {block_rows or blocks.BLOCK_ROWS}"), {"hi": Running("sum", F.col("q"))})
+    # read twice below, for the cuts and for the scan
+    axis = cut_lineage(axis.withColumn("lo", F.col("hi") - F.col("q")))
     info = F.struct("fill_no", "ts_ns", "price", "hi")
     is_open = F.col("kind") == "open"
     # at equal starts the open row comes first, so the close row sees it
@@ -77,7 +77,7 @@ def fifo_matches(split: DataFrame, span_ns: int = 90 * blocks.DAY_NS, bucket: fl
                        F.when(is_open, info).alias("_o"), F.when(~is_open, info).alias("_c"))
     # starts that differ only by rounding stay together
     at = cuts.withColumn("_lo", F.round("lo", 8))
-    run = blocks.running(at, key, ["_lo", "_rank", "fill_no"], F.floor(F.col("_lo") / bucket).cast("long"), {
+    run = blocks.running(at, key, ["_lo", "_rank", "fill_no"], blocks.Rows(block_rows), {
         "o": Running("last", F.col("_o")), "c": Running("last", F.col("_c"))})
     ends = F.least("o.hi", "c.hi")
     pieces = run.withColumn("qty", ends - F.col("lo")).filter(
@@ -96,7 +96,6 @@ def lifo_matches(split: DataFrame, block_fills: int = 4096, fan: int = 16) -> Da
     Each level is one parallel pass; the number of levels is logarithmic in the fills of
     the longest book.
     """
-    from tickloom.session import cut_lineage
 
     legs = split.select(*BOOK, "fill_no", "ts_ns", "price", F.explode(F.array(
         F.struct(F.lit(0).alias("rank"), F.col("close_side").alias("lot_side"), F.col("close_qty").alias("q")),
@@ -213,10 +212,10 @@ def unbalanced(entries: DataFrame, tolerance: float = 1e-3) -> DataFrame:
         F.abs(F.col("debits") - F.col("credits")) > tolerance)
 
 
-def cash_balance(fills: DataFrame, order: Sequence[str], initial: float, span_ns: int = 90 * blocks.DAY_NS) -> DataFrame:
+def cash_balance(fills: DataFrame, order: Sequence[str], initial: float) -> DataFrame:
     """Running cash and margin debt per portfolio."""
     delta = F.when(F.col("side") == "BUY", -1.0).otherwise(1.0) * money.round_even(F.col("quantity") * F.col("price"), 4)
-    run = blocks.running(fills, ["portfolio_id"], list(order), blocks.time_block("ts_ns", span_ns), {"_c": Running("sum", delta)})
+    run = blocks.running(fills, ["portfolio_id"], list(order), blocks.Rows(), {"_c": Running("sum", delta)})
     return run.withColumn("cash", F.col("_c") + initial).withColumn("margin_debt", F.greatest(F.lit(0.0), -F.col("cash"))).drop("_c")
 
 

@@ -44,7 +44,7 @@ def novelty(articles: DataFrame, horizon_s: float = 7200.0, history: int = 2000)
     # without words an article is always new and never joins the history
     fresh = marked.filter((F.col("article_id") == F.col("_first")) & (F.size("words") > 0)).withColumn("_all", F.lit("a"))
     seq = blocks.index_rows(fresh.select("_all", "article_id", "available_ns", "words"), ["_all"], ["available_ns", "article_id"],
-                            blocks.time_block("available_ns"))
+                            blocks.Rows())
     home = F.expr(f"(seq - 1) div {history}")
     spread = seq.withColumn("_home", home).withColumn("_at", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
     horizon = int(horizon_s * 1e9)

@@ -194,8 +194,7 @@ def equity_with_floor(bar_returns: DataFrame, initial: float, floor: float = 1.0
     and is clamped to a tiny positive number, which the floor then covers.
     """
     factor = F.greatest(F.col("ret") + 1.0, F.lit(1e-12))
-    blk = blocks.time_block("ts_ns", 30 * blocks.DAY_NS)
-    run = blocks.running(bar_returns.withColumn("_all", F.lit("a")), ["_all"], ["ts_ns"], blk, {"_s": Running("sum_min", F.log(factor))})
+    run = blocks.running(bar_returns.withColumn("_all", F.lit("a")), ["_all"], ["ts_ns"], blocks.Rows(), {"_s": Running("sum_min", F.log(factor))})
     lift = F.greatest(F.lit(math.log(initial)), F.lit(math.log(floor)) - F.col("_s_ext"))
     return run.withColumn("equity", F.exp(F.col("_s") + lift)).drop("_all", "_s", "_s_ext")
 
@@ -220,7 +219,7 @@ def portfolio_ledger(positions: DataFrame, returns: DataFrame, costs: DataFrame,
         F.sum(F.col("_p") * F.col("ret")).alias("gross_pnl"), F.sum("dollars").alias("_net"), F.sum(F.abs("dollars")).alias("_gross"))
     net = bar.join(costs.select("ts_ns", F.col("cost").alias("friction")), "ts_ns", "left").fillna(0.0, ["friction"]).withColumn(
         "net_pnl", F.col("gross_pnl") - F.col("friction")).withColumn("_all", F.lit("a"))
-    run = blocks.running(net, ["_all"], ["ts_ns"], blocks.time_block("ts_ns", 30 * blocks.DAY_NS), {"_c": Running("sum_max", F.col("net_pnl"))})
+    run = blocks.running(net, ["_all"], ["ts_ns"], blocks.Rows(), {"_c": Running("sum_max", F.col("net_pnl"))})
     equity = F.col("_c") + initial
     return run.withColumns({"equity": equity, "peak": F.greatest(F.col("_c_ext") + initial, F.lit(initial))}).withColumns({
         "cash": F.col("equity") - F.col("_net"), "drawdown": _clip((F.col("peak") - F.col("equity")) / F.col("peak"), 0.0, 1.0),

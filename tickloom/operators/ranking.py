@@ -94,12 +94,12 @@ def pareto_ranks(population: DataFrame, objectives: Sequence[str], id_col: str =
     return population.join(ranked, id_col)
 
 
-def crowding(ranked: DataFrame, objectives: Sequence[str], id_col: str = "id", block: Column | None = None) -> DataFrame:
+def crowding(ranked: DataFrame, objectives: Sequence[str], id_col: str = "id") -> DataFrame:
     """Crowding distance inside each front: infinite at the ends, neighbour gap over range else."""
     long = ranked.select("rank", id_col, F.explode(F.create_map(*[x for o in objectives for x in (F.lit(o), F.col(o).cast("double"))])).alias("objective", "v"))
     spans = long.groupBy("rank", "objective").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     key = ["rank", "objective"]
-    seq = blocks.index_rows(long, key, ["v", id_col], F.floor(F.asinh(F.col("v") * 1e6) * 64.0).cast("long"))
+    seq = blocks.index_rows(long, key, ["v", id_col], blocks.Rows())
     near = blocks.rolling(seq, key, lambda f: {"_a": F.max("v").over(f(-1, -1)), "_z": F.max("v").over(f(1, 1))}, back=1, ahead=1)
     j = near.join(spans, key)
     inf = F.lit(float("inf"))
@@ -124,7 +124,7 @@ def _distance_sum(points: DataFrame, elites: DataFrame, col: str, scale: float,
     both = points.select(id_col, F.col(col).alias("_x"), F.lit(1).alias("_k"), F.lit(0.0).alias("_e"), F.lit(0).alias("_one")).unionByName(
         elites.select(F.lit(None).cast(points.schema[id_col].dataType).alias(id_col), F.col(col).alias("_x"), F.lit(0).alias("_k"),
                       F.col(col).alias("_e"), F.lit(1).alias("_one"))).withColumn("_all", F.lit("a"))
-    run = blocks.running(both, ["_all"], ["_x", "_k"], F.floor(F.col("_x") / scale).cast("long"), {
+    run = blocks.running(both, ["_all"], ["_x", "_k"], blocks.Rows(), {
         "_s": Running("sum", F.col("_e")), "_n": Running("sum", F.col("_one"))})
     j = run.filter("_k = 1").withColumns({"_ts": elites.agg(F.sum(col)).scalar(), "_tn": elites.agg(F.count(F.lit(1))).scalar()})
     x = F.col("_x")
@@ -175,7 +175,7 @@ def cohort_split(ranked: DataFrame, alpha: float = 0.2, id_col: str = "id") -> D
     """
     viable = ranked.filter(F.col("feasible") & (F.col("dsr") >= 0.5)).withColumn("_all", F.lit("a"))
     room = viable.agg(F.greatest(F.lit(1), F.ceil(F.lit(alpha) * F.count(F.lit(1)))) - F.count(F.when(F.col("rank") == 1, 1))).scalar()
-    second = blocks.index_rows(viable.filter("rank = 2"), ["_all"], ["score", id_col], F.floor(F.asinh(F.col("score") * 1e6) * 64.0).cast("long"), out="_r")
+    second = blocks.index_rows(viable.filter("rank = 2"), ["_all"], ["score", id_col], blocks.Rows(), out="_r")
     chosen = second.filter(F.col("_r") <= room).select(id_col, F.lit(True).alias("_in"))
     j = viable.join(chosen, id_col, "left")
     return j.select(id_col, "rank", F.when((F.col("rank") == 1) | F.coalesce("_in", F.lit(False)), "ALPHA").otherwise("ASPIRANT").alias("cohort"))

@@ -23,12 +23,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
 
     Values are first counted per (key, value), which combines map-side, so a value that
     fills a third of the rows is one row afterwards. Ranks come from a block scan over
-    the counted values; a block is a slice of the value axis. The order statistics next
+    the counted values, in blocks bounded by rows. The order statistics next
     to each rank are then picked by conditional aggregates. No task sorts a whole key.
     """
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).filter(F.col(value).isNotNull())
-    slice_ = F.floor(F.asinh(F.col(value) * 1e6) * 64.0).cast("long")
-    ranked = blocks.running(counted, keys, [value], slice_, {"_before": Running("sum", F.col("_c"), inclusive=False)})
+    ranked = blocks.running(counted, keys, [value], blocks.Rows(), {"_before": Running("sum", F.col("_c"), inclusive=False)})
     ranked = ranked.withColumn("_before", F.coalesce("_before", F.lit(0)))
     totals = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     joined = ranked.join(totals, list(keys))
@@ -122,11 +121,11 @@ def deflated_sharpe(mom: DataFrame, trials: Column, var_trials: Column, mean_tri
 def fdr_adjust(tests: DataFrame, p: str, id_col: str, method: str = "bh", q: float = 0.05) -> DataFrame:
     """Benjamini–Hochberg or –Yekutieli adjustment over the whole table.
 
-    Ranks come from a block scan along the p axis. The reverse running minimum runs on
+    Ranks come from a block scan along the p axis, ties in p by id. The reverse running minimum runs on
     the mirrored rank, again block by block. The harmonic constant sums 1/rank.
     """
     keyed = tests.withColumn("_all", F.lit(0))
-    ranked = blocks.index_rows(keyed, ["_all"], [p, id_col], F.floor(F.col(p) * 1024).cast("long"), out="rank")
+    ranked = blocks.index_rows(keyed, ["_all"], [p, id_col], blocks.Rows(), out="rank")
     scale = tests.agg(F.count(F.lit(1)).cast("double")).scalar()
     if method == "by":
         scale = scale * ranked.agg(F.sum(1.0 / F.col("rank"))).scalar()

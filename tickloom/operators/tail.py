@@ -43,8 +43,7 @@ def gpd_fit(excess: DataFrame, keys: Sequence[str], low: float = 0.001, high: fl
     value axis gives; tied values may swap ranks without changing the sums.
     A fit with infinite variance has status HALT and no parameters.
     """
-    axis = F.floor(F.asinh(F.col("excess") * 1e6) * 64.0).cast("long")
-    ranked = blocks.index_rows(excess, keys, ["excess"], axis, out="_i")
+    ranked = blocks.index_rows(excess, keys, ["excess"], blocks.Rows(), out="_i")
     size = excess.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_u"))
     j = ranked.join(size, list(keys))
     nu, i, y = F.col("n_u"), F.col("_i"), F.col("excess")

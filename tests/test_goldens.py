@@ -225,6 +225,12 @@ def test_regime_rows(spark):
     cut = kernels.regime_filter(r, ["a", "b"], span_ns=20 * DAY).orderBy("ts_ns").toPandas()
     cols = ["p_calm", "p_trend", "p_panic"]
     assert len(one) == 90 and np.allclose(one[cols].sum(axis=1), 1.0) and np.allclose(one[cols], cut[cols], atol=1e-6)
+    x = np.array([v for _, _, v in rows]).reshape(2, 90)
+    size = np.minimum(np.arange(1, 91), 60) * one[cols].max(axis=1)
+    heat = np.maximum(x.std(axis=0), 1e-4) * np.sqrt(np.log(100.0) / np.maximum(size, 2.0))
+    assert np.allclose(one["effective_sample_size"], size) and np.allclose(one["temperature"], np.clip(heat, 1e-4, 10.0))
+    tight = kernels.regime_filter(r, ["a", "b"], temperatures=(0.002, 0.003)).toPandas()["temperature"]
+    assert tight.min() >= 0.002 and tight.max() <= 0.003
 
 
 def test_tiers_step_down_after_dwell(spark):
@@ -233,8 +239,8 @@ def test_tiers_step_down_after_dwell(spark):
     d = spark.createDataFrame(rows, "book string, ts_ns long, shock double, haircut double, panic boolean")
     want = ["NORMAL"] + ["HALT"] * 5 + ["DERISK"] * 5
     bars = [1, 1, 2, 3, 4, 5, 1, 2, 3, 4, 5]
-    for span in (2 * DAY, 100 * DAY):
-        got = kernels.tier_hysteresis(d, span_ns=span).orderBy("ts_ns").collect()
+    for size in (2, 1000):
+        got = kernels.tier_hysteresis(d, block_rows=size).orderBy("ts_ns").collect()
         assert [r.tier for r in got] == want and [r.bars_in_tier for r in got] == bars
 
 

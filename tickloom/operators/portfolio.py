@@ -65,17 +65,17 @@ def breakout_signals(bars: DataFrame, n_symbols: int, max_leverage: float = 1.0,
         F.round(F.greatest(F.lit(0.01), atr * 2.0), 4).alias("stop_loss_pct"), F.round(F.greatest(F.lit(0.02), atr * 3.5), 4).alias("take_profit_pct"))
 
 
-def pairs_signals(bars: DataFrame, y: str, x: str, lookback: int = 60, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, max_leverage: float = 1.0) -> DataFrame:
-    """Kalman pairs: z-score bands with a carried position.
+def pairs_signals(bars: DataFrame, pairs: Sequence[tuple[str, str]], lookback: int = 60, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, max_leverage: float = 1.0) -> DataFrame:
+    """Kalman pairs: per pair (y, x), z-score bands with a carried position.
 
     The position is the last decision made (entry, exit or stop), carried forward over
     the bars between the bands.
     """
-    k = kernels.kalman_hedge(bars, y, x)
-    z = series.rolling_z(k.withColumn("symbol", F.lit(f"{y}/{x}")), "spread", lookback)
+    k = kernels.kalman_hedges(bars, pairs)
+    z = series.rolling_z(k, "spread", lookback, keys=["y", "x"])
     zc = F.col("z")
     decided = F.when(F.abs(zc) >= stop, 0).when(zc >= entry, -1).when(zc <= -entry, 1).when(F.abs(zc) <= leave, 0)
-    held = blocks.running(z.withColumn("_d", decided), ["symbol"], ["ts_ns"], blocks.time_block("ts_ns"), {"position": Running("last", F.col("_d"))})
+    held = blocks.running(z.withColumn("_d", decided), ["y", "x"], ["ts_ns"], blocks.time_block("ts_ns"), {"position": Running("last", F.col("_d"))})
     pos = F.coalesce("position", F.lit(0))
     ratio = F.when(F.col("y_price") > 0, F.col("x_price") / F.greatest("y_price", F.lit(1e-6))).otherwise(1.0)
     beta = F.greatest(F.lit(0.01), F.abs("beta") * ratio)
@@ -83,7 +83,7 @@ def pairs_signals(bars: DataFrame, y: str, x: str, lookback: int = 60, entry: fl
     wx = -pos * F.when(F.col("beta") >= 0, 1.0).otherwise(-1.0) * max_leverage * beta / (1.0 + beta)
     fresh = F.abs(zc) >= entry
     conv = F.when(pos == 0, 0.0).when(fresh, 0.5 + 0.5 * F.least(F.lit(1.0), (F.abs(zc) - entry) / 2.0)).otherwise(0.5)
-    return held.select("ts_ns", "z", "alpha", "beta", pos.alias("position"), wy.alias("weight_y"), wx.alias("weight_x"), conv.alias("conviction"))
+    return held.select("y", "x", "ts_ns", "z", "alpha", "beta", pos.alias("position"), wy.alias("weight_y"), wx.alias("weight_x"), conv.alias("conviction"))
 
 
 def sentiment_signals(grid: DataFrame, events: DataFrame, threshold: float = 0.15, fast_s: float = 7200.0, max_leverage: float = 1.0,

@@ -39,20 +39,31 @@ def _(spark, d):
     return s.select("symbol", "ts_ns", "direction", (F.col("target_weight") + F.lit(0.0)).alias("target_weight"))
 
 
-@query("pairs_signals")
+PAIRS = [(y, x) for i, y in enumerate(U) for x in U[i + 1:]]
+KALMAN = f"""{S.bars()}, p AS (SELECT y.symbol AS sy, x.symbol AS sx, y.ts_ns, y.close AS y, x.close AS x, row_number() OVER (PARTITION BY y.symbol, x.symbol ORDER BY y.ts_ns) AS n
+  FROM bars y JOIN bars x ON y.ts_ns = x.ts_ns AND y.symbol < x.symbol),
+run AS (SELECT DISTINCT sy, sx, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ts_ns, 0.0::DOUBLE AS y, 0.0::DOUBLE AS x, 0.0::DOUBLE AS e, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS p0, 0.0::DOUBLE AS p1, 1.0::DOUBLE AS p2 FROM p
+  UNION ALL SELECT sy, sx, n, ts_ns, y, x, e, a + (q0 + p1 * x) / f * e, b + (p1 + q2 * x) / f * e, q0 - pow(q0 + p1 * x, 2) / f, p1 - (q0 + p1 * x) * (p1 + q2 * x) / f, q2 - pow(p1 + q2 * x, 2) / f
+  FROM (SELECT *, greatest(q0 + 2 * p1 * x + q2 * x * x + 1e-3, 1e-8) AS f FROM (
+    SELECT p.sy, p.sx, p.n, p.ts_ns, p.y, p.x, p.y - (a + b * p.x) AS e, a, b, p0 + 1e-4 / (1 - 1e-4) AS q0, p1, p2 + 1e-4 / (1 - 1e-4) AS q2 FROM run JOIN p ON p.sy = run.sy AND p.sx = run.sx AND p.n = run.n + 1)))"""
+
+
+@query("pairs_signals", f"""WITH RECURSIVE {KALMAN},
+z AS (SELECT *, (e - avg(e) OVER w) / greatest(stddev_pop(e) OVER w, 1e-6) AS z FROM run WHERE n > 0 WINDOW w AS (PARTITION BY sy, sx ORDER BY ts_ns ROWS 59 PRECEDING)),
+d AS (SELECT *, CASE WHEN abs(z) >= 4 THEN 0 WHEN z >= 2 THEN -1 WHEN z <= -2 THEN 1 WHEN abs(z) <= 0.5 THEN 0 END AS d, greatest(0.01, abs(b) * x / y) AS beta FROM z),
+h AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY sy, sx ORDER BY ts_ns), 0)::INT AS pos FROM d)
+SELECT sy AS y, sx AS x, ts_ns, round(z, 6) AS z, round(a, 6) AS alpha, round(b, 6) AS beta, pos AS position, round(pos / (1.0 + beta), 6) AS weight_y,
+  round(-pos * CASE WHEN b >= 0 THEN 1 ELSE -1 END * beta / (1.0 + beta), 6) AS weight_x,
+  round(CASE WHEN pos = 0 THEN 0 WHEN abs(z) >= 2 THEN 0.5 + 0.5 * least(1, (abs(z) - 2) / 2) ELSE 0.5 END, 6)::DOUBLE AS conviction FROM h""")
 def _(spark, d):
-    return portfolio.pairs_signals(fx.bars(spark, d), "click", "view")
+    """Every pair of the universe."""
+    return rounded(portfolio.pairs_signals(fx.bars(spark, d), PAIRS), 6, "z", "alpha", "beta", "weight_y", "weight_x", "conviction")
 
 
-@query("kalman_hedge", f"""WITH RECURSIVE {S.bars()}, p AS (SELECT y.ts_ns, y.close AS y, x.close AS x, row_number() OVER (ORDER BY y.ts_ns) AS n
-  FROM bars y JOIN bars x ON y.ts_ns = x.ts_ns AND y.symbol = 'click' AND x.symbol = 'view'),
-run AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ts_ns, 0.0::DOUBLE AS y, 0.0::DOUBLE AS x, 0.0::DOUBLE AS e, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS p0, 0.0::DOUBLE AS p1, 1.0::DOUBLE AS p2
-  UNION ALL SELECT n, ts_ns, y, x, e, a + (q0 + p1 * x) / f * e, b + (p1 + q2 * x) / f * e, q0 - pow(q0 + p1 * x, 2) / f, p1 - (q0 + p1 * x) * (p1 + q2 * x) / f, q2 - pow(p1 + q2 * x, 2) / f
-  FROM (SELECT *, greatest(q0 + 2 * p1 * x + q2 * x * x + 1e-3, 1e-8) AS f FROM (
-    SELECT p.n, p.ts_ns, p.y, p.x, p.y - (a + b * p.x) AS e, a, b, p0 + 1e-4 / (1 - 1e-4) AS q0, p1, p2 + 1e-4 / (1 - 1e-4) AS q2 FROM run JOIN p ON p.n = run.n + 1)))
-SELECT ts_ns, y AS y_price, x AS x_price, round(e, 6) AS spread, round(a, 6) AS alpha, round(b, 6) AS beta FROM run WHERE n > 0""")
+@query("kalman_hedge", f"""WITH RECURSIVE {KALMAN}
+SELECT sy AS y, sx AS x, ts_ns, y AS y_price, x AS x_price, round(e, 6) AS spread, round(a, 6) AS alpha, round(b, 6) AS beta FROM run WHERE n > 0""")
 def _(spark, d):
-    return rounded(kernels.kalman_hedge(fx.bars(spark, d), "click", "view"), 6, "spread", "alpha", "beta")
+    return rounded(kernels.kalman_hedges(fx.bars(spark, d), PAIRS), 6, "spread", "alpha", "beta")
 
 
 def sentiment_events(spark, d):
@@ -333,7 +344,7 @@ def _(spark, d):
 
 @query("regime_filter")
 def _(spark, d):
-    return rounded(kernels.regime_filter(small_returns(spark, d), U), 6, "p_calm", "p_trend", "p_panic")
+    return rounded(kernels.regime_filter(small_returns(spark, d), U), 6, "p_calm", "p_trend", "p_panic", "effective_sample_size", "temperature")
 
 
 @query("shrunk_covariance")

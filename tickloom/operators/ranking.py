@@ -171,14 +171,21 @@ def cohort_split(ranked: DataFrame, alpha: float = 0.2, id_col: str = "id") -> D
     """Viable candidates as ALPHA or ASPIRANT.
 
     Front 1 is ALPHA; when it is short of ceil(α·n), the best scores (lowest) of front 2
-    fill it up.
+    fill it up. If no candidate has a front (``rank`` null throughout), the highest ``dsr`` are ALPHA.
+    Where that leaves no ASPIRANT, every candidate is in both cohorts. Ties go to the smaller id;
+    without viable candidates there are no rows.
     """
-    viable = ranked.filter(F.col("feasible") & (F.col("dsr") >= 0.5)).withColumn("_all", F.lit("a"))
+    viable = ranked.filter(F.col("feasible") & (F.col("dsr") >= 0.5) & ~F.isnan("dsr")).withColumn("_all", F.lit("a"))
+    fronts = ranked.agg(F.count("rank")).scalar() > 0
     room = viable.agg(F.greatest(F.lit(1), F.ceil(F.lit(alpha) * F.count(F.lit(1)))) - F.count(F.when(F.col("rank") == 1, 1))).scalar()
-    second = blocks.index_rows(viable.filter("rank = 2"), ["_all"], ["score", id_col], blocks.Rows(), out="_r")
-    chosen = second.filter(F.col("_r") <= room).select(id_col, F.lit(True).alias("_in"))
-    j = viable.join(chosen, id_col, "left")
-    return j.select(id_col, "rank", F.when((F.col("rank") == 1) | F.coalesce("_in", F.lit(False)), "ALPHA").otherwise("ASPIRANT").alias("cohort"))
+    spare = viable.filter((F.col("rank") == 2) | ~fronts).withColumn("_o", F.when(fronts, F.col("score")).otherwise(-F.col("dsr")))
+    filled = blocks.index_rows(spare, ["_all"], ["_o", id_col], blocks.Rows(), out="_r")
+    chosen = filled.filter(F.col("_r") <= room).select(id_col, F.lit(True).alias("_in"))
+    first = F.coalesce(F.col("rank") == 1, F.lit(False))
+    j = viable.join(chosen, id_col, "left").select(id_col, "rank", (first | F.coalesce("_in", F.lit(False))).alias("_top"))
+    alone = j.agg(F.count(F.when(~F.col("_top"), 1))).scalar() == 0
+    cohorts = F.when(alone, F.array(F.lit("ALPHA"), F.lit("ASPIRANT"))).otherwise(F.array(F.when(F.col("_top"), "ALPHA").otherwise("ASPIRANT")))
+    return j.select(id_col, "rank", F.explode(cohorts).alias("cohort"))
 
 
 def phenotype_distance(a: Column, b: Column, bounds: Sequence[tuple[float, float]]) -> Column:

@@ -24,12 +24,38 @@ def sequenced(bars: DataFrame, span_ns: int = 7 * blocks.DAY_NS, keys: Sequence[
     return blocks.index_rows(bars, keys, ["ts_ns"], blocks.time_block("ts_ns", span_ns))
 
 
-def aligned_prices(bars: DataFrame, universe: Sequence[str], field: str = "adj_close") -> DataFrame:
+# The prices a return may be taken of, and its kinds.
+PRICE_FIELDS = ("adj_close", "close", "open", "high", "low", "vwap")
+RETURN_KINDS = ("simple", "log")
+
+
+def in_range(bars: DataFrame, resolution: str | None = None, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+    """Bars of one resolution in a closed range of time; what is None does not restrict."""
+    if start_ns is not None and end_ns is not None and start_ns > end_ns:
+        raise ValueError("start_ns exceeds end_ns")
+    wanted = [F.col(c) == v if how == "=" else F.col(c) >= v if how == ">" else F.col(c) <= v
+              for c, how, v in (("resolution", "=", resolution), ("ts_ns", ">", start_ns), ("ts_ns", "<", end_ns)) if v is not None]
+    for condition in wanted:
+        bars = bars.filter(condition)
+    return bars
+
+
+def aligned_prices(
+    bars: DataFrame, universe: Sequence[str], field: str = "adj_close",
+    resolution: str | None = None, start_ns: int | None = None, end_ns: int | None = None,
+) -> DataFrame:
     """The grid of all timestamps times the universe with the usable price, else null.
 
     Non-positive and non-finite prices count as missing, their timestamp stays in the
-    grid. The grid comes from exploding the universe list, not from a join.
+    grid. The grid comes from exploding the universe list, not from a join. A symbol
+    listed twice counts once; timestamps are those of the universe within the range.
     """
+    universe = list(dict.fromkeys(universe))
+    if not universe or not all(isinstance(s, str) and s for s in universe):
+        raise ValueError("the universe must be names, at least one")
+    if field not in PRICE_FIELDS:
+        raise ValueError(f"field must be one of {PRICE_FIELDS}")
+    bars = in_range(bars, resolution, start_ns, end_ns)
     price = F.coalesce(F.nullif(F.col(field), F.lit(0.0)), F.col("close"))
     inside = bars.filter(F.col("symbol").isin(list(universe)))
     # of several bars with one key, say of two resolutions, the largest price stands, whatever their order
@@ -45,14 +71,17 @@ def aligned_prices(bars: DataFrame, universe: Sequence[str], field: str = "adj_c
 
 def aligned_returns(
     bars: DataFrame, universe: Sequence[str], field: str = "adj_close", kind: str = "simple",
-    span_ns: int = 7 * blocks.DAY_NS,
+    span_ns: int = 7 * blocks.DAY_NS, resolution: str | None = None, start_ns: int | None = None, end_ns: int | None = None,
 ) -> DataFrame:
     """Long (symbol, ts_ns, ret): causal forward fill, never back-fill, 0.0 when a side is missing.
 
     The filled price at a row and at the row before are the last non-null price up to and
-    strictly before it, so one pass gives both. The first timestamp is dropped.
+    strictly before it, so one pass gives both. The first timestamp is dropped, also that of a range:
+    prices before the range are not looked at.
     """
-    grid = aligned_prices(bars, universe, field)
+    if kind not in RETURN_KINDS:
+        raise ValueError(f"kind must be one of {RETURN_KINDS}")
+    grid = aligned_prices(bars, universe, field, resolution, start_ns, end_ns)
     filled = blocks.running(grid, KEY, ["ts_ns"], blocks.time_block("ts_ns", span_ns), {
         "now": Running("last", F.col("price")),
         "before": Running("last", F.col("price"), inclusive=False),

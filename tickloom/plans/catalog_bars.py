@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import quality, scan
 from tickloom.plans import sqltext as S
+from tickloom.session import workspace
 from tickloom.sources import bars as src
 from tickloom.sources import fixtures as fx
 
@@ -63,6 +64,26 @@ def _(spark, d):
     return src.upsert(old, new, ["symbol", "resolution", "ts_ns"])
 
 
+STORED = (1704412800000000000, 1706054400000000000)
+
+
+@query("stored_range_scan", f"""WITH {S.bars()}, u AS (
+  SELECT symbol, ts_ns, close, 1 AS b FROM bars
+  UNION ALL SELECT symbol, ts_ns, close * 2, 2 FROM bars WHERE (ts_ns // {H}) % 3 = 0
+  UNION ALL SELECT symbol, ts_ns + 1, close, 2 FROM bars WHERE (ts_ns // {H}) % 4 = 0)
+SELECT symbol, ts_ns, close, CAST(b AS BIGINT) AS batch_seq FROM u WHERE ts_ns BETWEEN {STORED[0]} AND {STORED[1]}
+QUALIFY row_number() OVER (PARTITION BY symbol, ts_ns ORDER BY b DESC) = 1""")
+def _(spark, d):
+    """Two resolutions stored, hourly bars merged in, then a closed range of hourly bars read back."""
+    hourly, daily = fx.bars(spark, d), fx.bars(spark, d, 24 * H)
+    path = workspace(spark, "bars")
+    src.write_bars(hourly.unionByName(daily).withColumn("batch_seq", F.lit(1).cast("long")), path)
+    again = hourly.filter(_n() % 3 == 0).withColumn("close", F.col("close") * 2)
+    late = hourly.filter(_n() % 4 == 0).withColumn("ts_ns", F.col("ts_ns") + 1)
+    src.upsert_bars(spark, path, again.unionByName(late).withColumn("batch_seq", F.lit(2).cast("long")))
+    return src.stored_bars(spark, path, "1h", *STORED).select("symbol", "ts_ns", "close", "batch_seq")
+
+
 def chart_payloads(spark: SparkSession, d: str) -> DataFrame:
     """One chart payload per symbol and day, with nulls, repeats and narrow ranges."""
     n = _n()

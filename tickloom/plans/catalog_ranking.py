@@ -127,6 +127,15 @@ def _(spark, d):
     return ranking.cohort_split(p, 0.4)
 
 
+@query("cohort_split_unranked", """WITH v AS (SELECT p_partkey AS id, p_retailprice / 1500 AS dsr FROM part WHERE p_partkey % 9 <> 0 AND p_retailprice / 1500 >= 0.5)
+SELECT id, CAST(NULL AS BIGINT) AS rank, CASE WHEN row_number() OVER (ORDER BY dsr DESC, id) <= greatest(1, ceil(0.2 * (SELECT count(*) FROM v))) THEN 'ALPHA' ELSE 'ASPIRANT' END AS cohort FROM v""")
+def _(spark, d):
+    """Without any front the best ratios lead."""
+    k = F.col("p_partkey")
+    return ranking.cohort_split(fx.table(spark, d, "part").select(
+        k.alias("id"), F.lit(None).cast("long").alias("rank"), (F.col("p_retailprice") / 1500).alias("dsr"), (k % 9 != 0).alias("feasible"), F.lit(None).cast("double").alias("score")))
+
+
 @query("phenotype_distance", """WITH g AS (SELECT p_partkey AS id, p_brand, [p_size::DOUBLE, p_retailprice] AS g FROM part), f AS (SELECT p_brand, arg_min(g, id) AS e FROM g GROUP BY 1)
 SELECT id, round(sqrt((pow(least(1, greatest(0, (g[1] - 5) / 40)) - least(1, greatest(0, (e[1] - 5) / 40)), 2) + pow(least(1, greatest(0, (g[2] - 900) / 500)) - least(1, greatest(0, (e[2] - 900) / 500)), 2)) / 2), 6) AS distance FROM g JOIN f USING (p_brand)""")
 def _(spark, d):

@@ -63,6 +63,17 @@ def _(spark, d):
     return rounded(series.aligned_returns(order_prices(spark, d), SPARSE, field="close", span_ns=90 * 86_400_000_000_000), 6, "ret")
 
 
+RANGE = (1704456000000000000, 1705968000000000000)
+
+
+@query("aligned_returns_ranged", f"""WITH {S.aligned().replace("FROM events", f"FROM events WHERE epoch_us(ts) * 1000 // {H} * {H} BETWEEN {RANGE[0]} AND {RANGE[1]}")}
+SELECT symbol, ts_ns, round(ret, 6) AS ret FROM aligned""")
+def _(spark, d):
+    """Hourly returns of a closed range, out of hourly and daily bars."""
+    both = fx.historical_bars(spark, d).unionByName(fx.historical_bars(spark, d, 24 * H))
+    return rounded(series.aligned_returns(both, U, resolution="1h", start_ns=RANGE[0], end_ns=RANGE[1]), 6, "ret")
+
+
 @query("aligned_matrix", f"""WITH {S.aligned()} SELECT ts_ns, {', '.join(f"round(max(ret) FILTER (symbol = '{s}'), 6) AS {s}" for s in U)}
 FROM aligned GROUP BY 1""")
 def _(spark, d):

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tickloom.functions import text
@@ -13,6 +10,7 @@ from tickloom.plans import sqltext as S
 from tickloom.plans.catalog_news import WS
 from tickloom.plans.catalog_portfolio import CUSUM_RUN
 from tickloom.plans.catalog_series import FFD_W, ffd_weights, rounded
+from tickloom.session import workspace
 from tickloom.sources import feeds
 from tickloom.sources import fixtures as fx
 from tickloom.streaming import ops, sinks
@@ -30,16 +28,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def workspace(spark) -> str:
-    """A new folder: on a cluster under the shared checkpoint folder, else a local temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="spark-stream-")
-
-
 def source(spark, d, name):
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)

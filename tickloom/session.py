@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return df.checkpoint(eager=True)
+
+
+def workspace(spark: SparkSession, prefix: str = "stream") -> str:
+    """A new folder: on a cluster under the shared checkpoint folder, else a local temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix=f"spark-{prefix}-")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.quality import bar_violations
+from tickloom.session import cut_lineage
 
 BAR_FIELDS = ["open", "high", "low", "close", "volume", "vwap"]
 
@@ -180,33 +181,49 @@ def first_provider(bars: DataFrame) -> DataFrame:
     return ranked.join(best, ["symbol", "_rank"], "left_semi").drop("_rank")
 
 
-def write_bars(bars: DataFrame, path: str, buckets: int = 64) -> None:
-    """Store bars partitioned by resolution and time slice, sorted for row-group skipping.
+#: Days of one stored partition.
+SLICE_DAYS = 30
+PARTS = ["resolution", "slice"]
 
-    Rows are placed by (slice, symbol hash), so one heavy symbol spreads over its slices.
-    """
-    day = F.expr("cast(ts_ns div 86400000000000 as bigint)")
-    (
-        bars.withColumn("slice", F.expr("cast((ts_ns div 86400000000000) div 30 as bigint)"))
-        .repartition(buckets, "resolution", "slice", day, "symbol")
-        .sortWithinPartitions("resolution", "slice", "symbol", "ts_ns")
-        .write.mode("overwrite").partitionBy("resolution", "slice").parquet(path)
-    )
+
+def slice_of(ts_ns: str | Column) -> Column:
+    """The stored partition of a time: whole runs of ``SLICE_DAYS`` days since the epoch."""
+    return F.call_function("div", F.col(ts_ns) if isinstance(ts_ns, str) else ts_ns, F.lit(SLICE_DAYS * 86_400_000_000_000))
+
+
+def _store(sliced: DataFrame, path: str, mode: str) -> None:
+    """Write sorted row ranges: few files a partition, and a heavy symbol spreads over its times."""
+    placed = sliced.repartitionByRange(*PARTS, "symbol", "ts_ns").sortWithinPartitions(*PARTS, "symbol", "ts_ns")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*PARTS).parquet(path)
+
+
+def write_bars(bars: DataFrame, path: str) -> None:
+    """Store bars partitioned by resolution and time slice, sorted by symbol and time for row-group skipping."""
+    _store(bars.withColumn("slice", slice_of("ts_ns")), path, "static")
+
+
+def stored_bars(spark: SparkSession, path: str, resolution: str | None = None, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+    """Stored bars of one resolution in a closed range of time: only the partitions it touches are listed and read."""
+    if start_ns is not None and end_ns is not None and start_ns > end_ns:
+        raise ValueError("start_ns exceeds end_ns")
+    found = spark.read.parquet(path)
+    if resolution is not None:
+        found = found.filter(F.col("resolution") == resolution)
+    if start_ns is not None:
+        found = found.filter((F.col("slice") >= slice_of(F.lit(start_ns))) & (F.col("ts_ns") >= start_ns))
+    if end_ns is not None:
+        found = found.filter((F.col("slice") <= slice_of(F.lit(end_ns))) & (F.col("ts_ns") <= end_ns))
+    return found.drop("slice")
 
 
 def upsert_bars(spark: SparkSession, path: str, incoming: DataFrame, version: str = "batch_seq") -> None:
-    """Rewrite only the partitions the incoming rows touch."""
-    inc = incoming.withColumn("slice", F.expr("cast((ts_ns div 86400000000000) div 30 as bigint)"))
-    touched = inc.select("resolution", "slice").distinct()
-    current = spark.read.parquet(path).join(touched, ["resolution", "slice"], "left_semi")
-    merged = upsert(current.select(*inc.columns), inc, ["symbol", "resolution", "ts_ns"], version)
-    from tickloom.session import cut_lineage
-
-    (
-        cut_lineage(merged).repartition("resolution", "slice").sortWithinPartitions("symbol", "ts_ns")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("resolution", "slice").parquet(path)
-    )
+    """Merge bars into the store; only partitions that incoming rows touch are rewritten, after the merge is safe in the checkpoint folder."""
+    # held once: the merge and the list of partitions must see the same rows
+    inc = cut_lineage(incoming.withColumn("slice", slice_of("ts_ns")))
+    touched = inc.select(*PARTS).distinct()
+    current = spark.read.parquet(path).join(touched, PARTS, "left_semi")
+    merged = upsert(current.select(*inc.columns), inc, ["symbol", *PARTS, "ts_ns"], version)
+    _store(cut_lineage(merged), path, "dynamic")
 
 
 def latest_macro(observations: DataFrame, defaults: DataFrame) -> DataFrame:

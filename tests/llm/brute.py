@@ -109,3 +109,49 @@ def targets(sizes):
             left -= out[s]
             open_.remove(s)
     return out
+
+
+def quartile_bins(values, tail, least):
+    """First and third quartile of values cut to their first six bits, and the limits they give."""
+    low = sorted(v - v % (1 << max(v.bit_length() - 6, 0)) for v in values)
+    q1, q3 = (next(x for i, x in enumerate(low, 1) if 4 * i >= k * len(low)) for k in (1, 3))
+    spread = max(q3 - q1, least)
+    return q1 - tail * spread, q3 + tail * spread
+
+
+def good(rows, least_rows=200, tail=3.0):
+    """Row by row, whether (lang, source, text) passes the quality rules."""
+    least = {"symbols": 128, "dups": 128, "repeats": 64, "length": 64}
+    judged, groups = [], defaultdict(list)
+    for lang, source, text in rows:
+        n, chars, symbols, dups, repeats = rule_counts(text or "")
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        values = {"symbols": 1024 * symbols // n, "dups": 1024 * dups // max(lines, 1), "repeats": 1024 * repeats // n, "length": 64 * chars // n} if n else None
+        judged.append((lang, source, values, n < 10 or 100 * repeats > 20 * n))
+        for key in ((lang, source), (lang,), ()) if n else ():
+            groups[key].append(values)
+    limits = {key: {m: quartile_bins([v[m] for v in found], tail, least[m]) for m in least} for key, found in groups.items()}
+
+    def passes(lang, source, values):
+        key = next((k for k in ((lang, source), (lang,)) if len(groups[k]) >= least_rows), ())
+        return all((m != "length" or limits[key][m][0] <= v) and v <= limits[key][m][1] for m, v in values.items())
+
+    return [not failed and passes(lang, source, values) for lang, source, values, failed in judged]
+
+
+def mix_errors(had, taken):
+    """What is wrong with a mix: ``had`` is doc_id -> (source, words), ``taken`` doc_id -> copies."""
+    sizes, largest, out = Counter(), Counter(), []
+    for source, n in had.values():
+        sizes[source] += n
+        largest[source] = max(largest[source], n)
+    goal = targets(sizes)
+    for d, (source, n) in had.items():
+        chance = goal[source] / sizes[source] if sizes[source] else 0
+        if n and not chance - 1 < taken[d] < chance + 1:
+            out.append((d, taken[d], chance))
+    for source in sizes:
+        got = sum(taken[d] * n for d, (s, n) in had.items() if s == source)
+        if abs(got - goal[source]) > largest[source]:
+            out.append((source, got, goal[source]))
+    return out

@@ -1,6 +1,7 @@
 """Plain versions of the corpus operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -155,3 +156,61 @@ def mix_errors(had, taken):
         if abs(got - goal[source]) > largest[source]:
             out.append((source, got, goal[source]))
     return out
+
+
+def discounts(counts):
+    """What counts of one, of two, and of more give up."""
+    often = Counter(counts)
+    c1, c2, c3, c4 = (often[i] for i in (1, 2, 3, 4))
+    y = c1 / (c1 + 2 * c2) if c1 + 2 * c2 else 0.5
+    raw = (1 - 2 * y * c2 / c1 if c1 else 0.5, 2 - 3 * y * c3 / c2 if c2 else 1.0, 3 - 4 * y * c4 / c3 if c3 else 1.5)
+    return [min(max(d, 0.1), top) for d, top in zip(raw, (0.95, 1.9, 2.85))]
+
+
+def kneser_ney(texts, order=5):
+    """The bits of a text under interpolated modified Kneser-Ney of bytes, by recursion over contexts."""
+    lead = b"\n" * (order - 1)
+    counts = Counter()
+    for t in texts:
+        whole = lead + (t or "").encode()
+        counts.update(whole[i : i + order] for i in range(len(whole) - order + 1))
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    off = {k: discounts(c.values()) for k, c in levels.items()}
+    after = {k: defaultdict(dict) for k in levels}
+    for k, c in levels.items():
+        for g, n in c.items():
+            after[k][g[:-1]][g[-1]] = n
+
+    def chance(context, byte):
+        k = len(context) + 1
+        below = chance(context[1:], byte) if k > 1 else 1 / 256
+        seen = after[k].get(context)
+        if not seen:
+            return below
+        total, spare = sum(seen.values()), sum(off[k][min(n, 3) - 1] for n in seen.values())
+        n = seen.get(byte, 0)
+        return (n - off[k][min(n, 3) - 1] if n else 0) / total + spare / total * below
+
+    def bits(text):
+        whole = lead + (text or "").encode()
+        return -sum(math.log2(chance(whole[i - order + 1 : i], whole[i])) for i in range(order - 1, len(whole)))
+
+    return bits
+
+
+def bit_limits(rows, least=50):
+    """(lang, length band) -> highest bits a byte that passes; ``rows`` are (lang, bytes, bits a byte, trusted)."""
+    groups = defaultdict(list)
+    for lang, n, per, trusted in rows:
+        if trusted and n:
+            for key in ((lang, int(math.log2(n))), (lang,), ()):
+                groups[key].append(math.floor(per * 128))
+    out = {}
+    for key, found in groups.items():
+        found.sort()
+        mid, high = (next(x for i, x in enumerate(found, 1) if i >= q * len(found)) / 128 for q in (0.5, 0.995))
+        if len(found) >= least or not key:
+            out[key] = high + max(high - mid, 1 / 32)
+    return lambda lang, n: next((out[k] for k in ((lang, int(math.log2(max(n, 1)))), (lang,), ()) if k in out), None)

@@ -155,9 +155,19 @@ def portfolio_alerts(changes: DataFrame, max_drawdown: float = 0.1, max_leverage
 
 
 def markout_join(fills: DataFrame, quotes: DataFrame, horizon: str = "1 minute", tolerance: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Quotes in [fill + horizon, fill + horizon + tolerance] per fill, by a watermarked interval join."""
+    """Quotes in [fill + horizon, fill + horizon + tolerance] per fill, by a watermarked interval join.
+
+    Time is cut into buckets one tolerance long: a quote is in one, a fill looks into at most two, so no row meets its
+    whole symbol. An event_id of the quotes comes out as quote_id.
+    """
+    named = [F.col("event_id").alias("quote_id")] if "event_id" in quotes.columns else []
+    length = f"greatest(unix_micros(timestamp_micros(0) + INTERVAL {tolerance}), 1000000L)"
+    bucket = lambda at: f"unix_micros({at}) div {length}"
+    start = f"fill_ts + INTERVAL {horizon}"
     f = fills.withWatermark("ts", delay).select("symbol", "event_id", "venue", "side", "price", F.col("ts").alias("fill_ts"))
-    q = quotes.withWatermark("ts", delay).select(F.col("symbol").alias("q_symbol"), "midpoint", F.col("ts").alias("quote_ts"))
-    on = F.expr(f"symbol = q_symbol AND quote_ts >= fill_ts + INTERVAL {horizon} AND quote_ts <= fill_ts + INTERVAL {horizon} + INTERVAL {tolerance}")
+    f = f.withColumn("bucket", F.explode(F.expr(f"sequence({bucket(start)}, {bucket(f'{start} + INTERVAL {tolerance}')})")))
+    q = quotes.withWatermark("ts", delay).select(F.col("symbol").alias("q_symbol"), *named, "midpoint", F.col("ts").alias("quote_ts"))
+    q = q.withColumn("q_bucket", F.expr(bucket("quote_ts")))
+    on = F.expr(f"symbol = q_symbol AND bucket = q_bucket AND quote_ts >= {start} AND quote_ts <= {start} + INTERVAL {tolerance}")
     side = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
-    return f.join(q, on, "inner").select("symbol", "event_id", "venue", "fill_ts", "quote_ts", (side * (F.col("midpoint") - F.col("price")) / F.col("price") * 10_000.0).alias("markout_bps"))
+    return f.join(q, on, "inner").select("symbol", "event_id", "venue", "fill_ts", *["quote_id"][: len(named)], "quote_ts", (side * (F.col("midpoint") - F.col("price")) / F.col("price") * 10_000.0).alias("markout_bps"))

@@ -27,6 +27,16 @@ def rounded(df, places: int, *cols: str):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
+def settled(df, digits, *cols):
+    """Rounded halves up, five more digits first: sums of another order differ in their last bits and would part at an exact half."""
+    return rounded(rounded(df, digits + 5, *cols), digits, *cols)
+
+
+def settled_sql(x: str, digits: int) -> str:
+    """The rule of :func:`settled`; decimals round exact halves as such."""
+    return f"round(({x})::DECIMAL(38, {digits + 5}), {digits})::DOUBLE"
+
+
 SEQ = f"{S.bars()}, seqd AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns) AS seq FROM bars)"
 
 

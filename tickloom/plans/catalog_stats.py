@@ -283,8 +283,9 @@ qq AS (SELECT strategy, quantile_cont(ret, 0.01) AS q01, quantile_cont(ret, 0.05
 h AS (SELECT *, (max(eq) OVER (PARTITION BY strategy ORDER BY ts_ns) - eq) / max(eq) OVER (PARTITION BY strategy ORDER BY ts_ns) AS dd FROM e),
 a AS (SELECT strategy, q01, q05, q95, count(*) AS bars, arg_max(eq, ts_ns) AS last, avg(ret) AS m, stddev_samp(ret) AS sd, avg(pow(least(0, ret), 2)) AS dv, max(dd) AS mdd,
   count(*) FILTER (dd <= 0.01) AS nb, count(*) FILTER (dd > 0.01 AND dd <= 0.02) AS cb FROM h JOIN qq USING (strategy) GROUP BY 1, 2, 3, 4)
-SELECT strategy, bars, round(last / 1000000 - 1, 6) AS total_return, round(sd * sqrt(252.0), 6) AS annualized_volatility, round(m / sd * sqrt(252.0), 6) AS sharpe_ratio,
-  round(m / sqrt(dv) * sqrt(252.0), 6) AS sortino_ratio, round(mdd, 6) AS max_drawdown, round(-q05, 6) AS var_95, round(-q01, 6) AS var_99, round(greatest(0, q95 / abs(q05)), 6) AS tail_ratio,
+SELECT strategy, bars, round(last / 1000000 - 1, 6) AS total_return, round(CASE WHEN sd < 1e-12 THEN 0 ELSE sd * sqrt(252.0) END, 6) AS annualized_volatility,
+  round(CASE WHEN sd < 1e-12 THEN 0 ELSE m / sd * sqrt(252.0) END, 6) AS sharpe_ratio, round(CASE WHEN sqrt(dv) < 1e-12 THEN 0 ELSE m / sqrt(dv) * sqrt(252.0) END, 6) AS sortino_ratio,
+  round(least(1, greatest(0, mdd)), 6) AS max_drawdown, round(-q05, 6) AS var_95, round(-q01, 6) AS var_99, round(CASE WHEN abs(q05) >= 1e-12 THEN greatest(0, q95 / abs(q05)) ELSE 0 END, 6) AS tail_ratio,
   nb AS normal_bars, cb AS caution_bars FROM a""")
 def _(spark, d):
     c = series.equity_curve(daily_returns(spark, d), "strategy")

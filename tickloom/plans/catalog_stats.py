@@ -200,8 +200,9 @@ def _(spark, d):
 TEAR_DAILY = f"""WITH {DAILY}, qq AS (SELECT strategy, quantile_cont(ret, 0.05) AS p5, quantile_cont(ret, 0.95) AS p95 FROM daily GROUP BY 1),
 ba AS (SELECT strategy, p5, p95, count(*) AS n, product(1 + ret) AS eq, stddev_pop(ret) AS sd, avg(ret) AS mx, sum(greatest(ret, 0)) AS pos, sum(greatest(-ret, 0)) AS neg,
   count(*) FILTER (ret > 0) AS wins, avg(ret) FILTER (ret <= p5) AS tl FROM daily JOIN qq USING (strategy) GROUP BY 1, 2, 3)
-SELECT strategy, round(eq - 1, 4) AS total_return, round(pow(eq, 252.0::DOUBLE / n) - 1, 4) AS cagr, round(mx / sd * sqrt(252.0), 3) AS sharpe_ratio, round(pos / neg, 3) AS omega_ratio,
-  round(wins / n, 4) AS win_rate, round(abs(p5), 4) AS var_95, round(abs(tl), 4) AS cvar_95 FROM ba"""
+SELECT strategy, round(eq - 1, 4) AS total_return, round(CASE WHEN eq > 0 THEN pow(eq, 252.0::DOUBLE / n) - 1 ELSE 0 END, 4) AS cagr, round(mx / sd * sqrt(252.0), 3) AS sharpe_ratio,
+  round(CASE WHEN neg > 1e-8 THEN pos / neg ELSE 0 END, 3) AS omega_ratio, round(wins / n, 4) AS win_rate, round(abs(p5), 4) AS var_95, round(abs(coalesce(tl, p5)), 4) AS cvar_95
+FROM ba WHERE n >= 2 AND sd >= 1e-8"""
 
 
 @query("tear_sheet_daily", TEAR_DAILY)

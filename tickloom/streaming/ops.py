@@ -48,8 +48,28 @@ def sessions(news: DataFrame, gap: str = "2 hours", delay: str = "10 minutes") -
         "ticker", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "articles")
 
 
-def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(order, kind="stable")
+PIECE = 100_000
+
+
+def _order(stream: DataFrame) -> list[str]:
+    """Time, then the event_id of rows of one time, where there is one; output rows carry both."""
+    return ["ts_ns", "event_id"] if "event_id" in stream.columns else ["ts_ns"]
+
+
+def _schema(key: str, order: list[str], rest: str) -> str:
+    return ", ".join([f"{key} string", *[f"{c} long" for c in order], rest])
+
+
+def _rows(batches: Iterator[pd.DataFrame], order: list[str], values: list[str] | None = None) -> pd.DataFrame:
+    """The batches in order, without the columns that a step does not read."""
+    keep = [*order, *(values or [])]
+    return pd.concat([b[keep] for b in batches]).sort_values(order, kind="stable")
+
+
+def _pieces(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Bounded runs of rows, so that a step holds the Python objects of few of them."""
+    for at in range(0, len(rows), PIECE):
+        yield rows.iloc[at : at + PIECE]
 
 
 def online_frac_diff(bars: DataFrame, weights: list[float], history: dict[str, list[float]] | None = None) -> DataFrame:
@@ -60,37 +80,43 @@ def online_frac_diff(bars: DataFrame, weights: list[float], history: dict[str, l
     Bars of one time follow their event_id, where there is one.
     """
     seed, own, cut = history or {}, "lookback" in bars.columns, weights_for(weights)
-    order = ["ts_ns", "event_id"] if "event_id" in bars.columns else ["ts_ns"]
+    order = _order(bars)
 
     def step(key, batches, state: GroupState):
-        rows = _rows(batches, order)
+        rows = _rows(batches, order, ["close", "lookback"] if own else ["close"])
         w = cut(int(rows["lookback"].iloc[0])) if own else np.array(weights)
         l = len(w) - 1
         before = list(state.get[0]) if state.exists else list(seed.get(key[0], []))
         x = np.concatenate([before[len(before) - min(l, len(before)) :], rows["close"].to_numpy(dtype=float)])
         y = np.convolve(x, w, "valid") if len(x) > l else np.zeros(0)
         state.update((x[max(0, len(x) - l) :].tolist(),))
-        yield pd.DataFrame({"symbol": key[0], "ts_ns": rows["ts_ns"].to_numpy()[len(rows) - len(y) :], "ffd": y})
+        named = rows[order].iloc[len(rows) - len(y) :].assign(ffd=y)
+        del rows
+        for piece in _pieces(named):
+            yield piece.assign(symbol=key[0])[["symbol", *order, "ffd"]]
 
     return bars.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, ts_ns long, ffd double", "buf array<double>", "append", GroupStateTimeout.NoTimeout)
+        step, _schema("symbol", order, "ffd double"), "buf array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def online_cusum(z_scores: DataFrame, threshold: float = 3.0, drift: float = 0.5, min_dwell: int = 3) -> DataFrame:
-    """Resetting CUSUM alarms per symbol, same step as the batch kernel."""
+    """Resetting CUSUM alarms per symbol, same step as the batch kernel; rows of one time follow their event_id."""
+    order = _order(z_scores)
+
     def step(key, batches, state: GroupState):
         pos, neg, dwell = state.get if state.exists else (0.0, 0.0, 0)
-        out = []
-        for ts, z in _rows(batches, ["ts_ns"])[["ts_ns", "z"]].itertuples(index=False):
-            dwell = min(dwell + 1, min_dwell)
-            alarm, down, pos, neg = cusum_step(z, dwell, pos, neg, threshold, drift, min_dwell)
-            dwell = 0 if alarm else dwell
-            out.append((key[0], ts, alarm, down, pos, neg))
+        for piece in _pieces(_rows(batches, order, ["z"])):
+            out = []
+            for *at, z in piece.itertuples(index=False):
+                dwell = min(dwell + 1, min_dwell)
+                alarm, down, pos, neg = cusum_step(z, dwell, pos, neg, threshold, drift, min_dwell)
+                dwell = 0 if alarm else dwell
+                out.append((key[0], *at, alarm, down, pos, neg))
+            yield pd.DataFrame(out, columns=["symbol", *order, "alarm", "is_negative", "s_pos", "s_neg"])
         state.update((float(pos), float(neg), int(dwell)))
-        yield pd.DataFrame(out, columns=["symbol", "ts_ns", "alarm", "is_negative", "s_pos", "s_neg"])
 
     return z_scores.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, ts_ns long, alarm boolean, is_negative boolean, s_pos double, s_neg double", "p double, n double, d long", "append", GroupStateTimeout.NoTimeout)
+        step, _schema("symbol", order, "alarm boolean, is_negative boolean, s_pos double, s_neg double"), "p double, n double, d long", "append", GroupStateTimeout.NoTimeout)
 
 
 def online_tiers(shocks: DataFrame, dwell: int = 5) -> DataFrame:

@@ -120,18 +120,21 @@ def online_cusum(z_scores: DataFrame, threshold: float = 3.0, drift: float = 0.5
 
 
 def online_tiers(shocks: DataFrame, dwell: int = 5) -> DataFrame:
-    """Breaker tier per bar of (book, ts_ns, shock, haircut, panic)."""
+    """Breaker tier per bar of (book, ts_ns, shock, haircut, panic); rows of one time follow their event_id."""
+    order = _order(shocks)
+
     def step(key, batches, state: GroupState):
         tier, bars = state.get if state.exists else (0, 0)
-        out = []
-        for ts, shock, cut, panic in _rows(batches, ["ts_ns"])[["ts_ns", "shock", "haircut", "panic"]].itertuples(index=False):
-            tier, bars = tier_step(tier, bars, shock, bool(panic), dwell=dwell)
-            out.append((key[0], ts, TIERS[tier], bars, 0.0 if tier >= 2 else min(0.5, cut) if tier == 1 else cut))
+        for piece in _pieces(_rows(batches, order, ["shock", "haircut", "panic"])):
+            out = []
+            for *at, shock, cut, panic in piece.itertuples(index=False):
+                tier, bars = tier_step(tier, bars, shock, bool(panic), dwell=dwell)
+                out.append((key[0], *at, TIERS[tier], bars, 0.0 if tier >= 2 else min(0.5, cut) if tier == 1 else cut))
+            yield pd.DataFrame(out, columns=["book", *order, "tier", "bars_in_tier", "execution_haircut"])
         state.update((int(tier), int(bars)))
-        yield pd.DataFrame(out, columns=["book", "ts_ns", "tier", "bars_in_tier", "execution_haircut"])
 
     return shocks.groupBy("book").applyInPandasWithState(
-        step, "book string, ts_ns long, tier string, bars_in_tier long, execution_haircut double", "t int, b long", "append", GroupStateTimeout.NoTimeout)
+        step, _schema("book", order, "tier string, bars_in_tier long, execution_haircut double"), "t int, b long", "append", GroupStateTimeout.NoTimeout)
 
 
 def liveness(beats: DataFrame, timeout_s: float = 15.0, delay: str = "0 seconds") -> DataFrame:
@@ -162,22 +165,24 @@ def liveness(beats: DataFrame, timeout_s: float = 15.0, delay: str = "0 seconds"
 
 def portfolio_alerts(changes: DataFrame, max_drawdown: float = 0.1, max_leverage: float = 2.0) -> DataFrame:
     """Drawdown and leverage alerts from per-portfolio equity and gross exposure updates."""
+    order = _order(changes)
+
     def step(key, batches, state: GroupState):
         peak = state.get[0] if state.exists else float("-inf")
         out = []
-        for ts, equity, gross in _rows(batches, ["ts_ns"])[["ts_ns", "equity", "gross"]].itertuples(index=False):
+        for *at, equity, gross in _rows(batches, order, ["equity", "gross"]).itertuples(index=False):
             peak = max(peak, equity)
             dd = max(0.0, (peak - equity) / peak) if peak > 0 else (1.0 if equity <= 0 else 0.0)
             lev = gross / equity if equity > 0 else float("inf")
             if dd >= max_drawdown:
-                out.append((key[0], ts, "DRAWDOWN", dd))
+                out.append((key[0], *at, "DRAWDOWN", dd))
             if lev > max_leverage:
-                out.append((key[0], ts, "LEVERAGE", lev))
+                out.append((key[0], *at, "LEVERAGE", lev))
         state.update((float(peak),))
-        yield pd.DataFrame(out, columns=["portfolio_id", "ts_ns", "alert", "level"])
+        yield pd.DataFrame(out, columns=["portfolio_id", *order, "alert", "level"])
 
     return changes.groupBy("portfolio_id").applyInPandasWithState(
-        step, "portfolio_id string, ts_ns long, alert string, level double", "peak double", "append", GroupStateTimeout.NoTimeout)
+        step, _schema("portfolio_id", order, "alert string, level double"), "peak double", "append", GroupStateTimeout.NoTimeout)
 
 
 def markout_join(fills: DataFrame, quotes: DataFrame, horizon: str = "1 minute", tolerance: str = "1 minute", delay: str = "10 minutes") -> DataFrame:

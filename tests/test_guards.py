@@ -22,3 +22,14 @@ def test_returns_that_never_fall(spark, rising, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{rising}/events.parquet/*.parquet'")
     assert check.compare(entry.queries()[name](spark, rising), con, entry.oracle_sql()[name]) is None
+
+
+def test_news_state_past_sixty_days(spark, sf, tmp_path):
+    import duckdb
+
+    spark.read.parquet(f"{sf}/embeddings.parquet").limit(20).selectExpr("vec_id * 500 AS vec_id", "embedding", "label").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = entry.queries()["active_news_state"](spark, str(tmp_path))
+    assert got.selectExpr("max(asof_ns) > 60 * 86400000000000 AS far").first().far
+    assert check.compare(got, con, entry.oracle_sql()["active_news_state"]) is None

@@ -223,7 +223,7 @@ def news_events(spark, d):
 
 STATE = """ne AS (SELECT vec_id AS v, 'A' || (label % 4) AS asset_id, vec_id * 3000000000000 AS ts_ns, (vec_id % 10) / 10.0 AS u, (vec_id % 4 + 1) / 4.0 AS c,
   list_concat(list_transform(embedding, lambda x: x::DOUBLE), [(vec_id % 21 - 10) / 10.0, (vec_id % 5) / 5.0, (vec_id % 3) / 3.0, (vec_id % 10) / 10.0, (vec_id % 4 + 1) / 4.0]) AS f FROM embeddings),
-gr AS (SELECT unnest(range(0, 60)) * 86400000000000 AS asof_ns), jn AS (SELECT asset_id, asof_ns, (asof_ns - ts_ns) / 1e9::DOUBLE AS s, u, c, f FROM ne JOIN gr ON asof_ns BETWEEN ts_ns AND ts_ns + 604800000000000),
+gr AS (SELECT unnest(range(min(ts_ns) // 86400000000000, (max(ts_ns) + 604800000000000) // 86400000000000 + 1)) * 86400000000000 AS asof_ns FROM ne), jn AS (SELECT asset_id, asof_ns, (asof_ns - ts_ns) / 1e9::DOUBLE AS s, u, c, f FROM ne JOIN gr ON asof_ns BETWEEN ts_ns AND ts_ns + 604800000000000),
 wt AS (SELECT asset_id, asof_ns, c * (""" + _decay_sql("s", "u") + """) AS w, unnest(f) AS x, generate_subscripts(f, 1) - 1 AS pos FROM jn)"""
 
 

@@ -33,3 +33,14 @@ def test_news_state_past_sixty_days(spark, sf, tmp_path):
     got = entry.queries()["active_news_state"](spark, str(tmp_path))
     assert got.selectExpr("max(asof_ns) > 60 * 86400000000000 AS far").first().far
     assert check.compare(got, con, entry.oracle_sql()["active_news_state"]) is None
+
+
+def test_character_references(spark, tmp_path):
+    import duckdb
+
+    html = ["a &amp;lt; b", "&lt &notit; &notin; &copy2 &AMP;&amp", "&#65;&#x42;&#X43 &#0;&#128;&#xD800;&#1114112;&#99999999999999;&#1;&#13;x", "& &; &#; &#x; &q&quot", "&CounterClockwiseContourIntegral;!",
+            "a　 b\x0b\x1cc\x85", "<p class='x'>&nbsp;&apos;</p>", None, "", "&aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa;", "&\U0001f600;&lt\U0001f600", "&ngE;&acE;", "&#00000000065;&#x0000000041"]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert check.compare(entry.queries()["html_clean"](spark, str(tmp_path)), con, entry.oracle_sql()["html_clean"]) is None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from html import _invalid_charrefs, _invalid_codepoints
 from html.entities import html5
 
 from pyspark.sql import functions as F
@@ -51,19 +52,28 @@ def _in(words):
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-ENT = "clean AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t FROM pages)"
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
 
 
-def _entity_sql(col: str) -> str:
-    """References that pages of the test tables may hold; the ampersand last, so that nothing is decoded twice."""
-    out = col
-    for name in ("lt", "gt", "quot", "apos", "nbsp", "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "hellip", "copy", "reg", "euro", "pound", "middot", "times", "amp"):
-        q = html5[f"{name};"].replace("'", "''")
-        out = f"replace({out}, '&{name};', '{q}')"
-    return out
+# The rule of html.unescape: a text is cut at its ampersands; each piece starts with a number, with the longest known name, or stays.
+ENT = f"""ent(name, value) AS (VALUES {', '.join(f'({_quoted(n)}, {_quoted(v)})' for n, v in html5.items())}),
+odd(c, v) AS (VALUES {', '.join(f'({c}, {ord(v)})' for c, v in _invalid_charrefs.items())}),
+clean AS (SELECT page_id, row_number() OVER () AS r, string_split(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&') AS ps FROM pages),
+pieces AS (SELECT page_id, r, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM clean),
+refs AS (SELECT *, CASE WHEN i > 1 THEN regexp_extract(p, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{{1,32}};?)') ELSE '' END AS s FROM pieces),
+digits AS (SELECT *, s[1] = '#' AS numeric, s[2] IN ('x', 'X') AS hex, ltrim(regexp_replace(s, '[#xX;]', '', 'g'), '0') AS dg FROM refs),
+coded AS (SELECT *, CASE WHEN NOT numeric THEN NULL WHEN dg = '' THEN 0 WHEN length(dg) > 8 THEN 1114112 WHEN hex THEN ('0x' || dg)::BIGINT ELSE dg::BIGINT END AS c FROM digits),
+known AS (SELECT r, i, max(k) AS n, arg_max(value, k) AS value FROM (SELECT r, i, s, unnest(range(2, length(s) + 1)) AS k FROM refs WHERE length(s) > 1) q JOIN ent ON ent.name = left(q.s, k) GROUP BY 1, 2),
+plain AS (SELECT page_id, r, string_agg(CASE WHEN i = 1 THEN p
+    WHEN numeric THEN CASE WHEN odd.v IS NOT NULL THEN chr(odd.v::INT) WHEN coded.c BETWEEN 55296 AND 57343 OR coded.c > 1114111 THEN chr(65533)
+      WHEN coded.c IN ({', '.join(str(c) for c in sorted(_invalid_codepoints))}) THEN '' ELSE chr(coded.c::INT) END || substr(p, length(s) + 1)
+    WHEN n IS NOT NULL THEN value || substr(p, n + 1) ELSE '&' || p END, '' ORDER BY i) AS t
+  FROM coded LEFT JOIN known USING (r, i) LEFT JOIN odd ON odd.c = coded.c GROUP BY 1, 2)"""
+WIDE = r"[\s\x0B\x{a0}\x{1c}-\x{1f}\x{85}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-@query("html_clean", f"""WITH {ENT} SELECT page_id, trim(regexp_replace({_entity_sql('t')}, '[\\s ]+', ' ', 'g')) AS body FROM clean""")
+@query("html_clean", f"WITH {ENT} SELECT page_id, trim(regexp_replace(t, '{WIDE}', ' ', 'g')) AS body FROM plain")
 def _(spark, d):
     return fx.table(spark, d, "pages").select("page_id", text.clean_html(F.col("html")).alias("body"))
 

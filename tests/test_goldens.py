@@ -349,3 +349,32 @@ def test_rolling_cascade_is_the_cascade_of_each_window(spark, n):
     assert len(got) == n - 1
     last = tail.risk_cascade(spark.createDataFrame(rows[-280:], d.schema), ["symbol"]).first()
     assert (got[n * DAY].method, got[n * DAY].var, got[n * DAY].cvar) == (last.method, pytest.approx(last["var"]), pytest.approx(last.cvar))
+
+
+def test_classify_reads_texts_without_filter(spark):
+    """No filter evaluates the word rules on the texts a second time."""
+    rows = [(1, "Apple beats earnings", "strong growth", "s", 0, ["AAPL"]), (2, "Fed hints rate cut", "", "s", 60, []), (3, "Market wrap", None, "s", 120, [])]
+    a = spark.createDataFrame(rows, "article_id long, headline string, summary string, source string, available_ns long, tickers array<string>")
+    out = news.classify(a.repartition(2))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "ontains(" in line]
+    assert {(r.article_id, r.ticker) for r in out.collect()} == {(1, "AAPL"), (2, "SPY"), (2, "QQQ"), (3, "SPY")}
+    assert {r.article_id for r in news.classify(a, proxy=False).collect()} == {1, 2}
+
+
+def test_novelty_against_all_pairs(spark):
+    """Blocks of 3 articles; the history, the horizon and equal times cut the comparisons."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 5))), "", "s", rng.randint(0, 60) * 1_000_000_000) for i in range(80)]
+    a = spark.createDataFrame(rows, "article_id long, headline string, summary string, source string, available_ns long")
+    want, firsts = {}, []
+    for i, head, _, _, at in sorted(rows, key=lambda r: (r[4], r[0])):
+        if head in {h for _, h, _ in firsts}:
+            want[i] = 0.1
+            continue
+        words = set(head.split())
+        near = [len(words & w) / len(words | w) for t, _, w in firsts[-3:] if at - t < 5_000_000_000]
+        want[i] = max(0.1, math.exp(-2 * max(near, default=0.0)))
+        firsts.append((at, head, words))
+    got = {r.article_id: r.novelty for r in news.novelty(a, horizon_s=5.0, history=3).collect()}
+    assert got == pytest.approx(want)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import text
 from tickloom.operators import blocks
+from tickloom.session import cut_lineage
 
 # Elasticity per event type and forecast horizons in seconds.
 ELASTICITY = {"M_AND_A": 3.5, "EARNINGS": 2.5, "MACRO_FED": 2.0, "REGULATORY_LEGAL": 1.2, "ANALYST_ACTION": 0.8, "GENERAL_MARKET": 0.4}
@@ -36,53 +37,59 @@ def novelty(articles: DataFrame, horizon_s: float = 7200.0, history: int = 2000)
     into blocks of that length with one history of overlap; each block is compared in one
     bounded task.
     """
-    hashed = with_hash(articles)
-    hashed = hashed.withColumn("words", F.array_distinct(F.regexp_extract_all(F.lower("headline"), F.lit("([a-z0-9]+)"), F.lit(1))))
-    firsts = hashed.groupBy("article_hash").agg(
-        F.min(F.struct("available_ns", "article_id")).alias("_f")).select("article_hash", F.col("_f.article_id").alias("_first"))
-    marked = hashed.select("article_id", "available_ns", "words", "article_hash").join(firsts, "article_hash")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("headline"), F.lit("([a-z0-9]+)"), F.lit(1)))
+    # the texts are read once; below only words and numbers move
+    hashed = cut_lineage(with_hash(articles.withColumn("words", words)).select("article_id", "available_ns", "article_hash", "words"))
     # without words an article is always new and never joins the history
-    fresh = marked.filter((F.col("article_id") == F.col("_first")) & (F.size("words") > 0)).withColumn("_all", F.lit("a"))
-    seq = blocks.index_rows(fresh.select("_all", "article_id", "available_ns", "words"), ["_all"], ["available_ns", "article_id"],
-                            blocks.Rows())
-    home = F.expr(f"(seq - 1) div {history}")
-    spread = seq.withColumn("_home", home).withColumn("_at", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
+    fresh = hashed.groupBy("article_hash").agg(F.min(F.struct("available_ns", "article_id", F.size("words").alias("n"))).alias("_f")).filter(
+        "_f.n > 0").select(F.lit("a").alias("_all"), "_f.article_id", "_f.available_ns")
+    seq = blocks.index_rows(cut_lineage(fresh), ["_all"], ["available_ns", "article_id"], blocks.Rows())
+    seq = cut_lineage(seq.select("article_id", "available_ns", "seq", F.expr(f"(seq - 1) div {history}").alias("_home")))
     horizon = int(horizon_s * 1e9)
+    # only the rows that the next block's first article still reaches go there too
+    opening = seq.groupBy((F.col("_home") - 1).alias("_home")).agg(F.min("available_ns").alias("_next"))
+    reaches = F.col("_next") - F.col("available_ns") < horizon
+    placed = seq.join(opening, "_home", "left").withColumn("_at", F.when(reaches, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home")))
+    spread = hashed.select("article_id", "words").join(placed.drop("_next"), "article_id").withColumn("_at", F.explode("_at"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         seqs, at = pdf["seq"].to_numpy(), pdf["available_ns"].to_numpy()
         sizes = np.array([len(w) for w in pdf["words"]])
         mine = (pdf["_home"] == pdf["_at"]).to_numpy()
-        seen: dict[str, list[int]] = {}
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        ids, known = pd.factorize(np.concatenate(pdf["words"].to_numpy()))
+        named = np.zeros(len(known), dtype=bool)
         out = np.zeros(len(pdf))
-        for k, words in enumerate(pdf["words"]):
-            if mine[k]:
-                lo = max(np.searchsorted(seqs, seqs[k] - history), np.searchsorted(at, at[k] - horizon, side="right"))
-                shared = np.zeros(k + 1, dtype=np.int64)
-                for w in words:
-                    shared[seen.get(w, [])] += 1
-                shared = shared[lo:k]
-                if len(shared):
-                    out[k] = (shared / np.maximum(sizes[k] + sizes[lo:k] - shared, 1)).max()
-            for w in words:
-                seen.setdefault(w, []).append(k)
-        return pd.DataFrame({"article_id": pdf["article_id"], "n_words": sizes, "jaccard": out})[mine]
-
-    scored = spread.groupBy("_at").applyInPandas(best, "article_id long, n_words long, jaccard double")
+        for k in np.flatnonzero(mine):
+            lo = max(np.searchsorted(seqs, seqs[k] - history), np.searchsorted(at, at[k] - horizon, side="right"))
+            if lo < k:
+                own = ids[starts[k]:ends[k]]
+                named[own] = True
+                shared = np.add.reduceat(named[ids[starts[lo]:starts[k]]], starts[lo:k] - starts[lo], dtype=np.int64)
+                named[own] = False
+                out[k] = (shared / (sizes[k] + sizes[lo:k] - shared)).max()
+        return pd.DataFrame({"article_id": pdf["article_id"], "jaccard": out})[mine]
+
+    scored = spread.groupBy("_at").applyInPandas(best, "article_id long, jaccard double")
     value = F.least(F.greatest(F.exp(-2.0 * F.col("jaccard")), F.lit(0.1)), F.lit(1.0))
-    joined = marked.select("article_id", "words").join(scored, "article_id", "left")
-    return joined.select("article_id", F.when(F.size("words") == 0, 1.0).when(F.col("jaccard").isNull(), 0.1).otherwise(value).alias("novelty"))
+    joined = hashed.select("article_id", F.size("words").alias("_n")).join(scored, "article_id", "left")
+    return joined.select("article_id", F.when(F.col("_n") == 0, 1.0).when(F.col("jaccard").isNull(), 0.1).otherwise(value).alias("novelty"))
 
 
 def classify(articles: DataFrame, proxy: bool = True) -> DataFrame:
     """One row per (article, ticker): polarity, event type, urgency, novelty, centrality, shock."""
-    kind, urgency = text.event_type(F.col("headline"), F.col("summary"), F.col("source"))
-    scored = articles.withColumns({
-        "polarity": text.polarity(F.concat_ws(". ", "headline", "summary")), "event_type": kind, "urgency": urgency})
-    scored = scored.withColumn("_c", text.centrality(F.col("headline"), F.col("summary"), F.col("tickers"), F.col("event_type"), proxy))
-    out = scored.drop("headline", "summary", "tickers").join(novelty(articles), "article_id")
-    out = out.withColumn("_x", F.explode("_c")).withColumns({"ticker": F.col("_x.ticker"), "centrality": F.col("_x.centrality")})
+    # each text is folded once: columns with several uses stay columns
+    staged = articles.withColumns({
+        "_h": F.upper("headline"), "_s": F.upper("summary"), "_rule": text.event_rule(F.col("headline"), F.col("summary"), F.col("source"))})
+    kind, urgency = text.rule_columns(F.col("_rule"))
+    scored = staged.withColumns({"polarity": text.polarity(F.concat_ws(". ", "headline", "summary")), "event_type": kind, "urgency": urgency})
+    scored = scored.withColumn("_c", text.centrality_of(F.col("_h"), F.col("_s"), F.col("tickers"), F.col("event_type"), proxy))
+    out = scored.drop("headline", "summary", "tickers", "_h", "_s", "_rule").join(novelty(articles), "article_id")
+    # outer: a plain explode filters by its array first and so evaluates all rules on the texts once more
+    out = out.withColumn("_x", F.explode_outer("_c")).filter(F.col("_x").isNotNull()).withColumns({
+        "ticker": F.col("_x.ticker"), "centrality": F.col("_x.centrality")})
     shock = F.col("polarity") * F.col("urgency") * F.col("novelty") * F.col("centrality")
     return out.withColumn("shock", F.least(F.greatest(shock, F.lit(-1.0)), F.lit(1.0))).drop("_c", "_x")
 

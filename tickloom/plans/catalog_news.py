@@ -168,7 +168,7 @@ def _(spark, d):
     kind, _u = text.event_type(F.col("headline"), F.col("summary"), F.col("source"))
     a = articles(spark, d).withColumn("k", kind)
     c = text.centrality(F.col("headline"), F.col("summary"), F.col("tickers"), F.col("k"))
-    return a.select("article_id", F.explode(c).alias("x")).select("article_id", "x.ticker", "x.centrality")
+    return a.select("article_id", F.explode_outer(c).alias("x")).filter(F.col("x").isNotNull()).select("article_id", "x.ticker", "x.centrality")
 
 
 CLS = f"{ART}, {POL}, {EVT}, {NOV}, {CEN}, cls AS (SELECT article_id, ticker, event_type, urgency, polarity, novelty, centrality, polarity * urgency * novelty * centrality AS shock FROM cen JOIN pol USING (article_id) JOIN evt USING (article_id) JOIN nov USING (article_id))"

@@ -378,3 +378,20 @@ def test_novelty_against_all_pairs(spark):
         firsts.append((at, head, words))
     got = {r.article_id: r.novelty for r in news.novelty(a, horizon_s=5.0, history=3).collect()}
     assert got == pytest.approx(want)
+
+
+def test_small_books_are_dealt_once(spark):
+    """Whole books: fills move once, and open lots follow the scan; with large books among them the results stay."""
+    rng = random.Random(9)
+    rows = [(b, "X", rng.choice(["BUY", "SELL"]), float(rng.randint(1, 40)), float(rng.randint(50, 150)), i, i) for i in range(200) for b in (1, 2, 2, 2)]
+    fills = spark.createDataFrame([(*r[:6], k) for k, r in enumerate(rows)], FILL)
+    found = []
+    for limit in (None, 300, 5):
+        s = lots.split_fills(fills, ["ts_ns", "n"], block_rows=limit)
+        m = lots.fifo_matches(s, block_rows=limit)
+        if limit is None:
+            assert m._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        held = sorted(lots.fifo_open_lots(s, block_rows=limit).collect())
+        assert held == sorted(lots.open_lots(s, m).collect())
+        found.append((sorted(m.collect()), held))
+    assert found[0] == found[1] == found[2]

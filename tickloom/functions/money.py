@@ -21,6 +21,18 @@ def round_even(value: Column | str, digits: int) -> Column:
     large to have such decimals stay as they are.
     """
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    # a one-element array binds the value: its many uses, written out, make methods too long for the JVM to compile
+    return F.transform(F.array(x), lambda v: _rounded(v, digits))[0]
+
+
+def _rounded(x: Column, digits: int) -> Column:
+    product = x * 10.0**digits
+    # the product is off by half a unit in its last place at most: only this near to a tie does the lost part matter
+    near = F.abs(product - F.floor(product) - 0.5) <= F.abs(product) * 2.0**-51
+    return F.when(F.abs(product) >= 4.5e15, x).when(near, _exact(x, digits)).otherwise((F.rint(product) + 0.0) / 10.0**digits)
+
+
+def _exact(x: Column, digits: int) -> Column:
     scale = 10.0**digits
     wide = scale * 134217729.0
     s_high = wide - (wide - scale)
@@ -31,5 +43,4 @@ def round_even(value: Column | str, digits: int) -> Column:
     down = F.floor(product).cast("double")
     side = (product - down - 0.5) + lost
     up = (side > 0) | ((side == 0) & (down % 2 != 0))
-    rounded = (down + F.when(up, 1.0).otherwise(0.0)) / scale
-    return F.when(F.abs(product) < 4.5e15, rounded).otherwise(x)
+    return (down + F.when(up, 1.0).otherwise(0.0)) / scale

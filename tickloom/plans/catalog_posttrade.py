@@ -38,7 +38,7 @@ tr AS (SELECT *, CASE WHEN lot_side = 'LONG' THEN 'SELL' ELSE 'COVER' END AS tra
 
 
 def split(spark, d):
-    return lots.split_fills(fx.fills(spark, d), ORDER)
+    return lots.split_fills(fx.fills(spark, d).drop("fee"), ORDER)
 
 
 def fifo(spark, d):
@@ -80,22 +80,21 @@ def marks(spark, d):
 
 @query("open_lots", f"WITH {LOTS} SELECT portfolio_id, symbol, fill_no, lot_side, remaining, round(price, 4) AS price FROM lt")
 def _(spark, d):
-    s = split(spark, d)
-    return rounded(lots.open_lots(s, lots.fifo_matches(s)).select("portfolio_id", "symbol", "fill_no", "lot_side", "remaining", "price"), 4, "price")
+    return rounded(lots.fifo_open_lots(split(spark, d)).select("portfolio_id", "symbol", "fill_no", "lot_side", "remaining", "price"), 4, "price")
 
 
 @query("positions_unrealized", f"""WITH {LOTS} SELECT portfolio_id, symbol, sum(CASE WHEN lot_side = 'LONG' THEN remaining ELSE -remaining END) AS position,
   round(sum(CASE WHEN lot_side = 'LONG' THEN 1 ELSE -1 END * remaining * (mark - price)), 4) AS unrealized_pnl FROM lt JOIN mk USING (symbol) GROUP BY 1, 2""")
 def _(spark, d):
-    s = split(spark, d)
-    return lots.positions(lots.open_lots(s, lots.fifo_matches(s)), marks(spark, d))
+    return lots.positions(lots.fifo_open_lots(split(spark, d)), marks(spark, d))
 
 
 @query("inventory_check", f"""WITH {FILLS} SELECT count(DISTINCT portfolio_id || symbol) AS books, 0::BIGINT AS violations FROM fills""")
 def _(spark, d):
     s = split(spark, d)
-    bad = lots.inventory_violations(s, lots.open_lots(s, lots.fifo_matches(s)))
-    books = s.select("portfolio_id", "symbol").distinct().select(F.lit(1).alias("b"), F.lit(0).alias("v"))
+    f = fx.fills(spark, d)
+    bad = lots.inventory_violations(f, lots.fifo_open_lots(s))
+    books = f.select("portfolio_id", "symbol").distinct().select(F.lit(1).alias("b"), F.lit(0).alias("v"))
     both = books.unionByName(bad.select(F.lit(0).alias("b"), F.lit(1).alias("v")))
     return both.agg(F.sum("b").alias("books"), F.sum("v").alias("violations"))
 
@@ -121,9 +120,7 @@ def _(spark, d):
 def _(spark, d):
     s = split(spark, d)
     e = lots.journal(s, lots.fifo_matches(s))
-    bad = lots.unbalanced(e).select(F.lit(0).alias("t"), F.lit(1).alias("u"))
-    tx = e.select(*lots.BOOK, "fill_no").distinct().select(F.lit(1).alias("t"), F.lit(0).alias("u"))
-    return tx.unionByName(bad).agg(F.sum("t").alias("transactions"), F.sum("u").alias("unbalanced"))
+    return lots.transactions(e).agg(F.count(F.lit(1)).alias("transactions"), F.count_if("unbalanced").alias("unbalanced"))
 
 
 @query("cash_balance", f"""WITH {FILLS}, c AS (SELECT portfolio_id, order_id, line, part_id, ts_ns, symbol, 1000000 + sum(CASE WHEN side = 'BUY' THEN -1 ELSE 1 END * round(quantity * price, 4))
@@ -182,7 +179,7 @@ FROM c LEFT JOIN a USING (portfolio_id) LEFT JOIN r USING (portfolio_id)""")
 def _(spark, d):
     s = split(spark, d)
     m = lots.fifo_matches(s)
-    p = lots.positions(lots.open_lots(s, m), marks(spark, d)).join(marks(spark, d), "symbol")
+    p = lots.positions(lots.fifo_open_lots(s), marks(spark, d)).join(marks(spark, d), "symbol")
     sign = F.when(F.col("side") == "BUY", -1.0).otherwise(1.0)
     cash = fx.fills(spark, d).groupBy("portfolio_id").agg((F.lit(1e6) + F.sum(sign * F.col("quantity") * F.col("price"))).alias("cash"))
     e = lots.eod_snapshot(cash, p, m).select("portfolio_id", "nav", "gross_notional", "realized_pnl", "unrealized_pnl")

@@ -395,3 +395,23 @@ def test_small_books_are_dealt_once(spark):
         assert held == sorted(lots.open_lots(s, m).collect())
         found.append((sorted(m.collect()), held))
     assert found[0] == found[1] == found[2]
+
+
+def test_crowding_with_ties(spark):
+    """Equal values stand by id; only their first and last row have a gap."""
+    rng = random.Random(4)
+    rows = [(1 + i % 3, i, float(rng.randint(0, 6)), rng.random(), 2.5) for i in range(150)] + [(9, 900, 1.0, 1.0, 1.0), (8, 901, 1.0, 2.0, 1.0), (8, 902, 1.0, 2.0, 1.0)]
+    d = spark.createDataFrame(rows, "rank long, id long, o1 double, o2 double, o3 double")
+    want = {}
+    for rank in {r[0] for r in rows}:
+        for m in (2, 3, 4):
+            front = sorted((r[m], r[1]) for r in rows if r[0] == rank)
+            width = front[-1][0] - front[0][0]
+            for k, (_, i) in enumerate(front):
+                inner = 0 < k < len(front) - 1
+                part = math.inf if not inner else (front[k + 1][0] - front[k - 1][0]) / width if width > 1e-8 else 0.0
+                want[i] = want.get(i, 0.0) + part
+    out = ranking.crowding(d, ["o1", "o2", "o3"])
+    assert {r.id: r.crowding for r in out.collect()} == pytest.approx(want)
+    # no row of the front carries a number of its place: the values are put in order, not the rows
+    assert "seq" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import blocks, stats
@@ -95,18 +95,35 @@ def pareto_ranks(population: DataFrame, objectives: Sequence[str], id_col: str =
 
 
 def crowding(ranked: DataFrame, objectives: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Crowding distance inside each front: infinite at the ends, neighbour gap over range else."""
-    long = ranked.select("rank", id_col, F.explode(F.create_map(*[x for o in objectives for x in (F.lit(o), F.col(o).cast("double"))])).alias("objective", "v"))
-    spans = long.groupBy("rank", "objective").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    """Crowding distance inside each front: infinite at the ends, neighbour gap over range else.
+
+    Equal values stand in the order of their ids, so only the first and the last of them have a gap: a value
+    with its count and these two ids is one row, and the values are put in order instead of the rows. Each
+    block of values looks to its neighbours through their edge values.
+    """
+    long = ranked.select("rank", id_col, F.explode(F.array(*[F.struct(F.lit(o).alias("objective"), F.col(o).cast("double").alias("v")) for o in objectives])).alias("_x"))
     key = ["rank", "objective"]
-    seq = blocks.index_rows(long, key, ["v", id_col], blocks.Rows())
-    near = blocks.rolling(seq, key, lambda f: {"_a": F.max("v").over(f(-1, -1)), "_z": F.max("v").over(f(1, 1))}, back=1, ahead=1)
-    j = near.join(spans, key)
-    inf = F.lit(float("inf"))
-    width = F.col("_hi") - F.col("_lo")
-    part = F.when((F.col("_n") <= 2) | (F.col("seq") == 1) | (F.col("seq") == F.col("_n")), inf).when(
-        width <= 1e-8, 0.0).otherwise(F.try_divide(F.col("_z") - F.col("_a"), width))
-    return j.groupBy("rank", id_col).agg(F.sum(part).alias("crowding"))
+    values = cut_lineage(long.select("rank", id_col, "_x.*").groupBy(*key, "v").agg(
+        F.min(id_col).alias("_first"), F.max(id_col).alias("_last"), F.count(F.lit(1)).alias("_n")))
+    placed = cut_lineage(blocks.row_blocks(values, key, ["v"]))
+    over = Window.partitionBy(*key).orderBy("_blk")
+    whole = Window.partitionBy(*key)
+    edges = placed.groupBy(*key, "_blk").agg(F.min(F.struct("v")).alias("_low"), F.max(F.struct("v")).alias("_high")).select(
+        *key, "_blk", F.lag("_high").over(over).alias("_before"), F.lead("_low").over(over).alias("_after"),
+        (F.max("_high.v").over(whole) - F.min("_low.v").over(whole)).alias("_width"))
+    inside = Window.partitionBy(*key, "_blk").orderBy("v")
+    near = placed.withColumns({"_a": F.lag(F.struct("v")).over(inside), "_z": F.lead(F.struct("v")).over(inside)}).join(edges, [*key, "_blk"])
+    before, after = F.coalesce("_a", "_before"), F.coalesce("_z", "_after")
+
+    def gap(lower: Column, upper: Column, end: Column) -> Column:
+        return F.when(end, float("inf")).when(F.col("_width") <= 1e-8, 0.0).otherwise(F.try_divide(upper - lower, "_width"))
+
+    first, last = before.isNull(), after.isNull()
+    alone = F.array(F.struct(F.col("_first").alias(id_col), gap(before["v"], after["v"], first | last).alias("_part")))
+    pair = F.array(F.struct(F.col("_first").alias(id_col), gap(before["v"], F.col("v"), first).alias("_part")),
+                   F.struct(F.col("_last").alias(id_col), gap(F.col("v"), after["v"], last).alias("_part")))
+    parts = near.select("rank", F.explode_outer(F.when(F.col("_n") == 1, alone).otherwise(pair)).alias("_x")).select("rank", "_x.*")
+    return ranked.select("rank", id_col, F.lit(0.0).alias("_part")).unionByName(parts).groupBy("rank", id_col).agg(F.sum("_part").alias("crowding"))
 
 
 def rank_population(population: DataFrame, id_col: str = "id") -> DataFrame:

@@ -415,3 +415,15 @@ def test_crowding_with_ties(spark):
     assert {r.id: r.crowding for r in out.collect()} == pytest.approx(want)
     # no row of the front carries a number of its place: the values are put in order, not the rows
     assert "seq" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentiment_of_one_day_is_dealt(spark):
+    """A symbol and day is no single join key, and the parts add up to the whole."""
+    rng = random.Random(6)
+    events = [("A", rng.randint(0, 20) * DAY // 8, rng.randint(-10, 10) / 10.0, rng.randint(0, 9) / 10.0, 0.25) for _ in range(60)]
+    e = spark.createDataFrame(events, "symbol string, ts_ns long, polarity double, urgency double, centrality double")
+    g = spark.createDataFrame([("A", k * DAY // 6) for k in range(18)] + [("B", 0)], "symbol string, ts_ns long")
+    by = {p: sorted(portfolio.sentiment_signals(g, e, parts=p).select("symbol", "ts_ns", "active_events", "target_weight").collect()) for p in (1, 16)}
+    assert by[1] == by[16] and len(by[1]) == 19
+    plan = portfolio.sentiment_signals(g, e)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "_part" in line for line in plan.splitlines())

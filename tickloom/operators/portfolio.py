@@ -87,20 +87,22 @@ def pairs_signals(bars: DataFrame, pairs: Sequence[tuple[str, str]], lookback: i
 
 
 def sentiment_signals(grid: DataFrame, events: DataFrame, threshold: float = 0.15, fast_s: float = 7200.0, max_leverage: float = 1.0,
-                      horizon_s: int = 604_800, bucket_s: int = 86_400) -> DataFrame:
+                      horizon_s: int = 604_800, bucket_s: int = 86_400, parts: int = 16) -> DataFrame:
     """Decayed polarity sum of each symbol's past events at every (symbol, ts_ns) of ``grid``.
 
     Events join by (symbol, day) and are copied to the days their horizon reaches, so the
-    join has an equality key of bounded time extent.
+    join has an equality key of bounded time extent. The events of a symbol and day are dealt over
+    ``parts`` groups by their values, each with its copy of the grid, so none is read by one task alone.
     """
     day = bucket_s * 1_000_000_000
-    g = grid.select("symbol", "ts_ns").withColumn("_b", F.expr(f"ts_ns div {day}"))
+    g = grid.select("symbol", "ts_ns").withColumn("_b", F.expr(f"ts_ns div {day}")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     reach = horizon_s // bucket_s + 1
     e = events.select("symbol", F.col("ts_ns").alias("_t"), "polarity", "urgency", "centrality").withColumn(
-        "_b", F.explode(F.sequence(F.expr(f"_t div {day}"), F.expr(f"_t div {day} + {reach}"))))
+        "_b", F.explode(F.sequence(F.expr(f"_t div {day}"), F.expr(f"_t div {day} + {reach}")))).withColumn(
+        "_part", F.pmod(F.xxhash64("_t", "polarity", "urgency", "centrality"), F.lit(parts)).cast("int"))
     lag = (F.col("ts_ns") - F.col("_t")) / 1e9
     w = text.decay(lag, F.col("urgency"), fast=fast_s, slow=fast_s * 10.0)
-    hits = g.join(e, ["symbol", "_b"]).filter((F.col("_t") <= F.col("ts_ns")) & (lag <= horizon_s)).withColumn("_w", w)
+    hits = g.join(e, ["symbol", "_b", "_part"]).filter((F.col("_t") <= F.col("ts_ns")) & (lag <= horizon_s)).withColumn("_w", w)
     sums = hits.groupBy("symbol", "ts_ns").agg(
         F.sum(F.col("polarity") * F.col("_w") * F.col("centrality")).alias("_s"), F.count(F.when(F.col("_w") > 1e-4, 1)).alias("active_events"))
     j = grid.select("symbol", "ts_ns").join(sums, ["symbol", "ts_ns"], "left")

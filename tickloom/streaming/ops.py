@@ -10,9 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from tickloom.operators.filters import weights_for
 from tickloom.operators.kernels import TIERS, cusum_step, tier_step
@@ -185,20 +188,81 @@ def portfolio_alerts(changes: DataFrame, max_drawdown: float = 0.1, max_leverage
         step, _schema("portfolio_id", order, "alert string, level double"), "peak double", "append", GroupStateTimeout.NoTimeout)
 
 
-def markout_join(fills: DataFrame, quotes: DataFrame, horizon: str = "1 minute", tolerance: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Quotes in [fill + horizon, fill + horizon + tolerance] per fill, by a watermarked interval join.
+BLOCK = 4_096
+HELD = 2_000_000
+
+
+def _in_blocks(rows: DataFrame, at: str, name: str) -> DataFrame:
+    """Rows of one (symbol, bucket) as arrays ``name`` of at most BLOCK rows in order of ``at``, with its first and last value.
+
+    A task holds at most HELD rows; what arrives later goes into further blocks.
+    """
+    key = ["symbol", "bucket"]
+    cells = [f for f in rows.schema if f.name not in key]
+
+    def cut(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in [*key, at]]).combine_chunks()
+        n = t.num_rows
+        symbol = pc.dictionary_encode(t["symbol"].combine_chunks()).indices.to_numpy()
+        bucket = t["bucket"].cast(pa.int64()).to_numpy()
+        runs = np.flatnonzero(np.append(True, (symbol[1:] != symbol[:-1]) | (bucket[1:] != bucket[:-1])))
+        place = np.arange(n) - np.repeat(runs, np.diff(np.append(runs, n)))
+        edges = np.append(np.flatnonzero(place % BLOCK == 0), n)
+        first, last = t.take(edges[:-1]), t.take(edges[1:] - 1)
+        parts = pa.StructArray.from_arrays([t[f.name].combine_chunks() for f in cells], [f.name for f in cells])
+        found = [*(first[c] for c in key), first[at], last[at], pa.ListArray.from_arrays(pa.array(edges, pa.int32()), parts)]
+        return pa.Table.from_arrays(found, [*key, "first", "last", name]).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                yield cut(held)
+                held, n = [], 0
+        if n:
+            yield cut(held)
+
+    kind = rows.schema[at].dataType
+    schema = StructType([*(rows.schema[c] for c in key), StructField("first", kind), StructField("last", kind), StructField(name, ArrayType(StructType(cells)))])
+    return rows.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*key, at])).repartition(*key).mapInArrow(run, schema)
+
+
+def markout_blocks(fills: DataFrame, quotes: DataFrame, horizon: str = "1 minute", tolerance: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    """Blocks of fills beside the blocks of quotes that may lie in their windows, by a watermarked join of streams.
 
     Time is cut into buckets one tolerance long: a quote is in one, a fill looks into at most two, so no row meets its
-    whole symbol. An event_id of the quotes comes out as quote_id.
+    whole symbol. What the stream keeps and hands on are blocks, which grow with the events; ``markouts_of`` takes the
+    pairs out of them, which grow with their square. An event_id of the quotes comes out as quote_id. A block has the
+    time of its bucket, so the watermark waits two buckets longer than ``delay``.
     """
     named = [F.col("event_id").alias("quote_id")] if "event_id" in quotes.columns else []
     length = f"greatest(unix_micros(timestamp_micros(0) + INTERVAL {tolerance}), 1000000L)"
-    bucket = lambda at: f"unix_micros({at}) div {length}"
+    bucket = lambda at: f"unix_micros({at}) - pmod(unix_micros({at}), {length})"
     start = f"fill_ts + INTERVAL {horizon}"
-    f = fills.withWatermark("ts", delay).select("symbol", "event_id", "venue", "side", "price", F.col("ts").alias("fill_ts"))
-    f = f.withColumn("bucket", F.explode(F.expr(f"sequence({bucket(start)}, {bucket(f'{start} + INTERVAL {tolerance}')})")))
-    q = quotes.withWatermark("ts", delay).select(F.col("symbol").alias("q_symbol"), *named, "midpoint", F.col("ts").alias("quote_ts"))
-    q = q.withColumn("q_bucket", F.expr(bucket("quote_ts")))
-    on = F.expr(f"symbol = q_symbol AND bucket = q_bucket AND quote_ts >= {start} AND quote_ts <= {start} + INTERVAL {tolerance}")
+    wait = f"{delay} {tolerance} {tolerance} 2 seconds"
+    f = fills.select("symbol", "event_id", "venue", "side", "price", F.col("ts").alias("fill_ts"))
+    f = f.withColumn("us", F.explode(F.expr(f"sequence({bucket(start)}, {bucket(f'{start} + INTERVAL {tolerance}')}, {length})")))
+    f = _in_blocks(f.withColumn("bucket", F.timestamp_micros("us")).drop("us"), "fill_ts", "fills").withWatermark("bucket", wait)
+    q = quotes.select("symbol", *named, "midpoint", F.col("ts").alias("quote_ts"))
+    q = _in_blocks(q.withColumn("bucket", F.expr(f"timestamp_micros({bucket('quote_ts')})")), "quote_ts", "quotes").withWatermark("bucket", wait)
+    q = q.select(*[F.col(c).alias(f"q_{c}") for c in ("symbol", "bucket", "first", "last")], "quotes")
+    on = F.expr(f"symbol = q_symbol AND bucket = q_bucket AND q_last >= first + INTERVAL {horizon} AND q_first <= last + INTERVAL {horizon} + INTERVAL {tolerance}")
+    return f.join(q, on, "inner").select("symbol", "fills", "quotes")
+
+
+def markouts_of(blocks: DataFrame, horizon: str = "1 minute", tolerance: str = "1 minute") -> DataFrame:
+    """The pairs of a fill and a quote in its window, out of ``markout_blocks``; none is stored or shuffled."""
+    start = f"fill_ts + INTERVAL {horizon}"
+    # the window is reckoned once a fill, not once a pair
+    window = [f"unix_micros({start}) AS opens", f"unix_micros({start} + INTERVAL {tolerance}) AS closes"]
+    fills = blocks.select("symbol", "quotes", F.inline("fills")).selectExpr("*", *window)
+    pairs = fills.select(*[c for c in fills.columns if c != "quotes"], F.inline("quotes")).filter("unix_micros(quote_ts) BETWEEN opens AND closes")
     side = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
-    return f.join(q, on, "inner").select("symbol", "event_id", "venue", "fill_ts", *["quote_id"][: len(named)], "quote_ts", (side * (F.col("midpoint") - F.col("price")) / F.col("price") * 10_000.0).alias("markout_bps"))
+    return pairs.select("symbol", "event_id", "venue", "fill_ts", *[c for c in pairs.columns if c == "quote_id"], "quote_ts", (side * (F.col("midpoint") - F.col("price")) / F.col("price") * 10_000.0).alias("markout_bps"))
+
+
+def markout_join(fills: DataFrame, quotes: DataFrame, horizon: str = "1 minute", tolerance: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    """Quotes in [fill + horizon, fill + horizon + tolerance] per fill, by a watermarked interval join."""
+    return markouts_of(markout_blocks(fills, quotes, horizon, tolerance, delay), horizon, tolerance)

@@ -41,6 +41,15 @@ def upsert_sink(path: str, keys: list[str], buckets: int = 16, order: list[str]
     return write
 
 
+def slice_sink(path: str, row_group: int = 4 << 20) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for rows that a stream hands out once: each batch has its own folder, which it
+    overwrites when it runs again. Small row groups bound what a reader decodes of wide rows at a time."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").option("parquet.block.size", row_group).parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def late_split_sink(on_time: Callable[[DataFrame, int], None], late_path: str, lateness_s: float, skew_s: float = 60.0) -> Callable[[DataFrame, int], None]:
     """Pass rows in time on; append rows too old or from the future to ``late_path``.
 
